@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,3 +35,9 @@ def durable(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, for streaming sinks and their checkpoints."""
     return f"{shared_folder(spark)}/textguard/{name}-{uuid.uuid4().hex}"
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """`df` marked for broadcast if it has at most `max_rows` rows, else unchanged,
+    in which case the join shuffles."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -11,6 +11,7 @@ segment.  The results are the same either way.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from copy import copy
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -98,30 +99,6 @@ def with_segments(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     )
 
 
-def look_back(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int,
-              add: Callable[[DataFrame, WindowSpec], DataFrame],
-              rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Apply `add(df, window)`, which may look at most `rows` rows back (`lag`).
-
-    In segments, the first `rows` rows lack their predecessors.  These rows and
-    the last `rows` of each segment are taken together per key: a small set in
-    which the former find exactly the predecessors they have in the whole key.
-    """
-    whole = Window.partitionBy(*keys).orderBy(*order)
-    large = large_keys(df.select(*keys), keys, rows_per_task)
-    if large is None:
-        return add(df, whole)
-    part = Window.partitionBy(*keys, SEGMENT).orderBy(*order)
-    backwards = Window.partitionBy(*keys, SEGMENT).orderBy(*[F.desc(c) for c in order])
-    segmented = with_segments(df, keys, order, large, rows_per_task)
-    placed = segmented.withColumn("_place", F.row_number().over(part))
-    border = placed.withColumn("_left", F.row_number().over(backwards)).where(
-        (F.col("_place") <= rows) | (F.col("_left") <= rows)).drop("_left")
-    inner = add(placed, part).where(F.col("_place") > rows)
-    outer = add(border, whole).where(F.col("_place") <= rows)
-    return inner.unionByName(outer).drop("_place", SEGMENT)
-
-
 # How each running value is computed in a frame, summed up per segment, and
 # joined with what the earlier segments hold.
 def _in_frame(kind: str, value: Column, frame: WindowSpec) -> Column:
@@ -151,34 +128,77 @@ def _combined(kind: str, earlier: Column, here: Column) -> Column:
     return F.coalesce(earlier, here) if kind == "first" else F.coalesce(here, earlier)
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-            values: dict[str, tuple[str, Column]], inclusive: bool = True,
-            rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Add running values over a key's rows up to the current one.
+class Ordered:
+    """Rows of a table in order within their key, ready for windows.
 
-    `values` maps a new column to (kind, expression) with kind one of max, sum,
-    first, last (the latter two skip nulls).  With `inclusive=False` the frame
-    ends before the current row.  The expressions may not use windows.
+    Key sizes are counted and segments formed once; each step adds columns and
+    returns the rows for the next one.  `rows()` gives the plain table back.
     """
-    end = 0 if inclusive else -1
-    large = large_keys(df.select(*keys), keys, rows_per_task)
-    if large is None:
-        frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-        return df.withColumns({n: _in_frame(k, v, frame) for n, (k, v) in values.items()})
-    segmented = with_segments(df, keys, order, large, rows_per_task)
-    frame = (Window.partitionBy(*keys, SEGMENT).orderBy(*order)
-             .rowsBetween(Window.unboundedPreceding, end))
-    local = segmented.withColumns({n: _in_frame(k, v, frame) for n, (k, v) in values.items()})
-    sums = segmented.groupBy(*keys, SEGMENT).agg(
-        *[_summary(k, v, order).alias(f"_all_{n}") for n, (k, v) in values.items()])
-    earlier = (Window.partitionBy(*keys).orderBy(SEGMENT)
-               .rowsBetween(Window.unboundedPreceding, -1))
-    carried = sums.select(*keys, SEGMENT, *[
-        _in_frame(k, F.col(f"_all_{n}"), earlier).alias(f"_before_{n}") for n, (k, _) in values.items()])
-    joined = join_null_safe(local, carried, [*keys, SEGMENT], "left")
-    return joined.withColumns({
-        n: _combined(k, F.col(f"_before_{n}"), F.col(n)) for n, (k, _) in values.items()
-    }).drop(SEGMENT, *[f"_before_{n}" for n in values])
+
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str],
+                 rows_per_task: int = ROWS_PER_TASK) -> None:
+        self.keys, self.order = list(keys), list(order)
+        large = large_keys(df.select(*keys), keys, rows_per_task)
+        self.split = large is not None
+        self._df = with_segments(df, keys, order, large, rows_per_task) if self.split else df
+
+    def rows(self) -> DataFrame:
+        return self._df.drop(SEGMENT)
+
+    def _next(self, df: DataFrame) -> Ordered:
+        """The same keys over new rows.  Segments use their rows more than once,
+        so there each step is written out; the plain path stays one lazy plan."""
+        following = copy(self)
+        following._df = durable(df) if self.split else df
+        return following
+
+    def with_columns(self, columns: dict[str, Column]) -> Ordered:
+        following = copy(self)
+        following._df = self._df.withColumns(columns)
+        return following
+
+    def look_back(self, rows: int, add: Callable[[DataFrame, WindowSpec], DataFrame]) -> Ordered:
+        """Apply `add(df, window)`, which may look at most `rows` rows back (`lag`).
+
+        In segments, the first `rows` rows lack their predecessors.  These rows
+        and the last `rows` of each segment are taken together per key: a small
+        set in which the former find exactly the predecessors they have in the
+        whole key."""
+        whole = Window.partitionBy(*self.keys).orderBy(*self.order)
+        if not self.split:
+            return self._next(add(self._df, whole))
+        part = Window.partitionBy(*self.keys, SEGMENT).orderBy(*self.order)
+        backwards = Window.partitionBy(*self.keys, SEGMENT).orderBy(*[F.desc(c) for c in self.order])
+        placed = self._df.withColumn("_place", F.row_number().over(part))
+        border = placed.withColumn("_left", F.row_number().over(backwards)).where(
+            (F.col("_place") <= rows) | (F.col("_left") <= rows)).drop("_left")
+        inner = add(placed, part).where(F.col("_place") > rows)
+        outer = add(border, whole).where(F.col("_place") <= rows)
+        return self._next(inner.unionByName(outer).drop("_place"))
+
+    def running(self, values: dict[str, tuple[str, Column]], inclusive: bool = True) -> Ordered:
+        """Add running values over a key's rows up to the current one.
+
+        `values` maps a new column to (kind, expression) with kind one of max,
+        sum, first, last (the latter two skip nulls).  With `inclusive=False`
+        the frame ends before the current row."""
+        end = 0 if inclusive else -1
+        part = [*self.keys, SEGMENT] if self.split else self.keys
+        frame = (Window.partitionBy(*part).orderBy(*self.order)
+                 .rowsBetween(Window.unboundedPreceding, end))
+        local = self._df.withColumns({n: _in_frame(k, v, frame) for n, (k, v) in values.items()})
+        if not self.split:
+            return self._next(local)
+        sums = self._df.groupBy(*part).agg(
+            *[_summary(k, v, self.order).alias(f"_all_{n}") for n, (k, v) in values.items()])
+        earlier = (Window.partitionBy(*self.keys).orderBy(SEGMENT)
+                   .rowsBetween(Window.unboundedPreceding, -1))
+        carried = sums.select(*part, *[
+            _in_frame(k, F.col(f"_all_{n}"), earlier).alias(f"_before_{n}") for n, (k, _) in values.items()])
+        joined = join_null_safe(local, carried, part, "left")
+        return self._next(joined.withColumns({
+            n: _combined(k, F.col(f"_before_{n}"), F.col(n)) for n, (k, _) in values.items()
+        }).drop(*[f"_before_{n}" for n in values]))
 
 
 # A kernel takes the times (microseconds) of consecutive rows of one key and the
@@ -249,13 +269,13 @@ def sequential(df: DataFrame, keys: Sequence[str], order: Sequence[str], state:
     large = large_keys(df.select(*keys), keys, rows_per_task)
     if large is None:
         return _run_kernel(rows.withColumns(empty), keys, order, state, outputs, kernel)
-    gapped = look_back(
-        rows, keys, order, 1,
-        lambda d, w: d.withColumn("_cut", F.coalesce(
-            F.col("_micros") - F.lag("_micros").over(w) >= int(reset_seconds * 1e6), F.lit(True)).cast("long")),
-        rows_per_task)
-    pieces = durable(running(gapped, keys, order, {"_piece": ("sum", F.col("_cut"))},
-                             rows_per_task=rows_per_task).drop("_cut"))
+
+    def cut_at_pauses(d: DataFrame, window: WindowSpec) -> DataFrame:
+        pause = F.col("_micros") - F.lag("_micros").over(window) >= int(reset_seconds * 1e6)
+        return d.withColumn("_cut", F.coalesce(pause, F.lit(True)).cast("long"))
+
+    pieces = (Ordered(rows, keys, order, rows_per_task).look_back(1, cut_at_pauses)
+              .running({"_piece": ("sum", F.col("_cut"))}).rows().drop("_cut"))
     unit = [*keys, "_piece"]
     large_pieces = large_keys(pieces.select(*unit), unit, rows_per_task)
     if large_pieces is None:
