@@ -6,8 +6,9 @@ keeps `.` matching everything but a newline.
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,7 +41,8 @@ def tokens(text: Column) -> Column:
 
 @F.arrow_udf(T.StringType())
 def _nfkc(texts: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(texts, form="NFKC")
+    # Not pc.utf8_normalize: it leaves letters decomposed.
+    return pa.array([t and unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
 
 def nfkc(text: Column) -> Column:
