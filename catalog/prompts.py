@@ -16,14 +16,17 @@ from textguard.operators.ratelimit import cooldown, rate_limit
 from textguard.operators.sanitize import context_similarity, sanitize
 from textguard.sources.requests import assign_users, requests_from, split_valid
 
-NUMBER = F.col("conv_id") * 8 + F.col("turn")
 SQL_NUMBER = "conv_id * 8 + turn"
 SLOW_LIMITS = (("burst", 3.0, 1 / 21600), ("sustained", 10.0, 1 / 86400))
 
 
+def number():
+    return F.col("conv_id") * 8 + F.col("turn")
+
+
 def turns(spark, sf, literals):
     c = load(spark, sf, "conversations")
-    return c.withColumn("text", planted(F.col("text"), literals, NUMBER))
+    return c.withColumn("text", planted(F.col("text"), literals, number()))
 
 
 def sql_turns(literals):
@@ -57,7 +60,7 @@ CHAR_CLASS_SCORE = (
 def trivial_inputs(spark, sf):
     """Every turn once as it is and once replaced by a short answer."""
     c = load(spark, sf, "conversations").select("conv_id", "turn", "text")
-    short = c.withColumn("text", picked(SHORT, NUMBER))
+    short = c.withColumn("text", picked(SHORT, number()))
     both = c.withColumn("is_short", F.lit(False)).unionByName(short.withColumn("is_short", F.lit(True)))
     return both.select("conv_id", "turn", "is_short", tx.is_trivial_prompt(F.col("text")).alias("trivial_prompt"),
                        tx.is_trivial_turn(F.col("text")).alias("trivial_turn"))
@@ -115,8 +118,8 @@ FROM ({sql_scored(_DOCS, 'doc_id', sql_clean(sql_nfkc('text')))})"""
 def model_score_bands(spark, sf):
     """Rule scores joined by a classifier's verdict, here made up from the row number."""
     t = scored_turns(spark, sf)
-    t = (t.withColumn("label", F.when(F.pmod(NUMBER, F.lit(3)) == 0, "injection").otherwise("LEGIT"))
-         .withColumn("confidence", F.pmod(NUMBER * 7, F.lit(100)) / 100.0))
+    t = (t.withColumn("label", F.when(F.pmod(number(), F.lit(3)) == 0, "injection").otherwise("LEGIT"))
+         .withColumn("confidence", F.pmod(number() * 7, F.lit(100)) / 100.0))
     return inj.add_model_score(t, "label", "confidence").select(
         "conv_id", "turn", "injection_score", F.array_join("matched_categories", ",").alias("categories"), "is_injection",
         F.round(inj.prompt_risk(F.col("injection_score")), 6).alias("risk"))
@@ -137,7 +140,7 @@ def timed_turns(spark, sf, literals):
     """Turns of a conversation a minute apart, with a longer pause every third turn."""
     t = turns(spark, sf, literals)
     seconds = F.col("turn") * 60 + F.floor(F.col("turn") / 3) * 240
-    return t.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + seconds)).withColumn("request_id", NUMBER)
+    return t.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + seconds)).withColumn("request_id", number())
 
 
 SQL_SECONDS = "(turn * 60 + (turn // 3) * 240)"
@@ -184,7 +187,7 @@ def sanitization_verdict(spark, sf):
     """The whole first guard: layers, exit probability, score, reason."""
     t = context_similarity(timed_turns(spark, sf, ATTACKS), "conv_id", "ts", "request_id", "text")
     vectors = load(spark, sf, "embeddings").select("vec_id", "embedding")
-    t = t.withColumn("vec_id", F.pmod(NUMBER, F.lit(500))).join(vectors, "vec_id", "left")
+    t = t.withColumn("vec_id", F.pmod(number(), F.lit(500))).join(vectors, "vec_id", "left")
     s = sanitize(t, "text", F.col("context_score"), F.transform("embedding", lambda x: x * 100))
     r = F.col("sanitization_result")
     return s.select(
@@ -348,7 +351,7 @@ SELECT conv_id, turn, coalesce(array_to_string([CASE WHEN conv_id % 4 = 0 THEN '
 
 def valid_requests(spark, sf):
     """Rows that lack a required field are set aside with what they lack."""
-    c = load(spark, sf, "conversations").withColumn("request_id", NUMBER)
+    c = load(spark, sf, "conversations").withColumn("request_id", number())
     c = (c.withColumn("user", F.when(F.col("conv_id") % 5 != 0, F.concat(F.lit("u"), F.col("conv_id").cast("string"))))
          .withColumn("text", F.when(F.col("turn") != 3, F.col("text")))
          .withColumn("ts", F.timestamp_seconds(F.col("request_id"))))

@@ -1,18 +1,22 @@
 """Injection rules as columns.
 
 Matching 88 patterns one after the other is by far the dearest step of this
-library, and most texts match none.  So one combined test comes first: all
-rules as a single alternation, run over Arrow batches by a DFA engine, whose
-cost hardly depends on the number of rules.  It is written to let through every
-text that could match; the texts it lets through are then matched rule by rule
-in the JVM, on lower-case text with lower-case patterns.  Scores with and
-without the test are equal, and tests check that.
+library, and most texts match none.  The matching therefore runs over Arrow
+batches with a DFA engine, in three sieves: all rules as one alternation, whose
+cost hardly depends on their number; then rule by rule, on the texts left; and
+last the rule as written, on the few pairs of text and rule left.  The first two
+let through whatever could match, so the last one alone decides.
+
+The result is an array of rule numbers.  As it comes from a function the
+optimizer does not look into, filters on the score are never pushed below it,
+where they would match everything twice.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -20,18 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textguard import rules
-from textguard.functions import text as tx
 
-_MATCHES = "array<struct<rule:int,weight:double,category:string>>"
 # A case-blind match also equates these with i, i, s and k.
 _CASE_TWINS = {"\u0130": "i", "\u0131": "i", "\u017f": "s", "\u212a": "k"}
-# The necessary part of the rules that are not matched on lower-case text.
-_LOWER_CASE_CORE = {18: r"instruction\s*:\s+\S"}
-
-
-def fold(text: Column) -> Column:
-    """Lower case, for matching lower-case patterns."""
-    return F.lower(F.translate(text, "".join(_CASE_TWINS), "".join(_CASE_TWINS.values())))
 
 
 def lower_pattern(body: str) -> str:
@@ -39,67 +34,69 @@ def lower_pattern(body: str) -> str:
     return re.sub(r"\\.|[^\\]+", lambda m: m.group() if m.group()[0] == "\\" else m.group().lower(), body)
 
 
-def any_rule_pattern() -> str:
-    """One pattern (RE2 dialect) that matches whenever some rule does.
+def widened(body: str) -> str:
+    """A pattern in RE2's dialect that matches the lower-case form of every text
+    `body` matches without regard to case.
 
     RE2 knows `\\s \\w \\b` for ASCII only, so they are widened: `\\s` to all
     separators, `\\w` to anything but white space, and a final `\\b` to "or a
-    letter beyond ASCII follows".  Elsewhere `\\b` stands next to an ASCII
+    character beyond ASCII follows".  Elsewhere `\\b` stands next to an ASCII
     letter, where an edge in the Unicode sense is also one in the ASCII sense.
     """
-    wide = []
-    for i, (_, _, body) in enumerate(rules.INJECTION_RULES):
-        body = lower_pattern(_LOWER_CASE_CORE.get(i, body))
-        body = re.sub(r"\\b$", r"(?:\\b|[^\\x00-\\x7f])", body)
-        body = body.replace(r"\s", r"[\s\v\x1c-\x1f\x{85}\pZ]").replace(r"\w", r"\S")
-        wide.append(re.sub(r"\((?!\?)", "(?:", re.sub(r"\\\(", r"[(]", body)))
-    return "|".join(wide)
-
-
-@F.arrow_udf(T.BooleanType())
-def _may_match(texts: pa.Array) -> pa.Array:
-    for char, twin in _CASE_TWINS.items():
-        texts = pc.replace_substring(texts, pattern=char, replacement=twin)
-    return pc.match_substring_regex(pc.utf8_lower(texts), pattern=_ANY_RULE)
-
-
-_ANY_RULE = any_rule_pattern()
-
-
-def matched_rules(text: Column, folded: Column) -> Column:
-    """The rules a text matches, in table order, each once:
-    `ARRAY<STRUCT<rule INT, weight DOUBLE, category STRING>>`."""
-    hits = []
-    for i, (category, weight, body) in enumerate(rules.INJECTION_RULES):
-        if i in rules.CASE_SENSITIVE:
-            hit = text.rlike(tx.pattern(body, multiline=True))
-        else:
-            hit = folded.rlike(tx.pattern(lower_pattern(body)))
-        hits.append(F.when(hit, F.struct(
-            F.lit(i + 1).alias("rule"), F.lit(weight).alias("weight"),
-            F.lit(category).alias("category"))))
-    return F.array_compact(F.array(*hits))
-
-
-def injection_score(df: DataFrame, column: str, gated: bool = True) -> DataFrame:
-    """Add `injection_score`, `matched_categories` and `is_injection`.
-
-    `gated=False` leaves out the combined test.  The steps are separate
-    projections, so that none is evaluated twice for its several uses.
-    """
-    score = F.aggregate("_matched", F.lit(0.0), lambda total, m: total + m["weight"])
-    may_match = _may_match(F.col(column)) if gated else F.lit(True)
+    body = re.sub(r"\\b$", r"(?:\\b|[^\\x00-\\x7f])", lower_pattern(body))
+    body = body.replace(r"\s", r"[\s\v\x1c-\x1f\x{85}\pZ]").replace(r"\w", r"\S")
+    return re.sub(r"\((?!\?)", "(?:", body)
+
+
+def _matcher():
+    """The three sieves as an Arrow function from texts to rule numbers."""
+    table = [
+        (widened(body), body, re.MULTILINE if i in rules.CASE_SENSITIVE else re.IGNORECASE)
+        for i, (_, _, body) in enumerate(rules.INJECTION_RULES)]
+    # `^` would be the start of the text here; the rule's other lead-ins need no sieve.
+    table = [(wide.replace(r"(?:^|\n|\.|\?|!)", ""), body, flags) for wide, body, flags in table]
+    any_rule = "|".join(wide for wide, _, _ in table)
+    twins = dict(_CASE_TWINS)
+
+    def match(texts: pa.Array) -> pa.Array:
+        folded = texts
+        for char, twin in twins.items():
+            folded = pc.replace_substring(folded, pattern=char, replacement=twin)
+        folded = pc.utf8_lower(folded)
+        may = pc.fill_null(pc.match_substring_regex(folded, pattern=any_rule), False)
+        left = np.nonzero(may.to_numpy(zero_copy_only=False))[0]
+        found: list[list[int]] = [[] for _ in range(len(texts))]
+        if len(left):
+            folded, raw = folded.take(pa.array(left)), texts.take(pa.array(left)).to_pylist()
+            for number, (wide, body, flags) in enumerate(table, start=1):
+                pairs = pc.match_substring_regex(folded, pattern=wide).to_numpy(zero_copy_only=False)
+                for i in np.nonzero(pairs)[0]:
+                    if re.search(body, raw[i], flags):
+                        found[left[i]].append(number)
+        return pa.array(found, pa.list_(pa.int32()))
+
+    return match
+
+
+matched_rules = F.arrow_udf(_matcher(), T.ArrayType(T.IntegerType()))
+
+
+def _looked_up(numbers: Column, values: list) -> Column:
+    table = F.array(*[F.lit(v) for v in values])
+    return F.transform(numbers, lambda n: F.element_at(table, n))
+
+
+def injection_score(df: DataFrame, column: str) -> DataFrame:
+    """Add `injection_score` (each rule counts once, however often it matches),
+    `matched_categories` (in rule order) and `is_injection`."""
+    weights = _looked_up(F.col("_rules"), [weight for _, weight, _ in rules.INJECTION_RULES])
+    categories = _looked_up(F.col("_rules"), [category for category, _, _ in rules.INJECTION_RULES])
     return (
-        df.withColumn("_may", may_match)
-        .withColumn("_folded", F.when(F.col("_may"), fold(F.col(column))))
-        .withColumn("_matched", F.coalesce(
-            F.when(F.col("_may"), matched_rules(F.col(column), F.col("_folded"))),
-            F.array().cast(_MATCHES)))
-        .withColumn("injection_score", score)
-        .withColumn("matched_categories",
-                    F.array_distinct(F.transform("_matched", lambda m: m["category"])))
+        df.withColumn("_rules", matched_rules(F.col(column)))
+        .withColumn("injection_score", F.aggregate(weights, F.lit(0.0), lambda total, w: total + w))
+        .withColumn("matched_categories", F.array_distinct(categories))
         .withColumn("is_injection", F.col("injection_score") >= rules.INJECTION_THRESHOLD)
-        .drop("_may", "_folded", "_matched")
+        .drop("_rules")
     )
 
 

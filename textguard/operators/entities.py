@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from textguard import rules
@@ -73,7 +74,7 @@ def dictionary_entities(df: DataFrame, row_id: str, text: str, dictionary: DataF
     row each; frequent words are split by adaptive execution.  At a place the
     longest name wins, and a place is one row of one text."""
     grams = _grams(_name_length(dictionary))
-    kind = df.select(row_id).schema.add("name", "string").add("start", "int").add("end", "int")
+    kind = df.select(row_id).schema.add("name", T.StringType()).add("start", T.IntegerType()).add("end", T.IntegerType())
     arrow = to_arrow_schema(kind)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

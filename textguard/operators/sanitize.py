@@ -33,8 +33,7 @@ def context_similarity(df: DataFrame, key: str, ts: str, row_id: str, text: str,
 
 def sanitize(df: DataFrame, prompt: str = "prompt", context_score: Column | None = None,
              embedding: Column | None = None, mean: Column | None = None,
-             rate_allowed: Column | None = None, model: tuple[str, str] | None = None,
-             gated: bool = True) -> DataFrame:
+             rate_allowed: Column | None = None, model: tuple[str, str] | None = None) -> DataFrame:
     """Rewrite the prompt in its cleaned form and add `sanitization_result`.
 
     Optional inputs: the overlap with recent texts (layer 2), an embedding and
@@ -55,7 +54,7 @@ def sanitize(df: DataFrame, prompt: str = "prompt", context_score: Column | None
         .withColumn("_l3", F.when(trivial, 0.0).otherwise(layer3))
         .withColumn(prompt, tx.clean(F.col("_nfkc")))
     )
-    scored = inj.injection_score(layered, prompt, gated)
+    scored = inj.injection_score(layered, prompt)
     if model is not None:
         scored = inj.add_model_score(scored, *model)
     reason = (

@@ -97,6 +97,6 @@ def similar_documents(queries: DataFrame, documents: DataFrame, query_id: str =
                       _DIGITS, _ROWS_AT_ONCE), schema)
             best = found if best is None else best.unionByName(found)
     if best is None:
-        return queries.sparkSession.createDataFrame([], schema.add("rank", "int"))
+        return queries.sparkSession.createDataFrame([], schema.add("rank", "integer"))
     order = Window.partitionBy(query_id).orderBy(F.desc("similarity"), F.col(doc_id))
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
