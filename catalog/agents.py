@@ -81,9 +81,12 @@ WHERE rn <= 10"""
 
 
 def tool_calls(spark, sf):
-    """Events as tool calls: the type gives the tool, value and id the rest."""
     utc(spark)
-    e = load(spark, sf, "events")
+    return tool_calls_from(load(spark, sf, "events"))
+
+
+def tool_calls_from(e):
+    """Events as tool calls: the type gives the tool, value and id the rest."""
     n = F.col("event_id")
     tool = (F.when(F.col("event_type") == "click", "search_tool").when(F.col("event_type") == "view", "file_tool")
             .when(F.col("event_type") == "purchase", "admin_tool").when(F.col("event_type") == "error", "shell_tool"))

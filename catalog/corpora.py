@@ -51,33 +51,34 @@ FROM (SELECT doc_id, sha256(text) AS content_hash, CASE WHEN embedding IS NOT NU
 
 
 def registry_upsert(spark, sf):
-    """Every document registered twice, with a text that changes for some."""
+    """All documents registered, the English ones once more, some with a new text."""
     docs = corpus(spark, sf)
     later = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" v2"))).otherwise(F.col("text")))
-    later = later.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY")).where("doc_id % 2 = 0")
+    english = load(spark, sf, "documents").where("lang = 'en'").select("doc_id")
+    later = later.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY")).join(english, "doc_id", "left_semi")
     both = integrity.upsert(registered(spark, sf, docs), registered(spark, sf, later))
     return both.select("doc_id", "content_hash", F.unix_seconds("last_verified").alias("written"))
 
 
 REGISTRY_UPSERT = """
-SELECT doc_id, sha256(text || CASE WHEN doc_id % 6 = 0 THEN ' v2' ELSE '' END) AS content_hash,
-       doc_id + CASE WHEN doc_id % 2 = 0 THEN 86400 ELSE 0 END AS written FROM documents"""
+SELECT doc_id, sha256(text || CASE WHEN lang = 'en' AND doc_id % 3 = 0 THEN ' v2' ELSE '' END) AS content_hash,
+       doc_id + CASE WHEN lang = 'en' THEN 86400 ELSE 0 END AS written FROM documents"""
 
 
 def stored(spark, sf):
     """What storage holds: some texts tampered with, some vectors shifted, some
-    documents gone, some new."""
-    d = corpus(spark, sf).where("doc_id % 19 <> 5").drop("ts")
+    documents stored under a new number, hence gone under the old one."""
+    d = corpus(spark, sf).drop("ts")
     text = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" TAMPERED"))).otherwise(F.col("text"))
     shifted = F.transform("embedding", lambda x: (x + 1).cast("float"))
     vector = F.when(F.col("doc_id") % 11 == 0, shifted).otherwise(F.col("embedding"))
-    new = d.where("doc_id % 13 = 0").withColumn("doc_id", F.col("doc_id") + 10_000_000)
-    return d.withColumn("text", text).withColumn("embedding", vector).unionByName(new)
+    moved = F.when(F.col("doc_id") % 19 == 5, F.col("doc_id") + 10_000_000).otherwise(F.col("doc_id"))
+    return d.withColumn("text", text).withColumn("embedding", vector).withColumn("doc_id", moved)
 
 
-_STORED = f"""(SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'content hash mismatch'
-     WHEN doc_id % 11 = 0 AND embedding IS NOT NULL THEN 'vector hash mismatch' END AS reason FROM {_CORPUS} WHERE doc_id % 19 <> 5
-  UNION ALL SELECT doc_id + 10000000, 'not registered' FROM {_CORPUS} WHERE doc_id % 19 <> 5 AND doc_id % 13 = 0)"""
+_STORED = f"""(SELECT CASE WHEN doc_id % 19 = 5 THEN doc_id + 10000000 ELSE doc_id END AS doc_id,
+     CASE WHEN doc_id % 19 = 5 THEN 'not registered' WHEN doc_id % 7 = 0 THEN 'content hash mismatch'
+     WHEN doc_id % 11 = 0 AND embedding IS NOT NULL THEN 'vector hash mismatch' END AS reason FROM {_CORPUS})"""
 
 
 def verify_documents(spark, sf):
@@ -141,20 +142,20 @@ SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN substring(sig, 1, 63) || translate(
 FROM (SELECT doc_id, {sql_hmac('sha256(text)')} AS sig FROM documents)"""
 
 
-# Planted vectors: every tenth once more, ten times as long; kept out of the baseline.
+# Planted vectors: each once more, ten times as long; kept out of the baseline.
 def vectors(spark, sf):
     return load(spark, sf, "embeddings").select("vec_id", "embedding")
 
 
 def with_outliers(spark, sf):
     v = vectors(spark, sf)
-    long = v.where("vec_id % 10 = 0").select(
+    long = v.select(
         (F.col("vec_id") + 1_000_000).alias("vec_id"), F.transform("embedding", lambda x: (x * 10).cast("float")).alias("embedding"))
     return v.unionByName(long)
 
 
 _OUTLIERS = """(SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
-  UNION ALL SELECT vec_id + 1000000, list_transform(embedding, lambda x: x * 10::FLOAT)::DOUBLE[] FROM embeddings WHERE vec_id % 10 = 0)"""
+  UNION ALL SELECT vec_id + 1000000, list_transform(embedding, lambda x: x * 10::FLOAT)::DOUBLE[] FROM embeddings)"""
 
 
 def vector_baseline(spark, sf):
@@ -219,12 +220,12 @@ SELECT vec_id, mahalanobis > 2.5 * sqrt(64) AS is_poisoned, round(mahalanobis, 4
 
 
 def baseline_refresh(spark, sf):
-    """A baseline of the even vectors grown by the odd ones, outliers left out,
-    equals the baseline of all."""
-    v = with_outliers(spark, sf)
-    even = base.vector_moments(v.where("vec_id % 2 = 0 AND vec_id < 1000000"))
-    odd = base.vector_poisoning(v.where("vec_id % 2 = 1 OR vec_id >= 1000000"), vectors(spark, sf))
-    b = base.baseline_from(base.refreshed_moments(even, odd))
+    """A baseline of some labels, grown by all other vectors and the outliers,
+    from which the outliers are left out, equals the baseline of all."""
+    known = load(spark, sf, "embeddings").where("label < 5").select("vec_id", "embedding")
+    added = with_outliers(spark, sf).join(known, "vec_id", "left_anti")
+    checked = base.vector_poisoning(added, vectors(spark, sf))
+    b = base.baseline_from(base.refreshed_moments(base.vector_moments(known), checked))
     return b.select("total_documents", F.posexplode("mean").alias("i", "m")).select(
         "total_documents", "i", F.round("m", 6).alias("mean"))
 

@@ -16,7 +16,6 @@ from textguard.functions import vectors as vec
 
 MOMENTS = ("dim int, n long, mean array<double>, scatter array<double>, "
            "norm_mean double, norm_scatter double")
-_MERGE_TASKS = 32
 _STD_FLOOR = 1e-6
 _MAX_CONDITION = 1e12
 
@@ -74,10 +73,10 @@ def _moments_fold(merge: bool):
 def vector_moments(df: DataFrame, embedding: str = "embedding") -> DataFrame:
     """One row per vector dimension: count, mean, scatter matrix, norm moments.
 
-    Each task sends one d x d matrix; 32 tasks merge them one at a time and a
-    last one merges their results, so no task holds more than two matrices."""
+    Each task sends one d x d matrix; the tasks of one shuffle merge them one at
+    a time and a last task merges their results, so none holds more than two."""
     partial = df.select(embedding).mapInArrow(_moments_fold(merge=False), MOMENTS)
-    return merge_moments(partial.repartition(_MERGE_TASKS, F.spark_partition_id()).mapInArrow(
+    return merge_moments(partial.repartition(F.spark_partition_id()).mapInArrow(
         _moments_fold(merge=True), MOMENTS))
 
 
@@ -141,6 +140,12 @@ def _models(baseline: Sequence[Row], ridge: float) -> dict:
     return models
 
 
+def _with_distances(df: DataFrame, baseline: Sequence[Row], embedding: str, ridge: float) -> DataFrame:
+    measure = _distances(_models(baseline, ridge))
+    return (df.withColumn("_d", measure(F.col(embedding)))
+            .withColumn("z_score", F.col("_d.z_score")).withColumn("mahalanobis", F.col("_d.mahalanobis")).drop("_d"))
+
+
 def vector_distances(df: DataFrame, baseline: DataFrame, embedding: str = "embedding",
                      ridge: float = 0.0) -> DataFrame:
     """Add `z_score` of the norm and `mahalanobis`; nulls without a baseline.
@@ -148,9 +153,7 @@ def vector_distances(df: DataFrame, baseline: DataFrame, embedding: str = "embed
     The baseline (one row per dimension) comes to the driver for its inverse and
     goes out with the task; its size depends on the dimension alone.  `ridge` is
     added to the variances, for fewer vectors than dimensions."""
-    measure = _distances(_models(baseline.collect(), ridge))
-    return (df.withColumn("_d", measure(F.col(embedding)))
-            .withColumn("z_score", F.col("_d.z_score")).withColumn("mahalanobis", F.col("_d.mahalanobis")).drop("_d"))
+    return _with_distances(df, baseline.collect(), embedding, ridge)
 
 
 def vector_anomalies(df: DataFrame, baseline: DataFrame, embedding: str = "embedding",
@@ -178,13 +181,12 @@ def vector_poisoning(df: DataFrame, safe: DataFrame, embedding: str = "embedding
     """Add `poisoning_detection`: distance from the safe vectors, verdict, and
     similarity to their mean (cosine, scaled to 0..1).  `retrieval` names a
     column of retrieval statistics to carry in the result."""
-    baseline = vector_baseline(safe, embedding, min_samples)
-    means = baseline.select("dim", "mean").collect()
+    baseline = vector_baseline(safe, embedding, min_samples).collect()
     mean = F.coalesce(*[
-        F.when(F.size(embedding) == row["dim"], F.array(*[F.lit(x) for x in row["mean"]])) for row in means],
+        F.when(F.size(embedding) == row["dim"], F.array(*[F.lit(x) for x in row["mean"]])) for row in baseline],
         F.lit(None).cast("array<double>"))
     similarity = (1.0 + vec.cosine(F.col(embedding), mean)) / 2.0
-    scored = vector_distances(df, baseline, embedding, ridge)
+    scored = _with_distances(df, baseline, embedding, ridge)
     stats = F.col(retrieval) if retrieval else F.lit(None).cast("string")
     return scored.withColumn("poisoning_detection", F.struct(
         F.coalesce(F.col("mahalanobis") > poison_threshold(F.col(embedding), sensitivity), F.lit(False)).alias("is_poisoned"),

@@ -45,6 +45,11 @@ def _checked(calls: DataFrame, scopes: DataFrame) -> DataFrame:
         .withColumn("_passes", F.col("_uses_tool") & F.col("_known") & passes))
 
 
+def passing_calls(calls: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Tool calls that pass every check but the usage cap, with their `max_uses`."""
+    return _checked(calls, scopes).where("_passes").select(*calls.columns, "max_uses")
+
+
 def authorize(calls: DataFrame, scopes: DataFrame, user: str = "user_id", ts: str = "ts",
               row_id: str = "call_id", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Add `is_allowed` and `reason` to each call, plus `tool_known`.

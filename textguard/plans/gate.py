@@ -53,8 +53,8 @@ def gate(requests: DataFrame, scopes: DataFrame, limits: Limits = rules.RATE_LIM
     a blocked prompt neither uses up a tool nor counts as a turn.
     """
     toxicity = F.col("toxicity_score") if "toxicity_score" in requests.columns else None
-    screened = durable(filter_text(
-        sanitize(requests, embedding=F.col("embedding")), "answer", toxicity).withColumnRenamed("answer", "_answer"))
+    texts = sanitize(requests.withColumn("raw_prompt", F.col("prompt")), embedding=F.col("embedding"))
+    screened = durable(filter_text(texts, "answer", toxicity).drop("answer"))
 
     narrow = screened.select("request_id", "ts", "user_id")
     limited = rate_limit(narrow, "user_id", "ts", "request_id", limits, rows_per_task).select(
@@ -103,4 +103,4 @@ def gate(requests: DataFrame, scopes: DataFrame, limits: Limits = rules.RATE_LIM
     results["output"] = "filter_result"
     decided = verdict(joined, failures, results)
     return decided.withColumn("response", F.when(F.col("is_blocked"), F.lit(rules.REFUSAL)).otherwise(
-        F.col("filter_result.filtered_text"))).drop("_answer", "_within_limit")
+        F.col("filter_result.filtered_text"))).drop("_within_limit")

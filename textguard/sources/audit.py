@@ -10,13 +10,23 @@ from pyspark.sql.streaming import StreamingQuery
 def audit_records(verdicts: DataFrame, keep_prompts: bool = False) -> DataFrame:
     """One record per request: verdict, reason and all guard results.
 
-    The prompt is stored as its hash unless `keep_prompts`; the answer is the
-    one given to the user, hence redacted."""
-    prompt = F.col("prompt") if keep_prompts else F.sha2("prompt", 256)
+    The prompt as sent is stored as its hash unless `keep_prompts`; the answer is
+    the one given to the user, hence redacted.  Without `keep_prompts` the results
+    lose their copy of the prompt as well, and the personal data they found."""
+    original = "raw_prompt" if "raw_prompt" in verdicts.columns else "prompt"
+    prompt = F.col(original) if keep_prompts else F.sha2(original, 256)
     name = "prompt" if keep_prompts else "prompt_hash"
     results = [c for c in (
         "sanitization_result", "enforcement_result", "context_tracking",
         "retrieval_analysis", "integrity_check", "filter_result") if c in verdicts.columns]
+    if not keep_prompts:
+        if "sanitization_result" in results:
+            verdicts = verdicts.withColumn(
+                "sanitization_result", F.col("sanitization_result").dropFields("sanitized_text"))
+        if "filter_result" in results:
+            bare = F.transform("filter_result.detected_entities", lambda e: e.dropFields("text"))
+            verdicts = verdicts.withColumn(
+                "filter_result", F.col("filter_result").withField("detected_entities", bare))
     return verdicts.select(
         F.to_date("ts").alias("date"), "request_id", "ts", "user_id", prompt.alias(name),
         "is_blocked", "reason", "response", *results)
