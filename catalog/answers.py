@@ -22,10 +22,8 @@ def documents(spark, sf):
 
 
 def pii_spans(spark, sf):
-    d = documents(spark, sf).select("doc_id", F.explode(pii.pii_spans(F.col("text"))).alias("s"))
-    return d.select("doc_id", F.col("s.type").alias("type"), F.col("s.text").alias("text"),
-                    F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"),
-                    F.col("s.confidence").alias("confidence"))
+    found = pii.span_rows(documents(spark, sf), "doc_id", pii.pii_spans(F.col("text")))
+    return found.withColumnsRenamed({"start": "start_at", "end": "end_at"})
 
 
 def _sql_spans(kind, body):
@@ -157,9 +155,8 @@ def gazetteer(spark, sf, customers):
 
 def entity_spans(spark, sf):
     find = entity_finder(gazetteer(spark, sf, customers=False))
-    e = named_documents(spark, sf).select("doc_id", F.explode(find("text")).alias("s"))
-    return e.select("doc_id", F.col("s.type").alias("type"), F.col("s.text").alias("text"),
-                    F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"))
+    found = pii.span_rows(named_documents(spark, sf), "doc_id", find("text"))
+    return found.withColumnsRenamed({"start": "start_at", "end": "end_at"}).drop("confidence")
 
 
 # The planted tail is the only place with names, so SQL can work out the offsets.

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textguard import rules
+from textguard.durable import spread
 from textguard.functions.injection import lower_pattern
 
 ATTACKS = (
@@ -68,7 +69,8 @@ THREATS = (
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    table = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(table) if name in ("documents", "conversations", "embeddings") else table
 
 
 def utc(spark: SparkSession) -> None:

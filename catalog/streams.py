@@ -16,7 +16,7 @@ from textguard.streaming import flows, stateful
 def events_stream(spark, sf):
     utc(spark)
     stateful.use_rocksdb(spark)
-    e = flows.read_stream(spark, f"{sf}/events.parquet")
+    e = flows.read_stream(spark, sf, "events.parquet")
     return e.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
 
 
@@ -32,7 +32,7 @@ STREAM_RATE_LIMIT = f"""SELECT user_id, event_id, allowed FROM (
 def stream_retrieval_counts(spark, sf):
     """Windows come out once the watermark has passed them."""
     utc(spark)
-    e = flows.read_stream(spark, f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    e = flows.read_stream(spark, sf, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     counts = flows.retrieval_counts_stream(e, "user_id", "ts", 3600, "2 hours")
     return flows.drain(counts, "retrieval-counts").select(
         "user_id", F.unix_seconds("window_start").alias("window_start"), "retrieval_count")
@@ -45,7 +45,7 @@ GROUP BY 1, 2 HAVING (window_start + 3600) * 1000000 <= (SELECT max(epoch_us(ts)
 
 def stream_sanitize(spark, sf):
     """A guard that looks at one row at a time runs on a stream as it is."""
-    c = flows.read_stream(spark, f"{sf}/conversations.parquet")
+    c = flows.read_stream(spark, sf, "conversations.parquet")
     c = c.withColumn("prompt", planted(F.col("text"), ATTACKS, number()))
     r = F.col("sanitization_result")
     clean = sanitize(c).select("conv_id", "turn", r["injection_score"].alias("injection_score"),
@@ -55,7 +55,7 @@ def stream_sanitize(spark, sf):
 
 def stream_drift(spark, sf):
     stateful.use_rocksdb(spark)
-    e = flows.read_stream(spark, f"{sf}/embeddings.parquet")
+    e = flows.read_stream(spark, sf, "embeddings.parquet")
     turns = e.select("vec_id", "embedding", F.pmod("vec_id", F.lit(25)).alias("user_id"),
                      F.timestamp_seconds(F.col("vec_id") * 60).alias("ts"))
     tracked = stateful.drift_stream(turns, "user_id", "ts", "vec_id", "embedding", DRIFT, CHANGE)
@@ -84,7 +84,7 @@ STREAM_USAGE_CAPS = f"SELECT user_id, tool_name, call_id, is_allowed FROM {sql_a
 def stream_context(spark, sf):
     utc(spark)
     stateful.use_rocksdb(spark)
-    c = flows.read_stream(spark, f"{sf}/conversations.parquet")
+    c = flows.read_stream(spark, sf, "conversations.parquet")
     seconds = F.col("turn") * 60 + F.floor(F.col("turn") / 3) * 240
     c = (c.withColumn("text", planted(F.col("text"), ATTACKS, number())).withColumn("request_id", number())
          .withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + seconds)).withWatermark("ts", "1 hour"))

@@ -41,3 +41,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """`df` marked for broadcast if it has at most `max_rows` rows, else unchanged,
     in which case the join shuffles."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores where its files give fewer parts than there are cores.
+
+    For costly per-row work on a small table in one file; a large table has more
+    parts than cores and is left as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textguard import rules
@@ -14,13 +14,19 @@ SPAN = "struct<type:string,text:string,start:int,end:int,confidence:double>"
 def _may_contain(text: Column, kind: str) -> Column:
     """A cheap test that spares most texts the pattern: emails have an @ sign,
     everything else has a digit."""
-    return text.contains("@") if kind == "email" else text.rlike("[0-9]|[^\\x00-\\x7F]")
+    return text.contains("@") if kind == "email" else text.rlike(r"\p{Nd}")
+
+
+def _regex(body: str) -> str:
+    """The pattern, looking for its leading digit before it looks for a word
+    edge, which costs more and is there or not at every place of a text."""
+    return pattern(rf"(?=\d){body}" if body.startswith(r"\b\d") else body)
 
 
 def _spans_of(text: Column, kind: str, body: str) -> Column:
     """Spans of one type.  The pieces between the matches give the offsets: a
     match starts after all pieces and matches before it."""
-    regex = pattern(body)
+    regex = _regex(body)
     found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
     pieces = F.split(text, regex, -1)
     steps = F.zip_with(
@@ -48,6 +54,15 @@ def pii_spans(text: Column) -> Column:
         F.coalesce(_spans_of(text, kind, body), none) for kind, body in rules.PII_PATTERNS.items()])
 
 
+def span_rows(df: DataFrame, row_id: str, spans: Column) -> DataFrame:
+    """Spans as rows: `row_id, type, text, start, end, confidence`.
+
+    An outer explode: before a plain one Spark puts a filter for empty arrays,
+    which would work out the spans a second time."""
+    return (df.select(row_id, F.explode_outer(spans).alias("_s")).where("_s is not null")
+            .select(row_id, "_s.*"))
+
+
 def redact_pii(text: Column) -> Column:
     """Each span replaced by `[REDACTED-<type>]`, type by type.
 
@@ -55,7 +70,7 @@ def redact_pii(text: Column) -> Column:
     """
     out = text
     for kind, body in rules.PII_PATTERNS.items():
-        redacted = F.regexp_replace(out, pattern(body), f"[REDACTED-{kind}]")
+        redacted = F.regexp_replace(out, _regex(body), f"[REDACTED-{kind}]")
         out = F.when(_may_contain(text, kind), redacted).otherwise(out)
     return out
 

@@ -12,12 +12,14 @@ from textguard.operators.integrity import upsert
 from textguard.operators.retrieval import retrieval_counts
 
 
-def read_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A stream over the Parquet files of a path, in the schema they have."""
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+def read_stream(spark: SparkSession, folder: str, files: str = "*", files_per_trigger: int = 100) -> DataFrame:
+    """A stream over the Parquet files of a folder, in the schema they have.
+
+    The limit of files bounds a micro-batch, and so what a key can bring at once."""
+    schema = spark.read.option("pathGlobFilter", files).parquet(folder).schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", files).option(
+        "maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(folder)
 
 
 def append_to(df: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
