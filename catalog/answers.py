@@ -8,10 +8,11 @@ from catalog.common import PERSONAL, load, picked, planted, quoted, sql_picked,
 from catalog.prompts import SQL_NUMBER, number
 from textguard import rules
 from textguard.functions import pii, policy
+from textguard.functions import vectors as vec
 from textguard.operators import retrieval as ret
 from textguard.operators.entities import dictionary_entities, entity_finder
-from textguard.operators.output import filter_text
-from textguard.operators.toxicity import toxicity_score, train_toxicity
+from textguard.operators.output import dictionary_keywords, filter_text
+from textguard.operators.toxicity import text_embedding, toxicity_score, train_toxicity
 
 _DOCS = f"(SELECT doc_id, {sql_planted('text', PERSONAL, 'doc_id')} AS text FROM documents)"
 
@@ -92,6 +93,23 @@ def sql_violations(text, length="2000"):
 POLICY_CHECK = f"SELECT doc_id, coalesce(array_to_string({sql_violations('text')}, '; '), '') AS violations FROM {_DOCS}"
 
 
+def dictionary_keywords_query(spark, sf):
+    """The keyword lists as a table, and the source names as a third list."""
+    lists = [(w, "restricted") for w in rules.RESTRICTED_KEYWORDS] + [(w, "blacklist") for w in rules.BLACKLISTED_KEYWORDS]
+    table = spark.createDataFrame(lists, "keyword string, list string").unionByName(
+        load(spark, sf, "documents").select(F.lower("lang").alias("keyword"), F.lit("language").alias("list")).distinct())
+    found = dictionary_keywords(documents(spark, sf), "doc_id", "text", table)
+    return found.select("doc_id", "list", F.array_join("keywords", ",").alias("keywords"))
+
+
+_LISTS = ", ".join(f"({quoted(w)}, 'restricted')" for w in rules.RESTRICTED_KEYWORDS) + ", " + ", ".join(
+    f"({quoted(w)}, 'blacklist')" for w in rules.BLACKLISTED_KEYWORDS)
+DICTIONARY_KEYWORDS = f"""
+WITH k AS (SELECT * FROM (VALUES {_LISTS}) AS t(keyword, list) UNION SELECT DISTINCT lower(lang), 'language' FROM documents),
+w AS (SELECT DISTINCT doc_id, unnest({sql_words('text')}) AS keyword FROM {_DOCS})
+SELECT doc_id, list, string_agg(keyword, ',' ORDER BY keyword) AS keywords FROM w JOIN k USING (keyword) GROUP BY doc_id, list"""
+
+
 def toxicity_stand_in(row):
     return F.pmod(row * 13, F.lit(100)) / 100.0
 
@@ -187,6 +205,16 @@ def toxicity(spark, sf):
     return toxicity_score(d, model).select("doc_id", F.round("toxicity_score", 4).alias("toxicity_score"))
 
 
+def text_embedding_query(spark, sf):
+    """Hashed word counts as unit vectors, for tables without embeddings."""
+    e = text_embedding(load(spark, sf, "conversations"))
+    return e.select("conv_id", "turn", F.size("embedding").alias("dim"),
+                    F.round(vec.norm(F.col("embedding")), 6).alias("length"))
+
+
+TEXT_EMBEDDING = "SELECT conv_id, turn, 64 AS dim, 1.0::DOUBLE AS length FROM conversations"
+
+
 def keyword_density(spark, sf):
     d = load(spark, sf, "documents")
     stuffing = ("", "password " * 6, "buy " * 500)
@@ -286,7 +314,9 @@ QUERIES = {
     "missing_disclaimers": (missing_disclaimers, MISSING_DISCLAIMERS),
     "entity_spans": (entity_spans, ENTITY_SPANS),
     "dictionary_entities": (dictionary_entities_query, DICTIONARY_ENTITIES),
+    "dictionary_keywords": (dictionary_keywords_query, DICTIONARY_KEYWORDS),
     "toxicity_score": (toxicity, None),
+    "text_embedding": (text_embedding_query, TEXT_EMBEDDING),
     "keyword_density": (keyword_density, KEYWORD_DENSITY),
     "token_counts": (token_counts, TOKEN_COUNTS),
     "retrieval_counts": (retrieval_counts, RETRIEVAL_COUNTS),

@@ -70,7 +70,7 @@ THREATS = (
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     table = spark.read.parquet(f"{folder}/{name}.parquet")
-    return spread(table) if name in ("documents", "conversations", "embeddings") else table
+    return spread(table) if name in ("documents", "conversations") else table
 
 
 def utc(spark: SparkSession) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.common import load
+from textguard.durable import spread
 from textguard.functions import hashing
 from textguard.functions import vectors as vec
 from textguard.operators import baseline as base
@@ -144,7 +145,7 @@ FROM (SELECT doc_id, {sql_hmac('sha256(text)')} AS sig FROM documents)"""
 
 # Planted vectors: each once more, ten times as long; kept out of the baseline.
 def vectors(spark, sf):
-    return load(spark, sf, "embeddings").select("vec_id", "embedding")
+    return spread(load(spark, sf, "embeddings").select("vec_id", "embedding"))
 
 
 def with_outliers(spark, sf):

@@ -7,9 +7,8 @@ cost hardly depends on their number; then rule by rule, on the texts left; and
 last the rule as written, on the few pairs of text and rule left.  The first two
 let through whatever could match, so the last one alone decides.
 
-The result is an array of rule numbers.  As it comes from a function the
-optimizer does not look into, filters on the score are never pushed below it,
-where they would match everything twice.
+The function is declared non-deterministic, so that a filter on the score is
+not pushed below it, where it would match everything a second time.
 """
 
 from __future__ import annotations
@@ -78,19 +77,19 @@ def _matcher():
     return match
 
 
-matched_rules = F.arrow_udf(_matcher(), T.ArrayType(T.IntegerType()))
+matched_rules = F.arrow_udf(_matcher(), T.ArrayType(T.IntegerType())).asNondeterministic()
 
 
-def _looked_up(numbers: Column, values: list) -> Column:
-    table = F.array(*[F.lit(v) for v in values])
-    return F.transform(numbers, lambda n: F.element_at(table, n))
+def _looked_up(numbers: str, values: list[str]) -> Column:
+    """The values at the given places of a literal table."""
+    return F.expr(f"transform({numbers}, n -> element_at(array({', '.join(values)}), n))")
 
 
 def injection_score(df: DataFrame, column: str) -> DataFrame:
     """Add `injection_score` (each rule counts once, however often it matches),
     `matched_categories` (in rule order) and `is_injection`."""
-    weights = _looked_up(F.col("_rules"), [weight for _, weight, _ in rules.INJECTION_RULES])
-    categories = _looked_up(F.col("_rules"), [category for category, _, _ in rules.INJECTION_RULES])
+    weights = _looked_up("_rules", [f"{weight}D" for _, weight, _ in rules.INJECTION_RULES])
+    categories = _looked_up("_rules", [f"'{category}'" for category, _, _ in rules.INJECTION_RULES])
     return (
         df.withColumn("_rules", matched_rules(F.col(column)))
         .withColumn("injection_score", F.aggregate(weights, F.lit(0.0), lambda total, w: total + w))

@@ -39,12 +39,17 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
-@F.arrow_udf(T.StringType())
-def _nfkc(texts: pa.Array) -> pa.Array:
+def _normalized(texts: pa.Array) -> pa.Array:
     # Not pc.utf8_normalize: it leaves letters decomposed.
     return pa.array([t and unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
 
+# Arrow functions are declared non-deterministic, although they are not: Catalyst
+# would otherwise copy them into filters and into arguments of one another, and
+# so run them several times.
+_nfkc = F.arrow_udf(_normalized, T.StringType()).asNondeterministic()
+
+
 def nfkc(text: Column) -> Column:
     """NFKC form.  Spark has no such function, so non-ASCII texts go through
     Arrow; ASCII texts are their own NFKC form and are sent as nulls."""

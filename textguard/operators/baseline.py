@@ -126,7 +126,7 @@ def _distances(models: dict):
             [pa.array(z_scores, mask=missing), pa.array(distances, mask=missing)], ["z_score", "mahalanobis"])
 
     kind = T.StructType([T.StructField("z_score", T.DoubleType()), T.StructField("mahalanobis", T.DoubleType())])
-    return F.arrow_udf(measure, kind)
+    return F.arrow_udf(measure, kind).asNondeterministic()
 
 
 def _models(baseline: Sequence[Row], ridge: float) -> dict:

@@ -63,7 +63,7 @@ def entity_finder(dictionary: DataFrame, max_names: int = MAX_NAMES):
             out.append(found)
         return pa.array(out, spans)
 
-    return F.arrow_udf(find, f"array<{SPAN}>")
+    return F.arrow_udf(find, f"array<{SPAN}>").asNondeterministic()
 
 
 def dictionary_entities(df: DataFrame, row_id: str, text: str, dictionary: DataFrame) -> DataFrame:

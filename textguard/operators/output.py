@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textguard import rules
 from textguard.functions import pii, policy
+from textguard.functions import text as tx
 
 
 def filter_text(df: DataFrame, text: str = "text", toxicity: Column | None = None,
@@ -33,3 +34,15 @@ def filter_text(df: DataFrame, text: str = "text", toxicity: Column | None = Non
         checked.withColumn("filter_result", result)
         .withColumn(text, F.when(F.col("_safe"), F.col(text)).otherwise(F.lit(rules.HARM_REFUSAL)))
         .drop("_pii", "_spans", "_violations", "_toxicity", "_safe"))
+
+
+def dictionary_keywords(df: DataFrame, row_id: str, text: str, dictionary: DataFrame) -> DataFrame:
+    """Whole-word matches against a keyword table (`keyword`, `list`) of any
+    size: `row_id, list, keywords`, the keywords sorted.
+
+    Each text's words are made distinct where they are, so a word shuffles once
+    per text; what is gathered is at most a text's own vocabulary."""
+    words = df.select(row_id, F.explode_outer(F.array_distinct(tx.words(F.col(text)))).alias("keyword"))
+    names = dictionary.select("keyword", "list").distinct()
+    return (words.where("keyword is not null").join(names, "keyword").groupBy(row_id, "list")
+            .agg(F.array_sort(F.collect_list("keyword")).alias("keywords")))
