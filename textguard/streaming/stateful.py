@@ -73,7 +73,7 @@ def rate_limit_stream(requests: DataFrame, key: str, ts: str, row_id: str,
             self._timer.update((expiry,))
             yield batch[[key, ts, row_id]].assign(allowed=allowed)
 
-        def handleExpiredTimer(self, key_values, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             self._buckets.clear()
             self._timer.clear()
             return iter(())
@@ -107,21 +107,25 @@ def drift_stream(turns: DataFrame, key: str, ts: str, row_id: str, embedding: st
         def init(self, handle: StatefulProcessorHandle) -> None:
             self._handle = handle
             self._turns = handle.getValueState(
-                "turns", "first array<double>, previous array<double>, similarity double, n long, alert double")
+                "turns", "first array<double>, previous array<double>, similarity double, n long, alert double, seen double")
             self._timer = handle.getValueState("timer", "at long")
 
         def handleInputRows(self, key_values, rows, timerValues) -> Iterator[pd.DataFrame]:
             batch = gather(rows, [ts, row_id])
             if batch.empty:
                 return
-            first = previous = last_alert = None
+            first = previous = last_alert = seen = None
             similarity, n = 0.0, 0
             if self._turns.exists():
-                first, previous, similarity, n, last_alert = self._turns.get()
+                first, previous, similarity, n, last_alert, seen = self._turns.get()
                 first, previous = np.array(first), np.array(previous)
             found = []
             for moment, vector in zip(batch[ts], batch[embedding]):
                 vector = np.asarray(vector, dtype=np.float64)
+                seconds = pd.Timestamp(moment).value / 1e9
+                if idle_seconds is not None and seen is not None and seconds - seen > idle_seconds:
+                    n = 0
+                seen = seconds
                 n += 1
                 drift = change = 0.0
                 if n == 1:
@@ -131,12 +135,11 @@ def drift_stream(turns: DataFrame, key: str, ts: str, row_id: str, embedding: st
                     drift = 1.0 - cosine(vector, first)
                     change = abs(similarity - before) if n >= 3 else 0.0
                 previous = vector
-                seconds = pd.Timestamp(moment).value / 1e9
                 quiet = last_alert is None or seconds - last_alert >= alert_interval
                 alert = quiet and (drift > drift_threshold or change > change_threshold)
                 last_alert = seconds if alert else last_alert
                 found.append((similarity, drift, change, alert))
-            self._turns.update((first.tolist(), previous.tolist(), similarity, n, last_alert))
+            self._turns.update((first.tolist(), previous.tolist(), similarity, n, last_alert, seen))
             if idle_seconds is not None:
                 if self._timer.exists():
                     self._handle.deleteTimer(self._timer.get()[0])
@@ -147,7 +150,7 @@ def drift_stream(turns: DataFrame, key: str, ts: str, row_id: str, embedding: st
                 name: [f[i] for f in found]
                 for i, name in enumerate(("similarity", "drift", "change_rate", "is_suspicious"))})
 
-        def handleExpiredTimer(self, key_values, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             self._turns.clear()
             self._timer.clear()
             return iter(())
@@ -175,20 +178,23 @@ def usage_cap_stream(passing: DataFrame, user: str, tool: str, ts: str, row_id:
     class Counter(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self._handle = handle
-            self._used = handle.getValueState("used", "n long")
+            self._used = handle.getValueState("used", "n long, last long")
             self._timer = handle.getValueState("timer", "at long")
 
         def handleInputRows(self, key_values, rows, timerValues) -> Iterator[pd.DataFrame]:
             batch = gather(rows, [ts, row_id])
             if batch.empty:
                 return
-            used = self._used.get()[0] if self._used.exists() else 0
+            used, last = self._used.get() if self._used.exists() else (0, None)
             allowed = []
-            for limit in batch[cap]:
-                ok = limit < 0 or used < limit
-                used += ok
-                allowed.append(bool(ok))
-            self._used.update((int(used),))
+            for moment, limit in zip(batch[ts], batch[cap]):
+                micros = pd.Timestamp(moment).value // 1000
+                if session_seconds is not None and last is not None and micros - last > session_seconds * 1_000_000:
+                    used = 0
+                ok = bool(limit < 0 or used < limit)
+                used, last = used + ok, micros
+                allowed.append(ok)
+            self._used.update((int(used), int(last)))
             if session_seconds is not None:
                 if self._timer.exists():
                     self._handle.deleteTimer(self._timer.get()[0])
@@ -197,7 +203,7 @@ def usage_cap_stream(passing: DataFrame, user: str, tool: str, ts: str, row_id:
                 self._timer.update((expiry,))
             yield batch[[user, tool, ts, row_id]].assign(is_allowed=allowed)
 
-        def handleExpiredTimer(self, key_values, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             self._used.clear()
             self._timer.clear()
             return iter(())
@@ -244,7 +250,7 @@ def context_stream(requests: DataFrame, key: str, ts: str, row_id: str, text: st
             self._timer.update((expiry,))
             yield batch[[key, ts, row_id]].assign(context_score=scores)
 
-        def handleExpiredTimer(self, key_values, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             self._recent.clear()
             self._timer.clear()
             return iter(())
