@@ -13,7 +13,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from copy import copy
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -203,8 +205,8 @@ class Ordered:
 
 # A kernel takes the times (microseconds) of consecutive rows of one key and the
 # state before them (None = none), and returns the output columns and the state
-# after each row.  It must be a closure: closures travel to executors by value.
-Kernel = Callable[[list[int], tuple | None], tuple[dict[str, list], list[tuple]]]
+# after the last row.  It must be a closure: closures travel to executors by value.
+Kernel = Callable[[list[int], tuple | None], tuple[dict[str, list], tuple]]
 
 
 def _sequential(keys: Sequence[str], state: Sequence[str], schema: pa.Schema, kernel: Kernel):
@@ -212,27 +214,38 @@ def _sequential(keys: Sequence[str], state: Sequence[str], schema: pa.Schema, ke
 
     It holds one Arrow batch and one state at a time, however many rows a key
     has, and carries the state over batch borders."""
+    def run_ends(batch: pa.RecordBatch) -> list[int]:
+        """Where the key changes, found column by column (null equals null)."""
+        n = batch.num_rows
+        changed = np.zeros(max(n - 1, 0), dtype=bool)
+        for name in keys:
+            here, following = batch.column(name).slice(0, n - 1), batch.column(name).slice(1)
+            same = pc.if_else(pc.and_(here.is_null(), following.is_null()), True,
+                              pc.fill_null(pc.equal(here, following), False))
+            changed |= ~same.to_numpy(zero_copy_only=False)
+        return [*(np.nonzero(changed)[0] + 1).tolist(), n]
+
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key, last_state = None, None
         for batch in batches:
-            marks = list(zip(*[batch.column(k).to_pylist() for k in keys]))
+            if not batch.num_rows:
+                continue
             micros = batch.column("_micros").to_pylist()
-            given = list(zip(*[batch.column(f"_in_{s}").to_pylist() for s in state]))
             added: dict[str, list] = {}
             start = 0
-            for end in range(1, len(marks) + 1):
-                if end < len(marks) and marks[end] == marks[start]:
-                    continue
-                if marks[start] != last_key:
-                    last_state = None if None in given[start] else given[start]
-                columns, states = kernel(micros[start:end], last_state)
-                columns |= {f"_out_{s}": [row[i] for row in states] for i, s in enumerate(state)}
+            for end in run_ends(batch):
+                key = tuple(batch.column(k)[start].as_py() for k in keys)
+                if key != last_key:
+                    given = tuple(batch.column(f"_in_{s}")[start].as_py() for s in state)
+                    last_key, last_state = key, None if None in given else given
+                columns, last_state = kernel(micros[start:end], last_state)
                 for name, cells in columns.items():
                     added.setdefault(name, []).extend(cells)
-                last_key, last_state = marks[start], states[-1]
+                for name, value in zip(state, last_state):
+                    added.setdefault(f"_out_{name}", []).extend([None] * (end - start - 1) + [value])
                 start = end
             yield pa.RecordBatch.from_arrays([
-                pa.array(added.get(f.name, []), f.type) if f.name in added or not marks else batch.column(f.name)
+                pa.array(added[f.name], f.type) if f.name in added else batch.column(f.name)
                 for f in schema], schema=schema)
     return fold
 
@@ -243,7 +256,10 @@ def _run_kernel(rows: DataFrame, keys: Sequence[str], order: Sequence[str], stat
     added = T._parse_datatype_string(outputs).fields
     after = [T.StructField(f"_out_{s}", T.DoubleType()) for s in state]
     schema = T.StructType([*kept, *added, *after])
-    sorted_rows = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+    # A fixed number of parts: adaptive execution would go by bytes and put these
+    # narrow rows, which take long to work on, into few tasks.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_rows = rows.repartition(parts, *keys).sortWithinPartitions(*keys, *order)
     return sorted_rows.mapInArrow(_sequential(keys, state, to_arrow_schema(schema), kernel), schema)
 
 
@@ -254,7 +270,7 @@ def sequential(df: DataFrame, keys: Sequence[str], order: Sequence[str], state:
 
     `df` should hold only keys and order columns; the first order column is the
     time.  `outputs` is the schema of the kernel's columns; `state` names its
-    state values (doubles), returned as `_out_<name>`.
+    state values (doubles).
 
     A pause of `reset_seconds` must bring any state back to the initial one.
     Large keys are cut there, which gives independent pieces.  A piece that is
@@ -266,9 +282,10 @@ def sequential(df: DataFrame, keys: Sequence[str], order: Sequence[str], state:
     if isinstance(df.schema[order[0]].dataType, T.TimestampNTZType):
         time = time.cast("timestamp")
     rows = df.withColumn("_micros", F.unix_micros(time))
+    after = [f"_out_{s}" for s in state]
     large = large_keys(df.select(*keys), keys, rows_per_task)
     if large is None:
-        return _run_kernel(rows.withColumns(empty), keys, order, state, outputs, kernel)
+        return _run_kernel(rows.withColumns(empty), keys, order, state, outputs, kernel).drop(*after)
 
     def cut_at_pauses(d: DataFrame, window: WindowSpec) -> DataFrame:
         pause = F.col("_micros") - F.lag("_micros").over(window) >= int(reset_seconds * 1e6)
@@ -279,7 +296,7 @@ def sequential(df: DataFrame, keys: Sequence[str], order: Sequence[str], state:
     unit = [*keys, "_piece"]
     large_pieces = large_keys(pieces.select(*unit), unit, rows_per_task)
     if large_pieces is None:
-        return _run_kernel(pieces.withColumns(empty), unit, order, state, outputs, kernel).drop("_piece")
+        return _run_kernel(pieces.withColumns(empty), unit, order, state, outputs, kernel).drop("_piece", *after)
     segmented = durable(with_segments(pieces, unit, order, large_pieces, rows_per_task))
     rounds = segmented.agg(F.max(SEGMENT)).first()[0] + 1
     done, carried = None, None
@@ -289,6 +306,7 @@ def sequential(df: DataFrame, keys: Sequence[str], order: Sequence[str], state:
             part = part.withColumns(empty)
         else:
             part = join_null_safe(part, carried, unit, "left")
+        # A piece's last row holds the state it leaves.
         result = durable(_run_kernel(part, unit, order, state, outputs, kernel))
         done = result if done is None else done.unionByName(result)
         ends = result.groupBy(*unit).agg(*[
@@ -297,4 +315,4 @@ def sequential(df: DataFrame, keys: Sequence[str], order: Sequence[str], state:
         if carried is not None:
             ends = ends.unionByName(join_null_safe(carried, ends.select(*unit), unit, "left_anti"))
         carried = durable(ends)
-    return done.drop("_piece")
+    return done.drop("_piece", *after)

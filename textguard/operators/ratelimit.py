@@ -15,25 +15,26 @@ Limits = Sequence[tuple[str, float, float]]
 def bucket_step(limits: Limits) -> Callable[[int, tuple | None], tuple[bool, tuple]]:
     """A function for one request against the buckets in order.
 
-    State: (last use, tokens) per bucket.  Each bucket reached is refilled and
-    marked as used, then pays one token; the first that cannot pay denies, and
-    later buckets are left alone.  Tokens paid before a denial stay paid.
+    State: (last use in microseconds, tokens) per bucket.  Each bucket reached is
+    refilled and marked as used, then pays one token; the first that cannot pay
+    denies, and later buckets are left alone.  Tokens paid before a denial stay paid.
 
     It is a closure, so that it travels to the executors by value.
     """
-    buckets = [(cap, rate) for _, cap, rate in limits]
+    buckets = [(2 * i, cap, rate) for i, (_, cap, rate) in enumerate(limits)]
 
     def step(micros: int, state: tuple | None) -> tuple[bool, tuple]:
-        if state is None:
-            after = [v for cap, _ in buckets for v in (float(micros), cap)]
-        else:
-            after = list(state)
-        for i, (cap, rate) in enumerate(buckets):
-            tokens = min(cap, after[2 * i + 1] + (micros - after[2 * i]) / 1e6 * rate)
-            after[2 * i], after[2 * i + 1] = float(micros), tokens
+        now = float(micros)
+        after = list(state) if state is not None else [v for _, cap, _ in buckets for v in (now, cap)]
+        for i, cap, rate in buckets:
+            tokens = after[i + 1] + (now - after[i]) / 1e6 * rate
+            if tokens > cap:
+                tokens = cap
+            after[i] = now
             if tokens < 1.0:
+                after[i + 1] = tokens
                 return False, tuple(after)
-            after[2 * i + 1] = tokens - 1.0
+            after[i + 1] = tokens - 1.0
         return True, tuple(after)
 
     return step
@@ -52,22 +53,22 @@ def rate_limit(df: DataFrame, key: str, ts: str, row_id: str,
     Only the three columns are shuffled; join the result back on `row_id`.
     Requests count in the order of (ts, row_id).
     """
-    state = [part for name, _, _ in limits for part in (f"{name}_last", f"{name}_tokens")]
-
+    names = [f"{name}_tokens" for name, _, _ in limits]
+    state = [part for name, _, _ in limits for part in (f"{name}_last", f"{name}_left")]
     step = bucket_step(limits)
 
     def kernel(micros, before):
-        allowed, states = [], []
+        allowed, left = [], [[] for _ in names]
         for moment in micros:
             ok, before = step(moment, before)
             allowed.append(ok)
-            states.append(before)
-        return {"allowed": allowed}, states
+            for column, tokens in zip(left, before[1::2]):
+                column.append(tokens)
+        return {"allowed": allowed, **dict(zip(names, left))}, before
 
-    out = sequential(df.select(key, ts, row_id), [key], [ts, row_id], state,
-                     "allowed boolean", kernel, refill_seconds(limits), rows_per_task)
-    return (out.withColumnsRenamed({f"_out_{n}_tokens": f"{n}_tokens" for n, _, _ in limits})
-            .drop(*[f"_out_{n}_last" for n, _, _ in limits]))
+    schema = ", ".join(["allowed boolean", *[f"{n} double" for n in names]])
+    return sequential(df.select(key, ts, row_id), [key], [ts, row_id], state, schema, kernel,
+                      refill_seconds(limits), rows_per_task)
 
 
 def cooldown(alerts: DataFrame, key: str, ts: str, row_id: str, seconds: float,
@@ -79,13 +80,12 @@ def cooldown(alerts: DataFrame, key: str, ts: str, row_id: str, seconds: float,
     """
     def kernel(micros, before):
         last = before[0] if before is not None else None
-        fires, states = [], []
+        fires = []
         for moment in micros:
             fire = last is None or (moment - last) / 1e6 >= seconds
             last = float(moment) if fire else last
             fires.append(fire)
-            states.append((last,))
-        return {"fires": fires}, states
+        return {"fires": fires}, (last,)
 
     return sequential(alerts.select(key, ts, row_id), [key], [ts, row_id], ["last_fired"],
-                      "fires boolean", kernel, seconds, rows_per_task).drop("_out_last_fired")
+                      "fires boolean", kernel, seconds, rows_per_task)
