@@ -8,7 +8,7 @@ from catalog.common import SHORT, load, picked, quoted, sql_picked, utc
 from catalog.prompts import SQL_NUMBER, number
 from textguard import rules
 from textguard.operators import agent_state, permissions
-from textguard.operators.drift import conversation_drift, drift_alerts, last_n
+from textguard.operators.drift import conversation_drift, cooled_alerts, drift_alerts, last_n
 
 DRIFT, CHANGE = 1.1, 0.3
 
@@ -55,9 +55,9 @@ def drift_alerts_query(spark, sf):
                     r["reason"].alias("reason"))
 
 
-def sql_alert(drift="drift", change="change_rate"):
+def sql_alert(drift="drift", change="change_rate", change_limit=CHANGE):
     return f"""CASE WHEN {drift} > {DRIFT} THEN 'Context drift (' || printf('%.2f', {drift}) || ') exceeds threshold ({DRIFT:.2f})'
-     WHEN {change} > {CHANGE} THEN 'Context change rate (' || printf('%.2f', {change}) || ') exceeds threshold ({CHANGE:.2f})' END"""
+     WHEN {change} > {change_limit} THEN 'Context change rate (' || printf('%.2f', {change}) || ') exceeds threshold ({change_limit:.2f})' END"""
 
 
 _TEXTS = sql_picked((*SHORT, *["a longer question here"] * 15), "vec_id * 7")
@@ -71,6 +71,29 @@ FROM (SELECT user_id, vec_id, drift, similarity, change_rate
       UNION ALL SELECT user_id, vec_id, 0.0, 1.0, 0.0 FROM {_TURNS} WHERE trivial)"""
 
 
+def cooled_drift_alerts(spark, sf):
+    """The alerts of `drift_alerts`, at most one per user and two hours."""
+    t = vector_turns(spark, sf).withColumn("text", picked((*SHORT, *["a longer question here"] * 15), F.col("vec_id") * 7))
+    tracked = drift_alerts(t, "user_id", "ts", "vec_id", "text", drift_threshold=DRIFT, change_threshold=0.15)
+    return cooled_alerts(tracked, "user_id", "ts", "vec_id", 7200.0).select(
+        "user_id", "vec_id", F.col("context_tracking.is_suspicious").alias("is_suspicious"),
+        F.col("context_tracking.reason").alias("reason"))
+
+
+_FIRST_ALERTS = f"""SELECT user_id, vec_id, {sql_alert(change_limit=0.15)} AS reason
+  FROM ({sql_drift(f"(SELECT * FROM {_TURNS} WHERE NOT trivial)", 'user_id', 'vec_id')})"""
+COOLED_DRIFT_ALERTS = f"""
+WITH RECURSIVE a AS (SELECT user_id, vec_id, row_number() OVER (PARTITION BY user_id ORDER BY vec_id) AS rn
+                     FROM ({_FIRST_ALERTS}) WHERE reason IS NOT NULL),
+r AS (SELECT user_id, vec_id, vec_id AS last, rn, true AS fires FROM a WHERE rn = 1
+      UNION ALL
+      SELECT a.user_id, a.vec_id, CASE WHEN (a.vec_id - r.last) * 60 >= 7200 THEN a.vec_id ELSE r.last END, a.rn,
+             (a.vec_id - r.last) * 60 >= 7200
+      FROM r JOIN a ON a.user_id = r.user_id AND a.rn = r.rn + 1)
+SELECT e.vec_id % 25 AS user_id, e.vec_id, coalesce(fires, false) AS is_suspicious, CASE WHEN fires THEN reason END AS reason
+FROM embeddings e LEFT JOIN r USING (vec_id) LEFT JOIN ({_FIRST_ALERTS}) f USING (vec_id)"""
+
+
 def last_n_turns(spark, sf):
     return last_n(vector_turns(spark, sf), "user_id", "ts", "vec_id").select("user_id", "vec_id")
 
@@ -276,6 +299,7 @@ FROM (SELECT *, CASE WHEN len(constraints) > 0 THEN sha256(to_json({{'constraint
 QUERIES = {
     "conversation_drift": (conversation_drift_query, CONVERSATION_DRIFT),
     "drift_alerts": (drift_alerts_query, DRIFT_ALERTS),
+    "cooled_drift_alerts": (cooled_drift_alerts, COOLED_DRIFT_ALERTS),
     "last_n_turns": (last_n_turns, LAST_N_TURNS),
     "tool_authorize": (tool_authorize, TOOL_AUTHORIZE),
     "tool_audit": (tool_audit, TOOL_AUDIT),

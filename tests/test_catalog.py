@@ -16,7 +16,7 @@ FLAGS = {
     "tool_authorize": "is_allowed", "tool_audit": "success", "role_access": "working_hours", "turn_order": "temporal_violation",
     "verify_documents": "is_valid", "hmac_verify": "signature_valid", "vector_anomalies": "is_anomaly",
     "vector_poisoning": "is_poisoned", "activation_check": "is_poisoned", "request_gate": "is_blocked",
-    "sequential_pattern": "sequential_pattern", "stream_usage_caps": "is_allowed", "stream_drift": "is_suspicious",
+    "cooled_drift_alerts": "is_suspicious", "sequential_pattern": "sequential_pattern", "stream_usage_caps": "is_allowed", "stream_drift": "is_suspicious",
 }
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textguard.operators.drift import conversation_drift, first_n, last_n
-from textguard.operators.ordered import Ordered, large_keys, with_segments
+from textguard.operators.ordered import Ordered, large_keys, micros, with_segments
 from textguard.operators.ratelimit import bucket_step, cooldown, rate_limit
 
 SLOW = (("burst", 3.0, 1 / 21600), ("sustained", 10.0, 1 / 86400))
@@ -127,3 +127,15 @@ def test_drift(spark, small):
     plain = conversation_drift(turns, "user", "vec_id", "vec_id").drop("embedding")
     split = conversation_drift(turns, "user", "vec_id", "vec_id", rows_per_task=20).drop("embedding")
     pd.testing.assert_frame_equal(frame(plain, "vec_id"), frame(split, "vec_id"))
+
+
+def test_time_ignores_changes_of_clocks(spark):
+    """02:30 does not exist on that day in New York, 01:30 exists twice on the other."""
+    texts = ["2024-03-10 01:30:00", "2024-03-10 02:30:00.000001", "2024-11-03 00:30:00", "2024-11-03 01:30:00", "2024-11-03 02:30:00"]
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("ts", F.col("t").cast("timestamp_ntz"))
+        got = [r[0] for r in df.select(micros(df, "ts")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == [pd.Timestamp(t).value // 1000 for t in texts]

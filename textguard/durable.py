@@ -50,3 +50,10 @@ def spread(df: DataFrame) -> DataFrame:
     parts than cores and is left as it is, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def shuffle_parts(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions, but no more than eight per core:
+    each part costs a Python worker or a state store a start."""
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(configured, 8 * spark.sparkContext.defaultParallelism)

@@ -39,15 +39,18 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
-def _normalized(texts: pa.Array) -> pa.Array:
-    # Not pc.utf8_normalize: it leaves letters decomposed.
-    return pa.array([t and unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
+def _normalizer():
+    def normalize(texts: pa.Array) -> pa.Array:
+        # Not pc.utf8_normalize: it leaves letters decomposed.
+        return pa.array([t and unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
+    return normalize
 
-# Arrow functions are declared non-deterministic, although they are not: Catalyst
-# would otherwise copy them into filters and into arguments of one another, and
-# so run them several times.
-_nfkc = F.arrow_udf(_normalized, T.StringType()).asNondeterministic()
+
+# Arrow functions are closures, so that they travel to executors by value, and are
+# declared non-deterministic, although they are not: Catalyst would otherwise copy
+# them into filters and into arguments of one another, and so run them several times.
+_nfkc = F.arrow_udf(_normalizer(), T.StringType()).asNondeterministic()
 
 
 def nfkc(text: Column) -> Column:

@@ -9,6 +9,7 @@ from textguard import rules
 from textguard.functions import vectors as vec
 from textguard.functions.text import is_trivial_turn
 from textguard.operators.ordered import ROWS_PER_TASK, Ordered
+from textguard.operators.ratelimit import cooldown
 
 
 def conversation_drift(df: DataFrame, key: str, ts: str, row_id: str, embedding: str = "embedding",
@@ -61,8 +62,7 @@ def drift_alerts(df: DataFrame, key: str, ts: str, row_id: str, text: str, embed
 
     Trivial turns are no part of a conversation's sequence: they are set aside
     before the windows and come back with fixed values.  `is_suspicious` does
-    not know about a cooldown; pass the suspicious rows through
-    `ratelimit.cooldown` if one applies."""
+    not know about a cooldown; see `cooled_alerts`."""
     trivial = F.coalesce(is_trivial_turn(F.col(text)), F.lit(False))
     columns = df.columns
     tracked = conversation_drift(df.where(~trivial), key, ts, row_id, embedding, rows_per_task)
@@ -78,6 +78,22 @@ def drift_alerts(df: DataFrame, key: str, ts: str, row_id: str, text: str, embed
     return tracked.unionByName(untracked)
 
 
+def cooled_alerts(tracked: DataFrame, key: str, ts: str, row_id: str, seconds: float,
+                  rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """`context_tracking` with alerts suppressed that come less than `seconds`
+    after the last one that fired.  Only the alerts are shuffled and looked at in
+    order; `row_id` must be unique."""
+    alerts = tracked.where("context_tracking.is_suspicious")
+    fired = cooldown(alerts, key, ts, row_id, seconds, rows_per_task).where("fires").select(
+        F.col(row_id).alias("_row"), F.lit(True).alias("_fires"))
+    joined = tracked.join(fired, F.col(row_id) == F.col("_row"), "left")
+    fires = F.coalesce(F.col("_fires"), F.lit(False))
+    tracking = F.col("context_tracking")
+    return joined.withColumn(
+        "context_tracking", tracking.withField("is_suspicious", fires).withField(
+            "reason", F.when(fires, tracking["reason"]))).drop("_row", "_fires")
+
+
 # Up to this number Spark limits a ranked window before it shuffles.
 _GROUP_LIMIT = 1000
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from textguard.durable import durable
+from textguard.durable import durable, shuffle_parts
 
 ROWS_PER_TASK = 5_000_000
 _FANOUT = 256
@@ -44,16 +44,23 @@ def large_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int) -> DataFr
     return None if large.isEmpty() else durable(large)
 
 
+def micros(df: DataFrame, column: str) -> Column:
+    """A timestamp column as microseconds.  Timestamps without zone are taken as
+    they read, so that no change of clocks in the session's zone disturbs their
+    order or the time between them."""
+    if not isinstance(df.schema[column].dataType, T.TimestampNTZType):
+        return F.unix_micros(F.col(column).cast("timestamp"))
+    days = F.datediff(F.col(column).cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    seconds = days * 86400 + F.hour(column) * 3600 + F.minute(column) * 60
+    return seconds * 1_000_000 + (F.expr(f"extract(SECOND FROM `{column}`)") * 1_000_000).cast("long")
+
+
 def _position(df: DataFrame, column: str) -> Column | None:
     """A number that grows with an order column, if its type allows one."""
     kind = df.schema[column].dataType
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(column).cast("double")
-    if isinstance(kind, T.TimestampNTZType):
-        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
-    if isinstance(kind, T.NumericType):
-        return F.col(column).cast("double")
-    return None
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return micros(df, column).cast("double")
+    return F.col(column).cast("double") if isinstance(kind, T.NumericType) else None
 
 
 def with_segments(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -258,7 +265,7 @@ def _run_kernel(rows: DataFrame, keys: Sequence[str], order: Sequence[str], stat
     schema = T.StructType([*kept, *added, *after])
     # A fixed number of parts: adaptive execution would go by bytes and put these
     # narrow rows, which take long to work on, into few tasks.
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = shuffle_parts(rows.sparkSession)
     sorted_rows = rows.repartition(parts, *keys).sortWithinPartitions(*keys, *order)
     return sorted_rows.mapInArrow(_sequential(keys, state, to_arrow_schema(schema), kernel), schema)
 
@@ -278,10 +285,7 @@ def sequential(df: DataFrame, keys: Sequence[str], order: Sequence[str], state:
     pieces side by side, each round starting from the states the last one left.
     """
     empty = {f"_in_{s}": F.lit(None).cast("double") for s in state}
-    time = F.col(order[0])
-    if isinstance(df.schema[order[0]].dataType, T.TimestampNTZType):
-        time = time.cast("timestamp")
-    rows = df.withColumn("_micros", F.unix_micros(time))
+    rows = df.withColumn("_micros", micros(df, order[0]))
     after = [f"_out_{s}" for s in state]
     large = large_keys(df.select(*keys), keys, rows_per_task)
     if large is None:

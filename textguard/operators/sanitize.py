@@ -9,7 +9,7 @@ from textguard import rules
 from textguard.functions import injection as inj
 from textguard.functions import text as tx
 from textguard.functions import vectors as vec
-from textguard.operators.ordered import ROWS_PER_TASK, Ordered
+from textguard.operators.ordered import ROWS_PER_TASK, Ordered, micros
 
 
 def context_similarity(df: DataFrame, key: str, ts: str, row_id: str, text: str,
@@ -24,7 +24,7 @@ def context_similarity(df: DataFrame, key: str, ts: str, row_id: str, text: str,
             recent.append(F.when(age < seconds * 1_000_000, F.lag("_words", i).over(window)))
         return rows.withColumn("_recent", F.flatten(F.array_compact(F.array(*recent))))
 
-    rows = (df.withColumn("_micros", F.unix_micros(F.col(ts).cast("timestamp")))
+    rows = (df.withColumn("_micros", micros(df, ts))
             .withColumn("_words", F.array_distinct(tx.words(F.col(text)))))
     found = Ordered(rows, [key], [ts, row_id], rows_per_task).look_back(rules.CONTEXT_TEXTS, add).rows()
     score = F.when(F.size("_recent") > 0, tx.jaccard(F.col("_words"), F.col("_recent"))).otherwise(0.0)
