@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from textguard import rules
+
 
 def audit_records(verdicts: DataFrame, keep_prompts: bool = False) -> DataFrame:
     """One record per request: verdict, reason and all guard results.
@@ -56,7 +58,7 @@ def security_events(verdicts: DataFrame) -> DataFrame:
     events = []
     if "sanitization_result" in verdicts.columns:
         r = F.col("sanitization_result")
-        events.append(event("early_exit_triggered", r["exit_probability"] > 0.99, F.struct(
+        events.append(event("early_exit_triggered", r["exit_probability"] > rules.EXIT_TRIGGER, F.struct(
             r["exit_probability"].alias("exit_probability"))))
     if "context_tracking" in verdicts.columns:
         r = F.col("context_tracking")
