@@ -124,7 +124,7 @@ def text_rules(text: str = "text") -> list[Rule]:
     return rules({name: measure(column) for name, measure in MEASURES.items()})
 
 
-def order_rules(docs: DataFrame, todo: Sequence[Rule], sample_rows: int = 1000, runs: int = 2) -> list[Rule]:
+def order_rules(docs: DataFrame, todo: Sequence[Rule], sample_rows: int = 200, runs: int = 2) -> list[Rule]:
     """Rules by rejections per second on the first `sample_rows` rows, best first."""
     sample = durable(docs.limit(sample_rows))
     seconds: dict[str, float] = {}
@@ -146,12 +146,12 @@ def broken(ordered: Sequence[Rule]) -> Column:
     return out
 
 
-def cascade(docs: DataFrame, text: str = "text", sample_rows: int = 1000) -> DataFrame:
+def cascade(docs: DataFrame, text: str = "text", sample_rows: int = 200) -> DataFrame:
     """The documents that no rule rejects, with all their columns."""
     return docs.where(broken(order_rules(docs, text_rules(text), sample_rows)).isNull())
 
 
-def measured(docs: DataFrame, doc: str = "doc_id", text: str = "text", sample_rows: int = 1000) -> DataFrame:
+def measured(docs: DataFrame, doc: str = "doc_id", text: str = "text", sample_rows: int = 200) -> DataFrame:
     """Per document the measures, base_failed (too few words, or too many of them in repeated
     windows) and kept: base_failed documents go without more ado, the rest run the cascade."""
     order = [rule.name for rule in order_rules(docs.select(doc, text), text_rules(text), sample_rows)]
