@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textguard.llm import chat, quality
+from textguard.llm import chat, quality, simhash
 from textguard.llm.words import table
 
 
@@ -58,7 +58,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM v
 """
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: XXH64 is no SQL function; tests compare with brute force."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat": (op1_chat, OP1_SQL),
     "op5_quality": (op5_quality, OP5_SQL),
+    "op8_simhash": (op8_simhash, None),
 }
