@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textguard.llm import chat, covertree, packing, quality, simhash
+from textguard.llm import chat, covertree, language, packing, quality, simhash
 from textguard.llm.words import table
 
 
@@ -67,6 +67,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM v
 """
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: iterative; tests hold counts against a loop and predictions against held-out labels."""
+    return language.languages(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL: XXH64 is no SQL function; tests compare with brute force."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -94,6 +99,7 @@ QUERIES = {
     "op1_chat": (op1_chat, OP1_SQL),
     "op4_packing": (op4_packing, None),
     "op5_quality": (op5_quality, OP5_SQL),
+    "op7_language": (op7_language, None),
     "op8_simhash": (op8_simhash, None),
     "op10_vectors": (op10_vectors, OP10_SQL),
 }
