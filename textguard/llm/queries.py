@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textguard.llm import chat, covertree, language, packing, quality, simhash
+from textguard.llm import chat, covertree, language, packing, quality, simhash, warc
 from textguard.llm.words import table
 
 
@@ -77,6 +77,58 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page is captured twice: a response at the time its number gives, and a not-modified
+    answer to a later request (for every seventh page, an earlier one) by the validators of
+    the first. Pages with one canonical URL see each other's captures."""
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", "url", F.md5(F.coalesce("html", F.lit(""))).alias("md5"), F.length(F.coalesce("html", F.lit(""))).alias("n"))
+    number = F.col("page_id").cast("string")
+    tag = F.when(F.col("page_id") % 3 == 0, F.lit(None)).otherwise(F.concat(
+        F.when(F.col("page_id") % 3 == 1, F.lit("W/\"")).otherwise(F.lit("\"")), F.substring("md5", 1, 8), F.lit("\"")))
+    date = F.when(F.col("page_id") % 5 != 0, F.concat(F.lit("day "), F.substring("md5", 9, 2)))
+
+    def headers(**fields) -> Column:
+        pairs = F.array(*[F.struct(F.lit(name.replace("_", "-")).alias("key"), value.alias("value")) for name, value in fields.items()])
+        return F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
+
+    first = pages.select(
+        (2 * F.col("page_id")).alias("record_id"), "url", (10 * F.col("page_id")).alias("ts"), F.lit("response").alias("type"),
+        headers(ETag=tag, Last_Modified=date, Date=number, Content_Length=F.col("n").cast("string"),
+                Content_Type=F.lit("text/html")).alias("headers"))
+    again = pages.select(
+        (2 * F.col("page_id") + 1).alias("record_id"), "url",
+        F.when(F.col("page_id") % 7 == 0, 10 * F.col("page_id") - 5).otherwise(10 * F.col("page_id") + 20_005).alias("ts"),
+        F.lit("revisit").alias("type"),
+        headers(etag=F.regexp_replace(tag, "^W/", ""), last_modified=date, date=F.concat(F.lit("again "), number),
+                content_length=F.lit("0"), cache_control=F.lit("max-age=60")).alias("headers"))
+    found = warc.resolve_revisits(first.unionByName(again))
+    return found.withColumn("headers", warc.header_text(F.col("headers")))
+
+
+OP9_SQL = r"""
+WITH p AS (SELECT page_id, md5(coalesce(html, '')) AS m, length(coalesce(html, '')) AS n,
+  regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^(?i)https?://', '') AS bare FROM pages),
+h AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^.*@', ''), '^www[0-9]*\.|:(80|443)$', '', 'g') AS host,
+  regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+  array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'),
+    lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))), '&') AS query FROM p),
+c AS (SELECT page_id, m, n, host || path || CASE WHEN query = '' THEN '' ELSE '?' || query END AS url,
+  CASE WHEN page_id % 3 <> 0 THEN '"' || m[1:8] || '"' END AS tag, CASE WHEN page_id % 5 <> 0 THEN 'day ' || m[9:10] END AS day,
+  CASE WHEN page_id % 3 = 1 THEN 'W/' ELSE '' END AS weak FROM h),
+v AS (SELECT *, CASE WHEN page_id % 7 = 0 THEN 10 * page_id - 5 ELSE 10 * page_id + 20005 END AS ts FROM c),
+j AS (SELECT v.page_id, v.url, v.tag, v.day, s.page_id AS sid, s.tag AS stag, s.day AS sday, s.n AS sn, s.weak AS sweak FROM v
+  ASOF LEFT JOIN (SELECT *, 10 * page_id AS at FROM c) s ON v.url = s.url AND v.ts > s.at),
+o AS (SELECT *, CASE WHEN sid IS NULL THEN 'no_response' WHEN tag = stag THEN 'resolved' WHEN tag <> stag THEN 'changed'
+  WHEN day = sday THEN 'resolved' WHEN day <> sday THEN 'changed' ELSE 'unverified' END AS outcome FROM j)
+SELECT 2 * page_id + 1 AS record_id, url AS canonical_url, outcome, 2 * sid AS refers_to, CASE WHEN outcome = 'resolved' THEN
+  'cache-control: max-age=60' || chr(10) || 'content-length: ' || sn || chr(10) || 'content-type: text/html' || chr(10)
+  || 'date: again ' || page_id || coalesce(chr(10) || 'etag: ' || coalesce(tag, sweak || stag), '')
+  || coalesce(chr(10) || 'last-modified: ' || coalesce(day, sday), '') END AS headers
+FROM o
+"""
+
+
 def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -101,5 +153,6 @@ QUERIES = {
     "op5_quality": (op5_quality, OP5_SQL),
     "op7_language": (op7_language, None),
     "op8_simhash": (op8_simhash, None),
+    "op9_revisits": (op9_revisits, OP9_SQL),
     "op10_vectors": (op10_vectors, OP10_SQL),
 }
