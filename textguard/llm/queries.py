@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textguard.llm import chat, covertree, language, packing, piecewise, quality, simhash, warc
+from textguard.llm import chat, covertree, language, lines, packing, piecewise, quality, simhash, warc
 from textguard.llm.words import table
 
 
@@ -73,6 +73,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM v
 """
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: MinHash buckets; tests hold the classes against all pairs."""
+    return lines.dedup_lines(table(spark, sf_dir, "documents")).select("row.doc_id", "text", "n_lines", "n_removed")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL: iterative; tests hold counts against a loop and predictions against held-out labels."""
     return language.languages(table(spark, sf_dir, "documents"))
@@ -158,6 +163,7 @@ QUERIES = {
     "op2_sentencepiece": (op2_sentencepiece, None),
     "op4_packing": (op4_packing, None),
     "op5_quality": (op5_quality, OP5_SQL),
+    "op6_lines": (op6_lines, None),
     "op7_language": (op7_language, None),
     "op8_simhash": (op8_simhash, None),
     "op9_revisits": (op9_revisits, OP9_SQL),
