@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textguard.llm import chat, covertree, language, lines, packing, piecewise, quality, simhash, warc
+from textguard.llm import chat, covertree, language, lines, packing, piecewise, quality, scoring, simhash, warc
 from textguard.llm.words import table
 
 
@@ -42,6 +42,11 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
 
 
+def op3_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL for the model; tests hold the base score against plain counts."""
+    return scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL: byte-pair ids are no SQL function; tests compare with the tokenizers library."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -161,6 +166,7 @@ FROM embeddings e JOIN c ON c.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 QUERIES = {
     "op1_chat": (op1_chat, OP1_SQL),
     "op2_sentencepiece": (op2_sentencepiece, None),
+    "op3_scoring": (op3_scoring, None),
     "op4_packing": (op4_packing, None),
     "op5_quality": (op5_quality, OP5_SQL),
     "op6_lines": (op6_lines, None),
