@@ -63,15 +63,16 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """doc, fp (a signed long with the fingerprint's bits)."""
+    """doc, th (hash of the text), fp (a signed long with the fingerprint's bits)."""
     rows = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    rows = rows.select("doc", F.xxhash64("text").alias("th"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64)
-            yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64))], ["doc", "fp"])
+            found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(2)], np.uint64)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["doc", "th", "fp"])
 
-    return rows.mapInArrow(run, "doc long, fp long")
+    return rows.mapInArrow(run, "doc long, th long, fp long")
 
 
 def block_lengths(blocks: int, bits: int = 64) -> list[int]:
@@ -242,3 +243,17 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", sh
     return rows.join(named, "fp").select(
         F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"))
+
+
+def first_of_each(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
+    """The rows of `docs` with one row per component: the one with the smallest id (null ids last)."""
+    rows = durable(fingerprints(docs, doc, text, shingle))
+    classes = components(linked(rows, distance))
+    by_fp = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "th")).alias("least"))
+    least = by_fp.join(classes, by_fp.fp == classes.id, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(
+        F.min("least").alias("least"))
+    keep = least.select(F.col("least.doc").alias("doc"), F.col("least.th").alias("th"))
+    whole = docs.select(F.struct("*").alias("row"), F.col(doc).cast("long").alias("doc"),
+                        F.xxhash64(F.col(text).cast("string")).alias("th"))
+    found = whole.alias("w").join(keep.alias("k"), F.col("w.doc").eqNullSafe(F.col("k.doc")) & (F.col("w.th") == F.col("k.th")), "left_semi")
+    return found.dropDuplicates(["doc", "th"]).select("row.*")
