@@ -195,18 +195,18 @@ def effective_permissions(spark, sf):
     e = load(spark, sf, "events")
     grants = e.where("event_type = 'purchase'").select(
         "user_id", F.concat(F.lit("special_"), F.pmod("event_id", F.lit(3)).cast("string")).alias("permission"),
-        (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("expires_at"))
+        F.col("ts").alias("granted_at"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("expires_at"))
     calls = e.select("event_id", "user_id", "ts", F.array(F.lit("read")).alias("permissions"))
     p = permissions.effective_permissions(calls, grants)
     return p.select("event_id", F.array_join("effective_permissions", ",").alias("effective"))
 
 
 EFFECTIVE_PERMISSIONS = """
-WITH g AS (SELECT user_id, 'special_' || (event_id % 3) AS permission, max(ts + INTERVAL 1 DAY) AS expires_at
-           FROM events WHERE event_type = 'purchase' GROUP BY 1, 2)
+WITH g AS (SELECT user_id, 'special_' || (event_id % 3) AS permission, ts AS granted_at, ts + INTERVAL 1 DAY AS expires_at
+           FROM events WHERE event_type = 'purchase')
 SELECT e.event_id, array_to_string(list_sort(list_concat(['read'],
-         coalesce(list(g.permission) FILTER (g.permission IS NOT NULL), []))), ',') AS effective
-FROM events e LEFT JOIN g ON e.user_id = g.user_id AND e.ts < g.expires_at GROUP BY e.event_id"""
+         coalesce(list(DISTINCT g.permission) FILTER (g.permission IS NOT NULL), []))), ',') AS effective
+FROM events e LEFT JOIN g ON e.user_id = g.user_id AND e.ts >= g.granted_at AND e.ts < g.expires_at GROUP BY e.event_id"""
 
 
 def role_access(spark, sf):
@@ -220,13 +220,19 @@ def role_access(spark, sf):
     claimed = F.when(n % 5 == 0, F.array(F.lit("delete"))).otherwise(F.array(F.lit("read")))
     agent = F.when(n % 17 == 0, F.lit("system")).otherwise(F.concat(F.lit("agent"), F.col("user_id").cast("string")))
     resource = picked(("public_docs", "private_docs", "system_docs", "other"), n)
-    held = permissions.role_permissions(role, extra)
     ts = F.col("ts").cast("timestamp")
-    return e.select(
-        "event_id", F.array_join(F.array_sort(held), ",").alias("permissions"),
-        F.array_contains(held, "write").alias("may_write"), permissions.within_working_hours(ts).alias("working_hours"),
-        permissions.resource_allowed(resource, held).alias("resource_allowed"),
+    rows = e.select(
+        "event_id", role.alias("role"), extra.alias("extra"), resource.alias("resource"),
+        permissions.within_working_hours(ts).alias("working_hours"),
         permissions.escalation_attempt(role, claimed, agent).alias("escalation_attempt"))
+    pairs = [spark.createDataFrame([(name, value) for name, values in entries.items() for value in ([values] if isinstance(values, str) else values)], schema)
+             for entries, schema in ((rules.ROLE_PERMISSIONS, "role string, permission string"),
+                                     (rules.IMPLIED_PERMISSIONS, "permission string, implies string"),
+                                     (rules.RESOURCE_PERMISSIONS, "resource string, permission string"))]
+    held = permissions.with_resource_access(permissions.with_permissions(rows, pairs[0], pairs[1]), pairs[2])
+    return held.select(
+        "event_id", F.array_join("held", ",").alias("permissions"), F.array_contains("held", "write").alias("may_write"),
+        "working_hours", "resource_allowed", "escalation_attempt")
 
 
 ROLE_ACCESS = """
@@ -236,7 +242,7 @@ b AS (SELECT *, CASE role WHEN 'user' THEN ['read'] WHEN 'reader' THEN ['read','
                 WHEN 'admin' THEN ['read','write','delete','query'] ELSE [] END AS base FROM r),
 h AS (SELECT *, list_sort(list_distinct(list_concat(base, CASE event_id % 4
                 WHEN 0 THEN ['advanced_read','read','query','basic_read']
-                WHEN 1 THEN ['system_access','basic_read','advanced_read'] ELSE []::VARCHAR[] END))) AS held FROM b)
+                WHEN 1 THEN ['system_access','basic_read','advanced_read','read','query'] ELSE []::VARCHAR[] END))) AS held FROM b)
 SELECT event_id, array_to_string(held, ',') AS permissions, list_contains(held, 'write') AS may_write,
        isodow(ts) <= 5 AND hour(ts) >= 8 AND hour(ts) < 18 AS working_hours,
        coalesce(list_contains(held, CASE resource WHEN 'public_docs' THEN 'basic_read' WHEN 'private_docs' THEN 'advanced_read'

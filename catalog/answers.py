@@ -12,7 +12,7 @@ from textguard.functions import vectors as vec
 from textguard.operators import retrieval as ret
 from textguard.operators.entities import dictionary_entities, entity_finder
 from textguard.operators.output import dictionary_keywords, filter_text
-from textguard.operators.toxicity import text_embedding, toxicity_score, train_toxicity
+from textguard.operators.toxicity import text_embedding, toxicity_score, train_toxicity, word_odds_score, word_weights
 
 _DOCS = f"(SELECT doc_id, {sql_planted('text', PERSONAL, 'doc_id')} AS text FROM documents)"
 
@@ -198,7 +198,27 @@ DICTIONARY_ENTITIES = _ENTITIES.format(customers="UNION ALL SELECT c_name, 'PERS
 
 
 def toxicity(spark, sf):
-    """Scores of all documents by a model trained on the labelled ones."""
+    """Scores of all documents by the words of the labelled ones."""
+    d = load(spark, sf, "documents").select("doc_id", "text")
+    labels = load(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
+    scores = word_odds_score(d, word_weights(d.join(labels, "doc_id")), "doc_id")
+    return scores.select("doc_id", F.round("toxicity_score", 4).alias("toxicity_score"))
+
+
+TOXICITY = r"""
+WITH w AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[ \t\n\r]+'), lambda x: x <> '')) AS word
+           FROM documents WHERE text IS NOT NULL),
+t AS (SELECT sum(toxic) AS t1, sum(1 - toxic) AS t0 FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL),
+c AS (SELECT word, sum(toxic) AS n1, sum(1 - toxic) AS n0 FROM w JOIN labels USING (doc_id) GROUP BY word HAVING count(*) >= 3),
+s AS (SELECT word, ln((n1 + 1) / (t1 + 2)) - ln((n0 + 1) / (t0 + 2)) AS weight FROM c, t),
+o AS (SELECT doc_id, sum(weight) AS odds FROM w JOIN s USING (word) GROUP BY doc_id)
+SELECT d.doc_id, round(CASE WHEN d.text IS NULL THEN 0.0
+  ELSE 1 / (1 + exp(-(coalesce(o.odds, 0) + ln((t1 + 1) / (t0 + 1))))) END, 4)::DOUBLE AS toxicity_score
+FROM documents d CROSS JOIN t LEFT JOIN o ON o.doc_id = d.doc_id"""
+
+
+def toxicity_model(spark, sf):
+    """Scores of all documents by a logistic regression trained on the labelled ones."""
     d = load(spark, sf, "documents").select("doc_id", "text")
     labels = load(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
     model = train_toxicity(d.join(labels, "doc_id"))
@@ -315,7 +335,8 @@ QUERIES = {
     "entity_spans": (entity_spans, ENTITY_SPANS),
     "dictionary_entities": (dictionary_entities_query, DICTIONARY_ENTITIES),
     "dictionary_keywords": (dictionary_keywords_query, DICTIONARY_KEYWORDS),
-    "toxicity_score": (toxicity, None),
+    "toxicity_score": (toxicity, TOXICITY),
+    "toxicity_model": (toxicity_model, None),
     "text_embedding": (text_embedding_query, TEXT_EMBEDDING),
     "keyword_density": (keyword_density, KEYWORD_DENSITY),
     "token_counts": (token_counts, TOKEN_COUNTS),

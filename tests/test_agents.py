@@ -90,14 +90,36 @@ def test_hours(spark, when, allowed):
 
 
 def test_grants(spark):
-    grants = spark.createDataFrame([("u", "special_access", "2025-08-28 15:00:00"), ("u", "special_access", "2025-08-28 13:00:00")],
-                                   "user_id string, permission string, expires_at string")
-    grants = grants.withColumn("expires_at", F.col("expires_at").cast("timestamp"))
-    asked = spark.createDataFrame([("u", "2025-08-28 14:00:00"), ("u", "2025-08-28 16:00:00"), ("v", "2025-08-28 14:00:00")],
-                                  "user_id string, ts string")
+    given = [("u", "special", "2025-08-28 12:00:00", "2025-08-28 13:00:00"), ("u", "special", "2025-08-28 12:30:00", "2025-08-28 15:00:00"),
+             ("u", "special", "2025-09-28 10:00:00", "2025-12-28 10:00:00"), ("u", "other", "2025-08-28 13:00:00", "2025-08-28 13:00:00"),
+             ("v", "other", "2025-01-01 00:00:00", "2026-01-01 00:00:00"), ("u", "late", "2025-08-28 14:00:00", "2025-08-28 15:00:00")]
+    grants = spark.createDataFrame(given, "user_id string, permission string, granted_at string, expires_at string").withColumns(
+        {c: F.col(c).cast("timestamp") for c in ("granted_at", "expires_at")})
+    times = ["2025-08-28 11:59:59", "2025-08-28 12:00:00", "2025-08-28 13:30:00", "2025-08-28 14:30:00", "2025-08-28 15:00:00", "2025-11-11 00:00:00"]
+    asked = spark.createDataFrame([(u, t) for u in ("u", "v", "w") for t in times], "user_id string, ts string")
     asked = asked.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("permissions", F.array(F.lit("read")))
-    got = permissions.effective_permissions(asked, grants).orderBy("user_id", "ts").collect()
-    assert [r.effective_permissions for r in got] == [["read", "special_access"], ["read"], ["read"]]
+    want = [["read"], ["read", "special"], ["read", "special"], ["late", "read", "special"], ["read"], ["read", "special"]]
+    want += [["other", "read"]] * 6 + [["read"]] * 6
+    for rows_per_task in (5_000_000, 2):
+        got = permissions.effective_permissions(asked, grants, rows_per_task=rows_per_task).orderBy("user_id", "ts").collect()
+        assert [r.effective_permissions for r in got] == want
+    spans = permissions.merged_grants(grants).groupBy("user_id", "permission").count().collect()
+    assert {(r.user_id, r.permission): r["count"] for r in spans} == {("u", "special"): 2, ("v", "other"): 1, ("u", "late"): 1}
+
+
+def test_permission_tables(spark):
+    implies = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "a"), ("x", "y")], "permission string, implies string")
+    roles = spark.createDataFrame([("r", "c"), ("r", "z"), ("s", "x")], "role string, permission string")
+    df = spark.createDataFrame([(1, "r", ["x"]), (2, "s", None), (3, None, ["y", "y"]), (4, "t", []), (5, "r", ["x"])],
+                               "i int, role string, extra array<string>")
+    held = permissions.with_permissions(df, roles, implies)
+    assert {r.i: r.held for r in held.collect()} == {
+        1: ["a", "b", "c", "d", "e", "x", "y", "z"], 2: ["x", "y"], 3: ["y"], 4: [], 5: ["a", "b", "c", "d", "e", "x", "y", "z"]}
+    assert permissions.closed({"a": ["b"], "b": ["c", "a"]}) == {"a": ["b", "c"], "b": ["c", "a"]}
+    asked = held.withColumn("resource", F.when(F.col("i") < 3, "docs").otherwise("none"))
+    resources = spark.createDataFrame([("docs", "z")], "resource string, permission string")
+    assert {r.i: r.resource_allowed for r in permissions.with_resource_access(asked, resources).collect()} == {
+        1: True, 2: False, 3: False, 4: False, 5: False}
 
 
 def test_escalation_and_resources(spark):

@@ -130,7 +130,9 @@ def test_guards(spark):
     assert suite.apply(df).where("i = 4").first().blocked_by is None
     assert suite.enable("off") and suite.apply(df).where("i = 4").first().blocked_by == "Output blocked by off"
     many = GuardSuite([Guard(str(i), lambda d: d) for i in range(60)])
-    assert len(many.names()) == rules.MAX_GUARDS
+    assert len(many.names()) == 60
+    with pytest.raises(ValueError):
+        GuardSuite([Guard(str(i), lambda d: d) for i in range(51)], limit=50)
 
 
 def test_requests(spark):

@@ -1,3 +1,4 @@
+import math
 import re
 
 import pytest
@@ -8,7 +9,7 @@ from textguard import rules
 from textguard.functions import pii, policy
 from textguard.operators.entities import dictionary_entities, entity_finder
 from textguard.operators.output import filter_text
-from textguard.operators.toxicity import toxicity_score, train_toxicity
+from textguard.operators.toxicity import toxicity_score, train_toxicity, word_odds_score, word_weights
 
 
 def one(spark, text, column):
@@ -96,6 +97,17 @@ def test_entities(spark):
         entity_finder(names, max_names=3)
 
 
+def test_word_weights(spark):
+    rows = [("good day you", 0), ("bad you", 1), ("Bad  bad trash", 1), ("good night", 0), ("good\nyou", 0), (None, 1), ("bad trash", 1)]
+    weights = word_weights(spark.createDataFrame(rows, "text string, label int"), min_texts=2)
+    got = {r.word: r.weight for r in weights.collect()}
+    assert got.keys() == {None, "good", "bad", "you", "trash"}
+    assert abs(got["bad"] - (math.log(4 / 5) - math.log(1 / 5))) < 1e-9 and abs(got[None]) < 1e-9
+    new = spark.createDataFrame([(1, "such a bad thing"), (2, "good"), (3, None), (4, ""), (4, "")], "i int, text string")
+    scores = [(r.i, r.toxicity_score) for r in word_odds_score(new, weights, "i").orderBy("i").collect()]
+    assert scores[0][1] > 0.5 > scores[1][1] and scores[2] == (3, 0.0) and scores[3][0] == 4
+
+
 def test_toxicity_learns(spark):
     rows = [("you are stupid garbage", 1), ("what a lovely day", 0), ("stupid worthless thing", 1), ("thank you kindly", 0)] * 10
     df = spark.createDataFrame(rows, "text string, label int")

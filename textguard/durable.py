@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,12 +36,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/textguard/{name}-{uuid.uuid4().hex}"
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """`df` marked for broadcast if it has at most `max_rows` rows, else unchanged,
-    in which case the join shuffles."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def spread(df: DataFrame) -> DataFrame:
     """`df` over all cores where its files give fewer parts than there are cores.
 
@@ -53,7 +46,5 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shuffle_parts(spark: SparkSession) -> int:
-    """The session's number of shuffle partitions, but no more than eight per core:
-    each part costs a Python worker or a state store a start."""
-    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return min(configured, 8 * spark.sparkContext.defaultParallelism)
+    """The session's number of shuffle partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

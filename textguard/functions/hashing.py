@@ -7,7 +7,6 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textguard.durable import broadcast_if_small
 
 _BLOCK = 64
 
@@ -45,7 +44,7 @@ def sign(df: DataFrame, keys: DataFrame, columns: dict[str, str], key_id: str =
     """Add a signature column per `columns` entry (new column -> hash column).
 
     Rows name their key in `key_id`; an unknown key gives null signatures."""
-    named = broadcast_if_small(keys.withColumnRenamed("key_id", "_key"))
+    named = keys.withColumnRenamed("key_id", "_key")
     joined = df.join(named, F.col(key_id) == F.col("_key"), "left")
     signed = joined.withColumns({
         new: hmac_sha256(F.col(old), F.col("inner_pad"), F.col("outer_pad")) for new, old in columns.items()})

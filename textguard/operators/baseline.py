@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textguard import rules
+from textguard.durable import shuffle_parts
 from textguard.functions import vectors as vec
 
 MOMENTS = ("dim int, n long, mean array<double>, scatter array<double>, "
            "norm_mean double, norm_scatter double")
 _STD_FLOOR = 1e-6
+_FAN_IN = 32
 _MAX_CONDITION = 1e12
 
 
@@ -73,17 +75,23 @@ def _moments_fold(merge: bool):
 def vector_moments(df: DataFrame, embedding: str = "embedding") -> DataFrame:
     """One row per vector dimension: count, mean, scatter matrix, norm moments.
 
-    Each task sends one d x d matrix; the tasks of one shuffle merge them one at
-    a time and a last task merges their results, so none holds more than two."""
-    partial = df.select(embedding).mapInArrow(_moments_fold(merge=False), MOMENTS)
-    return merge_moments(partial.repartition(F.spark_partition_id()).mapInArrow(
-        _moments_fold(merge=True), MOMENTS))
+    Each task sends one d x d matrix; see `merge_moments`."""
+    return merge_moments(df.select(embedding).mapInArrow(_moments_fold(merge=False), MOMENTS))
 
 
 def merge_moments(moments: DataFrame) -> DataFrame:
-    """Moments of several parts as those of the whole, for growing a baseline
-    without reading the old vectors again."""
-    return moments.coalesce(1).mapInArrow(_moments_fold(merge=True), MOMENTS)
+    """Moments of several parts as those of the whole, also for growing a baseline
+    without reading the old vectors again.
+
+    A tree: the configured number of shuffle tasks first, then a `_FAN_IN`-th of
+    them each time, with an exchange in between.  A task merges its rows one at a
+    time, so it holds two matrices, and the last one gets at most `_FAN_IN`."""
+    tasks = shuffle_parts(moments.sparkSession)
+    while True:
+        moments = moments.repartition(tasks).mapInArrow(_moments_fold(merge=True), MOMENTS)
+        if tasks == 1:
+            return moments
+        tasks = -(-tasks // _FAN_IN)
 
 
 def baseline_from(moments: DataFrame, min_samples: int = rules.MIN_BASELINE_DOCS) -> DataFrame:

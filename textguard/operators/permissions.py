@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textguard import rules
-from textguard.durable import broadcast_if_small
+from textguard.durable import durable
 from textguard.operators.drift import first_n
 from textguard.operators.ordered import ROWS_PER_TASK, Ordered
 
@@ -39,7 +39,7 @@ def _checked(calls: DataFrame, scopes: DataFrame) -> DataFrame:
         & F.coalesce(reasoning_suspicion(F.col("reasoning_chain")) <= F.col("tool_risk"), F.lit(False)))
     return (
         calls.withColumn("operation", operation).withColumn("permissions", held)
-        .join(broadcast_if_small(known), "tool_name", "left")
+        .join(known, "tool_name", "left")
         .withColumn("_uses_tool", uses_tool)
         .withColumn("_known", F.coalesce(F.col("_known"), F.lit(False)))
         .withColumn("_passes", F.col("_uses_tool") & F.col("_known") & passes))
@@ -123,10 +123,67 @@ def _map_literal(entries: Mapping[str, Sequence[str]]) -> Column:
     return F.create_map(*pairs)
 
 
+def closed(implications: Mapping[str, Sequence[str]]) -> dict[str, list[str]]:
+    """What each permission implies, directly or through others."""
+    out = {}
+    for name in implications:
+        seen, todo = [], list(implications[name])
+        while todo:
+            other = todo.pop(0)
+            if other != name and other not in seen:
+                seen.append(other)
+                todo += implications.get(other, ())
+        out[name] = seen
+    return out
+
+
+def implication_closure(implications: DataFrame, max_steps: int = 64) -> DataFrame:
+    """All pairs (permission, implies) of a table of such pairs, through any number of steps;
+    each step doubles the length of the chains that are covered."""
+    pairs = durable(implications.select("permission", "implies").distinct())
+    for _ in range(max_steps):
+        onward = pairs.select(F.col("permission").alias("implies"), F.col("implies").alias("_further"))
+        longer = pairs.join(onward, "implies").select("permission", F.col("_further").alias("implies"))
+        wider = durable(pairs.unionByName(longer).distinct())
+        if wider.count() == pairs.count():
+            return pairs
+        pairs = wider
+    raise ValueError(f"chains of implications of more than 2**{max_steps} steps")
+
+
+def with_permissions(df: DataFrame, roles: DataFrame, implications: DataFrame, role: str = "role",
+                     extra: str = "extra", result: str = "held") -> DataFrame:
+    """Add the sorted permissions of a role (table role, permission) and an array of extra ones,
+    with all that they imply (table permission, implies).
+
+    The tables meet each combination of role and extra permissions once; rows are
+    joined with their combination."""
+    none = F.array().cast("array<string>")
+    kinds = df.select(F.col(role).alias("_role"), F.array_sort(F.array_distinct(F.coalesce(F.col(extra), none))).alias("_extra"))
+    kinds = durable(kinds.distinct())
+    given = kinds.join(roles.select(F.col("role").alias("_role"), "permission"), "_role").select("_role", "_extra", "permission")
+    given = given.unionByName(kinds.select("_role", "_extra", F.explode("_extra").alias("permission")))
+    further = given.join(implication_closure(implications), "permission").select("_role", "_extra", F.col("implies").alias("permission"))
+    held = given.unionByName(further).groupBy("_role", "_extra").agg(F.array_sort(F.collect_set("permission")).alias(result))
+    rows = df.withColumn("_extra", F.array_sort(F.array_distinct(F.coalesce(F.col(extra), none))))
+    held = held.withColumnRenamed("_extra", "_given")
+    joined = rows.join(held, F.col(role).eqNullSafe(F.col("_role")) & (F.col("_extra") == F.col("_given")), "left")
+    return joined.withColumn(result, F.coalesce(result, none)).drop("_role", "_extra", "_given")
+
+
+def with_resource_access(df: DataFrame, resources: DataFrame, resource: str = "resource", held: str = "held",
+                         result: str = "resource_allowed") -> DataFrame:
+    """Add whether the permission that a resource asks for (table resource, permission) is held;
+    unknown resources are refused."""
+    asked = resources.select(F.col("resource").alias("_resource"), F.col("permission").alias("_asked"))
+    joined = df.join(asked, F.col(resource) == F.col("_resource"), "left")
+    return joined.withColumn(result, F.coalesce(F.array_contains(held, F.col("_asked")), F.lit(False))).drop("_resource", "_asked")
+
+
 def implied(permissions: Column, implications: Mapping[str, Sequence[str]] = rules.IMPLIED_PERMISSIONS) -> Column:
-    """Permissions with all that they imply."""
+    """Permissions with all that they imply, in however many steps."""
     none = F.array().cast("array<string>")
-    lookup = _map_literal(implications)
+    lookup = _map_literal(closed(implications))
     added = F.flatten(F.transform(permissions, lambda p: F.coalesce(F.element_at(lookup, p), none)))
     return F.array_distinct(F.concat(permissions, added))
 
@@ -158,16 +215,35 @@ def escalation_attempt(role: Column, claimed: Column, agent: Column) -> Column:
     return F.coalesce(beyond, F.lit(False)) | F.coalesce(agent.isin(*rules.SYSTEM_AGENTS), F.lit(False))
 
 
-def effective_permissions(calls: DataFrame, grants: DataFrame, user: str = "user_id", ts: str = "ts") -> DataFrame:
-    """Add `effective_permissions`: those held plus the user's unexpired grants.
-
-    Grants come down to one row per user, holding each permission once with its
-    latest expiry; calls are never multiplied by grants."""
-    latest = grants.groupBy(user, "permission").agg(F.max("expires_at").alias("expires_at"))
-    per_user = latest.groupBy(user).agg(F.collect_list(F.struct("permission", "expires_at")).alias("_grants"))
+def merged_grants(grants: DataFrame, user: str = "user_id", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Grants (granted_at, expires_at) that overlap or touch as one, per user and permission."""
+    keys = [user, "permission"]
+    grants = grants.select(*keys, "granted_at", "expires_at").where("granted_at < expires_at")
+    order = ["granted_at", "expires_at"]
+    known = Ordered(grants, keys, order, rows_per_task).running({"_until": ("max", F.col("expires_at"))}, inclusive=False).rows()
+    fresh = known.withColumn("_new", F.coalesce(F.col("granted_at") > F.col("_until"), F.lit(True)).cast("long"))
+    numbered = Ordered(fresh, keys, order, rows_per_task).running({"_span": ("sum", F.col("_new"))}).rows()
+    return numbered.groupBy(*keys, "_span").agg(
+        F.min("granted_at").alias("granted_at"), F.max("expires_at").alias("expires_at")).drop("_span")
+
+
+def effective_permissions(calls: DataFrame, grants: DataFrame, user: str = "user_id", ts: str = "ts",
+                          bucket_days: int = 30, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Add `effective_permissions`: those held plus the user's grants in force, from
+    `granted_at` up to but without `expires_at`.
+
+    Grants are merged per user and permission and laid out by spans of
+    `bucket_days`; a call meets one row, its user's grants in its span, so calls
+    are never multiplied by grants and a user's row stays short."""
+    def bucket(time: Column) -> Column:
+        return F.floor(F.unix_micros(time.cast("timestamp")) / F.lit(bucket_days * 86_400_000_000))
+
+    last = bucket(F.col("expires_at"))
+    laid = merged_grants(grants, user, rows_per_task).withColumn("_bucket", F.explode(F.sequence(bucket(F.col("granted_at")), last)))
+    per_user = laid.groupBy(user, "_bucket").agg(F.collect_list(F.struct("permission", "granted_at", "expires_at")).alias("_grants"))
     none = F.array().cast("array<string>")
-    valid = F.transform(
-        F.filter("_grants", lambda g: F.col(ts) < g["expires_at"]), lambda g: g["permission"])
-    return calls.join(per_user, user, "left").withColumn(
+    valid = F.transform(F.filter("_grants", lambda g: (F.col(ts) >= g["granted_at"]) & (F.col(ts) < g["expires_at"])),
+                        lambda g: g["permission"])
+    return calls.withColumn("_bucket", bucket(F.col(ts))).join(per_user, [user, "_bucket"], "left").withColumn(
         "effective_permissions", F.array_sort(F.array_union(
-            F.coalesce(F.col("permissions"), none), F.coalesce(valid, none)))).drop("_grants")
+            F.coalesce(F.col("permissions"), none), F.coalesce(valid, none)))).drop("_grants", "_bucket")

@@ -8,7 +8,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textguard import rules
 
 
 @dataclass
@@ -34,11 +33,12 @@ class GuardSuite:
     trace in it.  A guard that keeps state must not see blocked rows: it can
     look at `blocked_by`, which is null as long as a row has passed."""
 
-    def __init__(self, guards: Sequence[Guard], limit: int = rules.MAX_GUARDS) -> None:
-        by_name: dict[str, Guard] = {}
-        for guard in guards:
-            if len(by_name) < limit or guard.name in by_name:
-                by_name[guard.name] = guard
+    def __init__(self, guards: Sequence[Guard], limit: int | None = None) -> None:
+        """Of guards with one name the last counts. All run; with a `limit`, more than that
+        many are an error, since a guard must not go missing unseen."""
+        by_name = {guard.name: guard for guard in guards}
+        if limit is not None and len(by_name) > limit:
+            raise ValueError(f"{len(by_name)} guards, and the limit is {limit}")
         self._guards = sorted(by_name.values(), key=lambda g: -g.priority)
 
     def names(self) -> list[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from textguard.durable import scratch_path, shuffle_parts
+from textguard.durable import scratch_path
 from textguard.operators.baseline import MOMENTS, merge_moments, vector_moments
 from textguard.operators.integrity import upsert
 from textguard.operators.retrieval import retrieval_counts
@@ -30,16 +30,11 @@ def append_to(df: DataFrame, path: str, checkpoint: str, **trigger) -> Streaming
 def drain(df: DataFrame, name: str) -> DataFrame:
     """Run a stream over all that is available and read the written result.
 
-    The number of state partitions is fixed when a stream first starts; here it
-    goes by the cores there are."""
+    The number of state partitions is fixed when a stream first starts: the
+    session's number of shuffle partitions."""
     spark = df.sparkSession
     out = scratch_path(spark, name)
-    configured = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(min(shuffle_parts(spark), 2 * spark.sparkContext.defaultParallelism)))
-    try:
-        append_to(df, out, scratch_path(spark, f"{name}-checkpoint")).awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", configured)
+    append_to(df, out, scratch_path(spark, f"{name}-checkpoint")).awaitTermination()
     return spark.read.schema(df.schema).parquet(out)
 
 
