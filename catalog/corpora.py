@@ -27,17 +27,21 @@ def sql_vector_hash(vector):
 
 
 def corpus(spark, sf):
-    """Documents with the vector of the same number, where there is one."""
+    """Documents with the vector of the same number, where there is one; some of the vectors are outliers."""
     d = load(spark, sf, "documents").select("doc_id", "text", F.timestamp_seconds(F.col("doc_id")).alias("ts"))
-    return d.join(load(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    e = load(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.when(
+        F.col("vec_id") % 13 == 0, F.transform("embedding", lambda x: (x * 16).cast("float"))).otherwise(F.col("embedding")).alias("embedding"))
+    return d.join(e, "doc_id", "left")
 
 
-_CORPUS = "(SELECT d.doc_id, d.text, e.embedding FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id)"
+_CORPUS = """(SELECT d.doc_id, d.text, CASE WHEN e.vec_id % 13 = 0 THEN list_transform(e.embedding, lambda x: (x * 16)::FLOAT) ELSE e.embedding END AS embedding
+  FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id)"""
 
 
 def registered(spark, sf, docs=None):
     keys = hashing.signing_keys(spark, {"k1": KEY})
-    return integrity.register_documents(corpus(spark, sf) if docs is None else docs, keys, "ts", "k1", embedding="embedding")
+    return integrity.register_documents(
+        corpus(spark, sf) if docs is None else docs, keys, "ts", "k1", embedding="embedding", baseline=scattered_baseline(spark, sf))
 
 
 def doc_registry(spark, sf):
@@ -79,11 +83,14 @@ def stored(spark, sf):
 
 _STORED = f"""(SELECT CASE WHEN doc_id % 19 = 5 THEN doc_id + 10000000 ELSE doc_id END AS doc_id,
      CASE WHEN doc_id % 19 = 5 THEN 'not registered' WHEN doc_id % 7 = 0 THEN 'content hash mismatch'
-     WHEN doc_id % 11 = 0 AND embedding IS NOT NULL THEN 'vector hash mismatch' END AS reason FROM {_CORPUS})"""
+     WHEN doc_id % 11 = 0 AND embedding IS NOT NULL THEN 'vector hash mismatch'
+     WHEN doc_id % 13 = 0 AND embedding IS NOT NULL THEN 'anomalous vector' END AS reason,
+     doc_id % 13 = 0 AND embedding IS NOT NULL AS anomalous FROM {_CORPUS})"""
 
 
 def verify_documents(spark, sf):
-    v = integrity.verify_documents(stored(spark, sf), registered(spark, sf), embedding="embedding")
+    v = integrity.verify_documents(
+        stored(spark, sf), registered(spark, sf), embedding="embedding", baseline=scattered_baseline(spark, sf))
     return v.select("doc_id", "is_valid", "reason")
 
 
@@ -91,17 +98,18 @@ VERIFY_DOCUMENTS = f"SELECT doc_id, reason IS NULL AS is_valid, reason FROM {_ST
 
 
 def scan(spark, sf):
-    return integrity.integrity_scan(stored(spark, sf), registered(spark, sf), embedding="embedding")
+    return integrity.integrity_scan(
+        stored(spark, sf), registered(spark, sf), embedding="embedding", baseline=scattered_baseline(spark, sf))
 
 
 def integrity_scan(spark, sf):
     return scan(spark, sf)[0]
 
 
-_SCANNED = f"""(SELECT doc_id, reason FROM {_STORED} WHERE reason IS DISTINCT FROM 'not registered'
-  UNION ALL SELECT doc_id, 'missing' FROM documents WHERE doc_id % 19 = 5)"""
+_SCANNED = f"""(SELECT doc_id, reason, anomalous FROM {_STORED} WHERE reason IS DISTINCT FROM 'not registered'
+  UNION ALL SELECT doc_id, 'missing', doc_id % 13 = 0 AND embedding IS NOT NULL FROM {_CORPUS} WHERE doc_id % 19 = 5)"""
 INTEGRITY_SCAN = f"""SELECT count(*) AS total_documents, count(*) FILTER (reason IS NULL) AS verified_count,
-  count(*) FILTER (reason IS NOT NULL) AS tampered_count, 0 AS anomalous_count FROM {_SCANNED}"""
+  count(*) FILTER (reason IS NOT NULL) AS tampered_count, count(*) FILTER (anomalous) AS anomalous_count FROM {_SCANNED}"""
 
 
 def integrity_failures(spark, sf):
@@ -185,9 +193,19 @@ FROM (SELECT sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS
 
 
 def vector_anomalies(spark, sf):
-    a = base.vector_distances(with_outliers(spark, sf), base.vector_baseline(vectors(spark, sf)))
-    a = a.withColumn("is_anomaly", F.col("mahalanobis") > base.poison_threshold(F.col("embedding")))
-    return a.select("vec_id", F.round("mahalanobis", 4).alias("mahalanobis"), "is_anomaly")
+    """Vectors a tenth longer are told by their norm, those ten times as long by both measures."""
+    longer = vectors(spark, sf).select((F.col("vec_id") + 2_000_000).alias("vec_id"), F.transform(
+        "embedding", lambda x: (x * F.lit(1.125).cast("float")).cast("float")).alias("embedding"))
+    planted = with_outliers(spark, sf).unionByName(longer)
+    a = base.vector_anomalies(planted, scattered_baseline(spark, sf))
+    return a.select("vec_id", F.round("anomaly_score", 4).alias("anomaly_score"), "is_anomaly", "baseline_usable")
+
+
+def scattered_baseline(spark, sf):
+    """A baseline of vectors of three lengths, so that norms have a spread."""
+    scale = F.lit(1.0) + F.pmod("vec_id", F.lit(3)) / 256
+    return base.vector_baseline(vectors(spark, sf).withColumn("embedding", F.transform(
+        "embedding", lambda x: x.cast("double") * scale)))
 
 
 # The inverse covariance by Gauss-Jordan elimination, one pivot per step.
@@ -205,8 +223,13 @@ inv AS (SELECT list_transform(m, lambda row: row[65:128]) AS q FROM steps WHERE
 mean AS (SELECT list(avg ORDER BY i) AS mu FROM (SELECT i, avg(x) AS avg FROM {_LONG} GROUP BY i))"""
 _DISTANCES = f"""SELECT vec_id, v, sqrt(list_dot_product(d, list_transform(q, lambda row: list_dot_product(row, d)))) AS mahalanobis
 FROM (SELECT vec_id, v, q, list_transform(list_zip(v, mu), lambda z: z[1] - z[2]) AS d FROM {_OUTLIERS}, inv, mean)"""
-VECTOR_ANOMALIES = f"""WITH RECURSIVE {_INVERSE}
-SELECT vec_id, round(mahalanobis, 4) AS mahalanobis, mahalanobis > 2.5 * sqrt(64) AS is_anomaly FROM ({_DISTANCES})"""
+_SCATTERED = "(SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE * (1 + (vec_id % 3) / 256.0::DOUBLE) AS x FROM embeddings)"
+_LONGER = f"""(SELECT * FROM {_OUTLIERS} UNION ALL
+  SELECT vec_id + 2000000, list_transform(embedding, lambda x: (x * 1.125::FLOAT)::FLOAT)::DOUBLE[] FROM embeddings)"""
+VECTOR_ANOMALIES = f"""WITH RECURSIVE {_INVERSE.replace(_LONG, _SCATTERED)},
+norms AS (SELECT avg(n) AS m, stddev_pop(n) AS s FROM (SELECT sqrt(sum(x * x)) AS n FROM {_SCATTERED} GROUP BY vec_id)),
+scores AS (SELECT vec_id, greatest(mahalanobis, abs(sqrt(list_dot_product(v, v)) - m) / s) AS score FROM ({_DISTANCES.replace(_OUTLIERS, _LONGER)}), norms)
+SELECT vec_id, round(score, 4) AS anomaly_score, score > 2.5 * sqrt(64) AS is_anomaly, true AS baseline_usable FROM scores"""
 
 
 def vector_poisoning(spark, sf):
@@ -226,7 +249,7 @@ def baseline_refresh(spark, sf):
     from which the outliers are left out, equals the baseline of all."""
     known = load(spark, sf, "embeddings").where("label < 5").select("vec_id", "embedding")
     added = with_outliers(spark, sf).join(known, "vec_id", "left_anti")
-    checked = base.vector_poisoning(added, vectors(spark, sf))
+    checked = base.vector_poisoning(added, known)
     b = base.baseline_from(base.refreshed_moments(base.vector_moments(known), checked))
     return b.select("total_documents", F.posexplode("mean").alias("i", "m")).select(
         "total_documents", "i", F.round("m", 6).alias("mean"))

@@ -187,7 +187,7 @@ def sanitization_verdict(spark, sf):
     """The whole first guard: layers, exit probability, score, reason."""
     t = context_similarity(timed_turns(spark, sf, ATTACKS), "conv_id", "ts", "request_id", "text")
     vectors = load(spark, sf, "embeddings").select("vec_id", "embedding")
-    t = t.withColumn("vec_id", F.pmod(number(), F.lit(500))).join(vectors, "vec_id", "left")
+    t = t.withColumn("vec_id", F.pmod(number(), F.lit(vectors.count()))).join(vectors, "vec_id", "left")
     s = sanitize(t, "text", F.col("context_score"), F.transform("embedding", lambda x: x * 100))
     r = F.col("sanitization_result")
     return s.select(
@@ -204,7 +204,7 @@ l AS (SELECT t.conv_id, t.turn, s.injection_score, s.matched_categories,
              {sql_char_class('n')} AS l1, c.context_score AS l2,
              least(list_sum(list_transform(e.embedding, lambda x: pow(0.01::DOUBLE * (x * 100::FLOAT)::DOUBLE, 2))), 5.0) AS l3
       FROM t JOIN c ON t.conv_id = c.conv_id AND t.turn = c.turn JOIN s ON t.conv_id = s.conv_id AND t.turn = s.turn
-      LEFT JOIN embeddings e ON e.vec_id = (t.conv_id * 8 + t.turn) % 500)
+      LEFT JOIN embeddings e ON e.vec_id = (t.conv_id * 8 + t.turn) % (SELECT count(*) FROM embeddings))
 SELECT conv_id, turn, injection_score < 2.0 AS is_safe,
        round(1 / (1 + exp(-0.5::DOUBLE * ((CASE WHEN trivial THEN 0.0 ELSE greatest(l1, l2, l3) END) - 0.99::DOUBLE))), 6) AS exit_probability,
        round(CASE WHEN trivial THEN 0.0 ELSE l3 END, 4) AS mahalanobis_score,

@@ -6,23 +6,47 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.agents import CALLS, CHANGE, DRIFT, sql_alert, sql_authorized, sql_drift, tool_calls_from
-from catalog.common import ATTACKS, planted, utc
+from catalog.common import ATTACKS, load, planted, utc
 from catalog.prompts import INJECTION_SCORE, SLOW_LIMITS, number, sql_context, sql_rate_limit, sql_turns
+from textguard.durable import scratch_path
 from textguard.operators.permissions import passing_calls, tool_scopes
 from textguard.operators.sanitize import sanitize
 from textguard.streaming import flows, stateful
 
 
-def events_stream(spark, sf):
+SLICES = 3
+
+
+def in_slices(spark, sf, table, time, build, name, last=None):
+    """What `build` makes of a stream of the table, which arrives in slices of time: each is written
+    and the stream run on to its end, so that every run after the first starts from stored state.
+    `last`, a function of the table, gives rows that come at the very end."""
+    rows = load(spark, sf, table)
+    cuts = rows.select(time.cast("double").alias("t")).agg(
+        F.percentile_approx("t", [k / SLICES for k in range(1, SLICES)], 10_000)).first()[0]
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < time.cast("double")))
+    slices = [rows.where(part == k) for k in range(SLICES)] + ([last(rows)] if last else [])
+    source, out, checkpoint = (scratch_path(spark, f"{name}-{k}") for k in ("source", "out", "checkpoint"))
+    for some in slices:
+        some.write.mode("append").parquet(source)
+        result = build(spark.readStream.schema(rows.schema).parquet(source))
+        flows.append_to(result, out, checkpoint).awaitTermination()
+    return spark.read.schema(result.schema).parquet(out)
+
+
+EVENT_TIME = F.unix_micros(F.col("ts").cast("timestamp"))
+
+
+def from_events(spark, sf, build, name):
     utc(spark)
     stateful.use_rocksdb(spark)
-    e = flows.read_stream(spark, sf, "events.parquet")
-    return e.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
+    return in_slices(spark, sf, "events", EVENT_TIME, lambda e: build(
+        e.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")), name)
 
 
 def stream_rate_limit(spark, sf):
-    limited = stateful.rate_limit_stream(events_stream(spark, sf), "user_id", "ts", "event_id", SLOW_LIMITS)
-    return flows.drain(limited, "rate-limit").select("user_id", "event_id", "allowed")
+    return from_events(spark, sf, lambda e: stateful.rate_limit_stream(
+        e, "user_id", "ts", "event_id", SLOW_LIMITS), "rate-limit").select("user_id", "event_id", "allowed")
 
 
 STREAM_RATE_LIMIT = f"""SELECT user_id, event_id, allowed FROM (
@@ -30,17 +54,27 @@ STREAM_RATE_LIMIT = f"""SELECT user_id, event_id, allowed FROM (
 
 
 def stream_retrieval_counts(spark, sf):
-    """Windows come out once the watermark has passed them."""
+    """Windows come out once the watermark has passed them. At the end come rows that are too late
+    to count, and one far ahead (of no user), which closes all other windows."""
     utc(spark)
-    e = flows.read_stream(spark, sf, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    counts = flows.retrieval_counts_stream(e, "user_id", "ts", 3600, "2 hours")
-    return flows.drain(counts, "retrieval-counts").select(
-        "user_id", F.unix_seconds("window_start").alias("window_start"), "retrieval_count")
+
+    def last(rows):
+        ends = rows.agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+        late = rows.where(F.col("event_id") % 10 == 0).crossJoin(F.broadcast(ends)).select(
+            *[F.col("first").alias("ts") if c == "ts" else F.col(c) for c in rows.columns])
+        ahead = ends.select(*[
+            (F.col("last") + F.expr("INTERVAL 1 DAY")).cast(kind).alias(c) if c == "ts" else F.lit(None).cast(kind).alias(c)
+            for c, kind in rows.dtypes])
+        return late.unionByName(ahead)
+
+    counts = in_slices(spark, sf, "events", EVENT_TIME, lambda e: flows.retrieval_counts_stream(
+        e.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", 3600, "2 hours"), "retrieval-counts", last)
+    return counts.select("user_id", F.unix_seconds("window_start").alias("window_start"), "retrieval_count")
 
 
 STREAM_RETRIEVAL_COUNTS = """
 SELECT user_id, (epoch_us(ts) // 3600000000) * 3600 AS window_start, count(*) AS retrieval_count FROM events
-GROUP BY 1, 2 HAVING (window_start + 3600) * 1000000 <= (SELECT max(epoch_us(ts)) - 7200000000 FROM events)"""
+GROUP BY 1, 2"""
 
 
 def stream_sanitize(spark, sf):
@@ -55,11 +89,13 @@ def stream_sanitize(spark, sf):
 
 def stream_drift(spark, sf):
     stateful.use_rocksdb(spark)
-    e = flows.read_stream(spark, sf, "embeddings.parquet")
-    turns = e.select("vec_id", "embedding", F.pmod("vec_id", F.lit(25)).alias("user_id"),
-                     F.timestamp_seconds(F.col("vec_id") * 60).alias("ts"))
-    tracked = stateful.drift_stream(turns, "user_id", "ts", "vec_id", "embedding", DRIFT, CHANGE)
-    return flows.drain(tracked, "drift").select(
+
+    def build(e):
+        turns = e.select("vec_id", "embedding", F.pmod("vec_id", F.lit(25)).alias("user_id"),
+                         F.timestamp_seconds(F.col("vec_id") * 60).alias("ts"))
+        return stateful.drift_stream(turns, "user_id", "ts", "vec_id", "embedding", DRIFT, CHANGE)
+
+    return in_slices(spark, sf, "embeddings", F.col("vec_id"), build, "drift").select(
         "user_id", "vec_id", F.round("similarity", 6).alias("similarity"), F.round("drift", 6).alias("drift"),
         F.round("change_rate", 6).alias("change_rate"), "is_suspicious", "reason")
 
@@ -72,10 +108,11 @@ FROM ({sql_drift("(SELECT vec_id % 25 AS user_id, vec_id, embedding::DOUBLE[] AS
 
 def stream_usage_caps(spark, sf):
     """Calls that pass all other checks, against the caps."""
-    calls = tool_calls_from(events_stream(spark, sf))
-    passing = passing_calls(calls, tool_scopes(spark))
-    counted = stateful.usage_cap_stream(passing, "user_id", "tool_name", "ts", "call_id", "max_uses")
-    return flows.drain(counted, "usage-caps").select("user_id", "tool_name", "call_id", "is_allowed")
+    def build(e):
+        passing = passing_calls(tool_calls_from(e), tool_scopes(spark))
+        return stateful.usage_cap_stream(passing, "user_id", "tool_name", "ts", "call_id", "max_uses")
+
+    return from_events(spark, sf, build, "usage-caps").select("user_id", "tool_name", "call_id", "is_allowed")
 
 
 STREAM_USAGE_CAPS = f"SELECT user_id, tool_name, call_id, is_allowed FROM {sql_authorized(CALLS)} WHERE known AND passes"
@@ -84,12 +121,14 @@ STREAM_USAGE_CAPS = f"SELECT user_id, tool_name, call_id, is_allowed FROM {sql_a
 def stream_context(spark, sf):
     utc(spark)
     stateful.use_rocksdb(spark)
-    c = flows.read_stream(spark, sf, "conversations.parquet")
     seconds = F.col("turn") * 60 + F.floor(F.col("turn") / 3) * 240
-    c = (c.withColumn("text", planted(F.col("text"), ATTACKS, number())).withColumn("request_id", number())
-         .withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + seconds)).withWatermark("ts", "1 hour"))
-    scored = stateful.context_stream(c, "conv_id", "ts", "request_id", "text")
-    return flows.drain(scored, "context").select("conv_id", "request_id", F.round("context_score", 6).alias("context_score"))
+
+    def build(c):
+        c = (c.withColumn("text", planted(F.col("text"), ATTACKS, number())).withColumn("request_id", number())
+             .withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + seconds)).withWatermark("ts", "1 hour"))
+        return stateful.context_stream(c, "conv_id", "ts", "request_id", "text")
+
+    return in_slices(spark, sf, "conversations", F.col("turn"), build, "context").select("conv_id", "request_id", F.round("context_score", 6).alias("context_score"))
 
 
 STREAM_CONTEXT = f"""SELECT conv_id, conv_id * 8 + turn AS request_id, round(context_score, 6) AS context_score

@@ -44,7 +44,7 @@ def requests(spark, sf):
         .withColumn("reasoning_chain", F.array(F.lit("look it up"), F.lit("answer")))
         .withColumn("permissions", F.when(F.pmod(n, F.lit(10)) != 3, F.array(
             F.lit("basic_access"), F.lit("file_access"), F.lit("admin_access"))))
-        .withColumn("vec_id", F.pmod(n, F.lit(500)))
+        .withColumn("vec_id", F.pmod(n, F.lit(load(spark, sf, "embeddings").count())))
         .join(load(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id", "left"))
     return requests_from(rows, "request_id", "ts", "user", "text",
                          ["answer", "toxicity_score", "tool_name", "operation", "reasoning_chain"])
@@ -68,7 +68,7 @@ WITH req AS (
          CASE WHEN (c.conv_id * 8 + c.turn) % 10 <> 3 THEN ['basic_access', 'file_access', 'admin_access'] ELSE []::VARCHAR[] END AS permissions,
          e.embedding::DOUBLE[] AS v
   FROM conversations c LEFT JOIN conversations a ON a.conv_id = c.conv_id AND a.turn = c.turn + 1
-  LEFT JOIN embeddings e ON e.vec_id = (c.conv_id * 8 + c.turn) % 500 WHERE c.role = 'user'),
+  LEFT JOIN embeddings e ON e.vec_id = (c.conv_id * 8 + c.turn) % (SELECT count(*) FROM embeddings) WHERE c.role = 'user'),
 limited AS ({sql_rate_limit('req', LIMITS, 'user_id', 'request_id')}),
 cleaned AS (SELECT *, {sql_clean(sql_nfkc('raw'))} AS prompt FROM req),
 scored AS ({sql_scored('cleaned', 'request_id', 'prompt')}),

@@ -1,3 +1,4 @@
+import re
 import hashlib
 import hmac
 
@@ -137,7 +138,10 @@ def test_distances(vectors, matrix):
 def test_singular_covariance(spark):
     df = spark.createDataFrame([(i, [float(i), float(i)]) for i in range(200)], "vec_id int, embedding array<double>")
     baseline = base.vector_baseline(df)
-    assert base.vector_distances(df, baseline).where("mahalanobis <> 0").isEmpty()
+    scored = base.vector_distances(df, baseline)
+    assert scored.where("mahalanobis is not null or baseline_usable").isEmpty(), "an unusable baseline is reported"
+    checked = base.vector_poisoning(df, df).select("poisoning_detection.*")
+    assert checked.where("is_poisoned or baseline_usable").isEmpty()
     assert base.vector_distances(df, baseline, ridge=0.1).where("mahalanobis > 0").count() > 100
 
 
@@ -196,3 +200,16 @@ def test_long_sequences_are_flagged(spark):
     df = spark.createDataFrame([([0.1] * 4,), ([0.1] * (rules.MAX_SEQUENCE + 1),)], "v array<double>")
     out = concentration.activation_check(df, "v", vec.reshape(F.col("v"), 2), F.lit(0.0), F.lit(1.0), "v").collect()
     assert [r.activation_check.sequence_length_warning for r in out] == [False, True]
+
+
+def test_moments_merge_over_exchanges(spark, vectors):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "70")
+    try:
+        plan = base.vector_moments(vectors)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    nodes = re.findall(r"MapInArrow|Exchange \S*\(?\d*", plan)
+    assert [n for n in nodes if "70" in n or "(3" in n or "Single" in n] and len([n for n in nodes if n.startswith("Exchange")]) == 3
+    kinds = ["M" if n.startswith("M") else "E" for n in nodes]
+    assert "".join(kinds) == "MEMEMEM", "an exchange between all merges"

@@ -122,6 +122,29 @@ def test_first_and_last_n(events):
     assert last_n(events, "user_id", "ts", "event_id", 10).count() == 50
 
 
+def test_last_n_beyond_the_window_limit(spark):
+    many = spark.range(20_000).select(F.col("id").alias("i"), F.timestamp_seconds("id").alias("ts"), F.when(F.col("id") % 4 > 0, "u").alias("k"))
+    out = last_n(many, "k", "ts", "i", 3000, rows_per_task=1000).groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("lo")).collect()
+    assert {r.k: (r.n, r.lo) for r in out} == {"u": (3000, 16_001), None: (3000, 8000)}
+
+
+@pytest.mark.parametrize("name", ["uuid", "padded", "time"])
+def test_any_order_type_is_cut(spark, name):
+    """A hot key whose rows have one timestamp and ids that are texts, or times that are texts."""
+    texts = {"uuid": F.md5(F.col("id").cast("string")), "padded": F.format_string("request-number-%012d", "id"),
+             "time": F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")), "yyyy-MM-dd HH:mm:ss")}
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 5 > 0, "hot").otherwise("other").alias("k"), F.lit("2024-01-01").cast("timestamp").alias("ts"),
+        texts[name].alias("rid"), (F.col("id") % 7).alias("v"))
+    order = ["rid", "v"] if name == "time" else ["ts", "rid"]
+    large = large_keys(rows.select("k"), ["k"], 100)
+    sizes = with_segments(rows, ["k"], order, large, 100).groupBy("k", "_segment").count().collect()
+    assert max(r["count"] for r in sizes) < 250 and len(sizes) > 20
+    cut = Ordered(rows, ["k"], order, 100).running({"total": ("sum", F.col("v"))}).rows()
+    plain = Ordered(rows, ["k"], order, 10**6).running({"total": ("sum", F.col("v"))}).rows()
+    pd.testing.assert_frame_equal(frame(cut, "rid"), frame(plain, "rid"), check_dtype=False)
+
+
 def test_drift(spark, small):
     turns = small("embeddings").withColumn("user", F.col("vec_id") % 3).limit(150)
     plain = conversation_drift(turns, "user", "vec_id", "vec_id").drop("embedding")

@@ -23,11 +23,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows of `df`, computed once and read back from the shared folder."""
+def durable(df: DataFrame, *by: str) -> DataFrame:
+    """The rows of `df`, computed once and read back from the shared folder; in a folder
+    for each value of the columns `by`, so that a filter on them reads its own rows only."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/textguard/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

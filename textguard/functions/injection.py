@@ -7,8 +7,9 @@ cost hardly depends on their number; then rule by rule, on the texts left; and
 last the rule as written, on the few pairs of text and rule left.  The first two
 let through whatever could match, so the last one alone decides.
 
-The function is declared non-deterministic, so that a filter on the score is
-not pushed below it, where it would match everything a second time.
+Its result comes out of a one-element `explode` (`once`): filters on plain columns
+and partitions go below that, wherever they stand, while filters on the score stay
+above it, so that no text is matched a second time.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textguard import rules
+from textguard.functions.text import once
 
 # A case-blind match also equates these with i, i, s and k.
 _CASE_TWINS = {"\u0130": "i", "\u0131": "i", "\u017f": "s", "\u212a": "k"}
@@ -77,7 +79,7 @@ def _matcher():
     return match
 
 
-matched_rules = F.arrow_udf(_matcher(), T.ArrayType(T.IntegerType())).asNondeterministic()
+matched_rules = F.arrow_udf(_matcher(), T.ArrayType(T.IntegerType()))
 
 
 def _looked_up(numbers: str, values: list[str]) -> Column:
@@ -91,7 +93,7 @@ def injection_score(df: DataFrame, column: str) -> DataFrame:
     weights = _looked_up("_rules", [f"{weight}D" for _, weight, _ in rules.INJECTION_RULES])
     categories = _looked_up("_rules", [f"'{category}'" for category, _, _ in rules.INJECTION_RULES])
     return (
-        df.withColumn("_rules", matched_rules(F.col(column)))
+        once(df, "_rules", matched_rules(F.col(column)))
         .withColumn("injection_score", F.aggregate(weights, F.lit(0.0), lambda total, w: total + w))
         .withColumn("matched_categories", F.array_distinct(categories))
         .withColumn("is_injection", F.col("injection_score") >= rules.INJECTION_THRESHOLD)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import unicodedata
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,10 +47,15 @@ def _normalizer():
     return normalize
 
 
-# Arrow functions are closures, so that they travel to executors by value, and are
-# declared non-deterministic, although they are not: Catalyst would otherwise copy
-# them into filters and into arguments of one another, and so run them several times.
-_nfkc = F.arrow_udf(_normalizer(), T.StringType()).asNondeterministic()
+# Arrow functions are closures, so that they travel to executors by value.
+_nfkc = F.arrow_udf(_normalizer(), T.StringType())
+
+
+def once(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """`df` with a costly column that is computed once per row, whatever uses it above.
+
+    Filters that do not look at it are still pushed below it."""
+    return df.select("*", F.explode(F.array(column)).alias(name))
 
 
 def nfkc(text: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from textguard import rules
 from textguard.durable import shuffle_parts
 from textguard.functions import vectors as vec
+from textguard.functions.text import once
 
 MOMENTS = ("dim int, n long, mean array<double>, scatter array<double>, "
            "norm_mean double, norm_scatter double")
@@ -111,12 +112,14 @@ def vector_baseline(df: DataFrame, embedding: str = "embedding",
 
 
 def _distances(models: dict):
-    """An Arrow function from vectors to (norm z-score, Mahalanobis distance);
-    null where no model has the vector's dimension."""
+    """An Arrow function from vectors to (norm z-score, Mahalanobis distance, whether
+    the model's covariance is usable); null where no model has the vector's dimension,
+    and without a distance where its covariance has no inverse."""
     def measure(vectors: pa.Array) -> pa.Array:
         sizes = pc.list_value_length(vectors)
         z_scores = np.full(len(vectors), np.nan)
         distances = np.full(len(vectors), np.nan)
+        known, usable = np.zeros(len(vectors), bool), np.zeros(len(vectors), bool)
         for dim, (mean, inverse, norm_mean, norm_std) in models.items():
             mask = pc.fill_null(pc.equal(sizes, dim), False)
             where = mask.to_numpy(zero_copy_only=False)
@@ -124,17 +127,18 @@ def _distances(models: dict):
                 continue
             rows = vectors.filter(mask).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
             z_scores[where] = np.abs(np.linalg.norm(rows, axis=1) - norm_mean) / norm_std
-            if inverse is None:
-                distances[where] = 0.0
-            else:
+            known |= where
+            if inverse is not None:
+                usable |= where
                 diff = rows - mean
                 distances[where] = np.sqrt(np.maximum(np.einsum("ij,ij->i", diff @ inverse, diff), 0.0))
-        missing = np.isnan(distances)
         return pa.StructArray.from_arrays(
-            [pa.array(z_scores, mask=missing), pa.array(distances, mask=missing)], ["z_score", "mahalanobis"])
+            [pa.array(z_scores, mask=np.isnan(z_scores)), pa.array(distances, mask=np.isnan(distances)),
+             pa.array(usable, mask=~known)], ["z_score", "mahalanobis", "baseline_usable"])
 
-    kind = T.StructType([T.StructField("z_score", T.DoubleType()), T.StructField("mahalanobis", T.DoubleType())])
-    return F.arrow_udf(measure, kind).asNondeterministic()
+    kind = T.StructType([T.StructField("z_score", T.DoubleType()), T.StructField("mahalanobis", T.DoubleType()),
+                         T.StructField("baseline_usable", T.BooleanType())])
+    return F.arrow_udf(measure, kind)
 
 
 def _models(baseline: Sequence[Row], ridge: float) -> dict:
@@ -150,13 +154,15 @@ def _models(baseline: Sequence[Row], ridge: float) -> dict:
 
 def _with_distances(df: DataFrame, baseline: Sequence[Row], embedding: str, ridge: float) -> DataFrame:
     measure = _distances(_models(baseline, ridge))
-    return (df.withColumn("_d", measure(F.col(embedding)))
-            .withColumn("z_score", F.col("_d.z_score")).withColumn("mahalanobis", F.col("_d.mahalanobis")).drop("_d"))
+    return (once(df, "_d", measure(F.col(embedding)))
+            .withColumns({c: F.col(f"_d.{c}") for c in ("z_score", "mahalanobis", "baseline_usable")}).drop("_d"))
 
 
 def vector_distances(df: DataFrame, baseline: DataFrame, embedding: str = "embedding",
                      ridge: float = 0.0) -> DataFrame:
     """Add `z_score` of the norm and `mahalanobis`; nulls without a baseline.
+    `baseline_usable` is false, and the distance null, where the covariance has no
+    inverse (for example with no more vectors than dimensions).
 
     The baseline (one row per dimension) comes to the driver for its inverse and
     goes out with the task; its size depends on the dimension alone.  `ridge` is
@@ -167,7 +173,8 @@ def vector_distances(df: DataFrame, baseline: DataFrame, embedding: str = "embed
 def vector_anomalies(df: DataFrame, baseline: DataFrame, embedding: str = "embedding",
                      threshold: float | None = None, ridge: float = 0.0) -> DataFrame:
     """Add `anomaly_score` (the larger of norm z-score and Mahalanobis distance)
-    and `is_anomaly`; (0, false) without a baseline.
+    and `is_anomaly`; (0, false) without a baseline.  Where `baseline_usable` is
+    false, the norm alone decides.
 
     Distances grow with the square root of the dimension, so the default
     threshold does too; pass `rules.ANOMALY_THRESHOLD` for the fixed one."""
@@ -200,7 +207,8 @@ def vector_poisoning(df: DataFrame, safe: DataFrame, embedding: str = "embedding
         F.coalesce(F.col("mahalanobis") > poison_threshold(F.col(embedding), sensitivity), F.lit(False)).alias("is_poisoned"),
         F.coalesce(F.col("mahalanobis"), F.lit(0.0)).alias("mahalanobis_distance"),
         similarity.alias("similarity_score"), stats.alias("retrieval_stats"),
-    )).drop("z_score", "mahalanobis")
+        F.coalesce("baseline_usable", F.lit(False)).alias("baseline_usable"),
+    )).drop("z_score", "mahalanobis", "baseline_usable")
 
 
 def refreshed_moments(moments: DataFrame, checked: DataFrame, embedding: str = "embedding") -> DataFrame:

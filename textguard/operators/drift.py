@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textguard import rules
 from textguard.functions import vectors as vec
 from textguard.functions.text import is_trivial_turn
-from textguard.operators.ordered import ROWS_PER_TASK, Ordered
+from textguard.operators.ordered import ROWS_PER_TASK, Ordered, join_null_safe
 from textguard.operators.ratelimit import cooldown
 
 
@@ -112,9 +112,14 @@ def first_n(df: DataFrame, keys: list[str], order: list[str], n: int,
     return ranked.rows().where(F.col("rank") <= n)
 
 
-def last_n(df: DataFrame, key: str, ts: str, row_id: str, n: int = rules.HISTORY_TURNS) -> DataFrame:
-    """The last `n` (at most 1000) rows per key, limited before the shuffle as in `first_n`."""
+def last_n(df: DataFrame, key: str, ts: str, row_id: str, n: int = rules.HISTORY_TURNS,
+           rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """The last `n` rows per key; up to 1000 of them are limited before the shuffle, as in
+    `first_n`, beyond that each key's rows are ranked by segments from the start, of which
+    the last `n` are those above the key's count less `n`."""
     if n > _GROUP_LIMIT:
-        raise ValueError(f"n must be at most {_GROUP_LIMIT}")
+        ranked = Ordered(df, [key], [ts, row_id], rows_per_task).running({"_rank": ("sum", F.lit(1))}).rows()
+        counts = df.groupBy(key).agg((F.count(F.lit(1)) - n).alias("_before"))
+        return join_null_safe(ranked, counts, [key], "inner").where(F.col("_rank") > F.col("_before")).drop("_rank", "_before")
     latest = Window.partitionBy(key).orderBy(F.desc(ts), F.desc(row_id))
     return df.withColumn("_rank", F.row_number().over(latest)).where(F.col("_rank") <= n).drop("_rank")

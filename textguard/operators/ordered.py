@@ -25,6 +25,7 @@ from textguard.durable import durable, shuffle_parts
 
 ROWS_PER_TASK = 5_000_000
 _FANOUT = 256
+_LEVELS = 12
 SEGMENT = "_segment"
 
 
@@ -40,8 +41,8 @@ def large_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int) -> DataFr
 
     At most total / rows_per_task rows, since each stands for that many."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    large = counts.where(F.col("_rows") > rows_per_task).drop("_rows")
-    return None if large.isEmpty() else durable(large)
+    large = durable(counts.where(F.col("_rows") > rows_per_task).drop("_rows"))
+    return None if large.isEmpty() else large
 
 
 def micros(df: DataFrame, column: str) -> Column:
@@ -55,9 +56,26 @@ def micros(df: DataFrame, column: str) -> Column:
     return seconds * 1_000_000 + (F.expr(f"extract(SECOND FROM `{column}`)") * 1_000_000).cast("long")
 
 
+def _text_position(text: Column, skip: Column) -> Column:
+    """The six bytes behind the first `skip` as a number, which grows with the text."""
+    six = F.rpad(F.hex(F.substring(text.cast("binary"), skip + 1, F.lit(6))), 12, "0")
+    return F.conv(six, 16, 10).cast("double")
+
+
+def _common_bytes(a: Column, b: Column) -> Column:
+    """How many bytes two texts have in common at the start."""
+    n = F.least(F.octet_length(a), F.octet_length(b))
+    pairs = F.sequence(F.lit(0), n)  # 0 stands for itself: no bytes are always common
+    same = F.filter(pairs, lambda i: F.substring(a.cast("binary"), F.lit(1), i) == F.substring(b.cast("binary"), F.lit(1), i))
+    return F.array_max(same)
+
+
 def _position(df: DataFrame, column: str) -> Column | None:
-    """A number that grows with an order column, if its type allows one."""
+    """A number that grows with an order column; for texts, behind the `_skip` bytes that
+    the rows of a range have in common."""
     kind = df.schema[column].dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return _text_position(F.col(column), F.coalesce("_skip", F.lit(0)))
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return micros(df, column).cast("double")
     return F.col(column).cast("double") if isinstance(kind, T.NumericType) else None
@@ -68,33 +86,46 @@ def with_segments(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     """Add `_segment`: consecutive numbers within a large key, 0 for other keys.
 
     Large keys are cut by equal ranges of the first order column; ranges that
-    are still too full are cut again, by the same column and then by the second
-    one, so that rows bunched in time or on one timestamp are spread as well.
+    are still too full are cut again, by the same column for as long as they hold
+    several of its values and then by the next one, so that rows bunched in time or
+    on one timestamp are spread as well.  Texts are cut by the bytes behind those
+    that all rows of a range share.
     A histogram of the ranges, summed up per key, gives the segment.  Ranges and
     histogram hold a few rows per `rows_per_task` rows of a large key and are
     written out, so that every later use of a row sees the same segment.
     """
     rows = join_null_safe(df, large.withColumn("_large", F.lit(True)), keys, "left")
     path: list[str] = []
-    for level, column in enumerate([order[0], order[0], *order[1:2]]):
+    for place, column in enumerate(order):
         position = _position(df, column)
         if position is None:
-            continue
-        group = [*keys, *path]
-        full = durable(
-            rows.where("_large").groupBy(*group)
-            .agg(F.count(F.lit(1)).alias("_n"), F.min(position).alias("_lo"), F.max(position).alias("_hi"))
-            .where(F.col("_n") > rows_per_task).drop("_n"))
-        if full.isEmpty():
             break
-        width = (F.col("_hi") - F.col("_lo") + 1.0) / _FANOUT
-        rows = (
-            join_null_safe(rows, full, group, "left")
-            .withColumn(f"_range{level}",
-                        F.coalesce(F.floor((position - F.col("_lo")) / width), F.lit(0)))
-            .drop("_lo", "_hi")
-        )
-        path.append(f"_range{level}")
+        text = isinstance(df.schema[column].dataType, (T.StringType, T.BinaryType))
+        least, most = (F.min(column), F.max(column)) if text else (F.min(position), F.max(position))
+        # A range is cut by a column only if it holds one value of each column before it.
+        one = [F.min(c).eqNullSafe(F.max(c)).alias(f"_one{k}") for k, c in enumerate(order[:place])]
+        for _ in range(_LEVELS):
+            group = [*keys, *path]
+            full = rows.where("_large").groupBy(*group).agg(
+                F.count(F.lit(1)).alias("_n"), least.alias("_lo"), most.alias("_hi"), *one).where(F.col("_n") > rows_per_task)
+            for k in range(len(one)):
+                full = full.where(F.col(f"_one{k}")).drop(f"_one{k}")
+            full = full.drop("_n").withColumn("_skip", F.lit(0))
+            if text:
+                full = full.withColumn("_skip", _common_bytes(F.col("_lo"), F.col("_hi")))
+                full = full.withColumns({c: _text_position(F.col(c), F.col("_skip")) for c in ("_lo", "_hi")})
+            full = durable(full.where("_lo < _hi"))
+            if full.isEmpty():
+                break
+            # The last range takes what rounding leaves over.
+            share = (position - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+            name = f"_range{len(path)}"
+            rows = (
+                join_null_safe(rows, full, group, "left")
+                .withColumn(name, F.coalesce(F.least(F.floor(share * _FANOUT), F.lit(_FANOUT - 1)), F.lit(0)))
+                .drop("_lo", "_hi", "_skip")
+            )
+            path.append(name)
     if not path:
         return rows.drop("_large").withColumn(SEGMENT, F.lit(0).cast("long"))
     before = Window.partitionBy(*keys).orderBy(*path).rowsBetween(Window.unboundedPreceding, -1)
@@ -301,7 +332,8 @@ def sequential(df: DataFrame, keys: Sequence[str], order: Sequence[str], state:
     large_pieces = large_keys(pieces.select(*unit), unit, rows_per_task)
     if large_pieces is None:
         return _run_kernel(pieces.withColumns(empty), unit, order, state, outputs, kernel).drop("_piece", *after)
-    segmented = durable(with_segments(pieces, unit, order, large_pieces, rows_per_task))
+    cut = with_segments(pieces, unit, order, large_pieces, rows_per_task)
+    segmented = durable(cut.repartition(SEGMENT, *unit), SEGMENT)
     rounds = segmented.agg(F.max(SEGMENT)).first()[0] + 1
     done, carried = None, None
     for segment in range(rounds):
