@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 END = " </turn>\n"
-#: An unescaped terminator ends a turn.
-_SPLIT = "(?<!\\\\) </turn>\n"
+#: Ends a turn; within an escaped text a backslash stands between the blank and the tag.
+_SPLIT = END
 _TURN = "(?s)^### ((?:[^\\\\:]++|\\\\.)*+): (.*)$"
 #: Control strings that no escape precedes.
 _CONTROL = "(?<!\\\\)(?:### |</turn>)"
