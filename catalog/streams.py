@@ -34,13 +34,14 @@ def in_slices(spark, sf, table, time, build, name, last=None):
     return spark.read.schema(result.schema).parquet(out)
 
 
-EVENT_TIME = F.unix_micros(F.col("ts").cast("timestamp"))
+def event_time():
+    return F.unix_micros(F.col("ts").cast("timestamp"))
 
 
 def from_events(spark, sf, build, name):
     utc(spark)
     stateful.use_rocksdb(spark)
-    return in_slices(spark, sf, "events", EVENT_TIME, lambda e: build(
+    return in_slices(spark, sf, "events", event_time(), lambda e: build(
         e.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")), name)
 
 
@@ -67,7 +68,7 @@ def stream_retrieval_counts(spark, sf):
             for c, kind in rows.dtypes])
         return late.unionByName(ahead)
 
-    counts = in_slices(spark, sf, "events", EVENT_TIME, lambda e: flows.retrieval_counts_stream(
+    counts = in_slices(spark, sf, "events", event_time(), lambda e: flows.retrieval_counts_stream(
         e.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", 3600, "2 hours"), "retrieval-counts", last)
     return counts.select("user_id", F.unix_seconds("window_start").alias("window_start"), "retrieval_count")
 

@@ -18,14 +18,13 @@ def word_weights(labelled: DataFrame, text: str = "text", label: str = "label",
     """word, weight: how much a word's presence speaks for class 1, as the difference of the
     logarithms of its smoothed shares in the two classes; words of fewer than `min_texts` texts are left out.
     The row with a null word has the classes' own odds."""
-    words = labelled.where(F.col(text).isNotNull()).select(
-        F.explode(F.concat(_distinct_words(F.col(text)), F.array(F.lit(None).cast("string")))).alias("word"),
-        F.col(label).cast("long").alias("y"))
+    texts = labelled.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("long").alias("y"))
+    t1, t0 = texts.agg(F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0))).first()
+    words = texts.select(F.explode(F.concat(_distinct_words(F.col("text")), F.array(F.lit(None).cast("string")))).alias("word"), "y")
     counts = words.groupBy("word").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"))
-    totals = counts.where("word is null").select(F.col("n1").alias("t1"), F.col("n0").alias("t0"))
-    share = F.log((F.col("n1") + 1) / (F.col("t1") + 2)) - F.log((F.col("n0") + 1) / (F.col("t0") + 2))
-    prior = F.log((F.col("t1") + 1) / (F.col("t0") + 1))
-    return counts.where(F.col("word").isNull() | (F.col("n1") + F.col("n0") >= min_texts)).crossJoin(F.broadcast(totals)).select(
+    share = F.log((F.col("n1") + 1) / (t1 + 2)) - F.log((F.col("n0") + 1) / (t0 + 2))
+    prior = F.log(F.lit((t1 + 1) / (t0 + 1)))
+    return counts.where(F.col("word").isNull() | (F.col("n1") + F.col("n0") >= min_texts)).select(
         "word", F.when(F.col("word").isNull(), prior).otherwise(share).alias("weight"))
 
 
