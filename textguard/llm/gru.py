@@ -61,15 +61,16 @@ class Gru:
             keep.append((state, gates, new, g[:, 2 * h:]))
         return out
 
-    def log_odds(self, states: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> np.ndarray:
-        """Natural log-probabilities of the targets. With `grads`, gradients of their negative sum are
-        added there, and that by the states is put under "states"."""
+    def log_odds(self, states: np.ndarray, targets: np.ndarray, grads: dict | None = None,
+                 values: bool = True) -> np.ndarray | None:
+        """Natural log-probabilities of the targets (if `values` are asked for). With `grads`, gradients
+        of their negative sum are put there, that by the states under "states"."""
         owner = targets // self.size
         logits = states @ self.to_class
         logits += self.class_bias
         odds, total = _exponents(logits)
         rows = np.arange(len(targets))
-        out = logits[rows, owner] - np.log(total)
+        out = logits[rows, owner] - np.log(total) if values else None
         if grads is not None:
             odds /= total[:, None]
             odds[rows, owner] -= 1
@@ -89,7 +90,8 @@ class Gru:
             inside = targets[own] - c * self.size
             odds, total = _exponents(logits)
             rows = np.arange(len(own))
-            out[own] += logits[rows, inside] - np.log(total)
+            if values:
+                out[own] += logits[rows, inside] - np.log(total)
             if grads is not None:
                 odds /= total[:, None]
                 odds[rows, inside] -= 1
@@ -100,16 +102,18 @@ class Gru:
             grads["states"] = back
         return out
 
-    def window(self, before: np.ndarray, targets: np.ndarray, state: np.ndarray) -> tuple[float, dict, np.ndarray]:
-        """Loss, gradients and last state of a window (steps x streams); errors flow back to the
-        window's start and no farther."""
+    def window(self, before: np.ndarray, targets: np.ndarray, state: np.ndarray,
+               values: bool = True) -> tuple[float | None, dict, np.ndarray]:
+        """Loss (if `values` are asked for), gradients and last state of a window (steps x streams);
+        errors flow back to the window's start and no farther."""
         steps, h = len(before), self.hidden
         kept: list = []
         states = np.empty((steps, before.shape[1], h), np.float32)
         for t in range(steps):
             state = states[t] = self.step(before[t], state, kept)
         grads: dict = {}
-        loss = -float(self.log_odds(states.reshape(-1, h), targets.reshape(-1), grads).sum(dtype=np.float64))
+        logs = self.log_odds(states.reshape(-1, h), targets.reshape(-1), grads, values)
+        loss = -float(logs.sum(dtype=np.float64)) if values else None
         back = grads.pop("states").reshape(states.shape)
         by_x, by_g = np.empty((steps, before.shape[1], 3 * h), np.float32), np.empty((steps, before.shape[1], 3 * h), np.float32)
         later = np.zeros_like(state)
@@ -163,7 +167,7 @@ class Trainer:
         before = np.vstack([np.concatenate([[self.model.end], block[-1, :-1]])[None], block[:-1]])
         state = np.zeros((streams, self.model.hidden), np.float32)
         for t in range(0, length, self.steps):
-            _, grads, state = self.model.window(before[t: t + self.steps], block[t: t + self.steps], state)
+            _, grads, state = self.model.window(before[t: t + self.steps], block[t: t + self.steps], state, values=False)
             self._update(grads, streams * min(self.steps, length - t))
         if streams * length < len(tokens):  # fewer tokens than streams
             self.rest = tokens[streams * length:]
