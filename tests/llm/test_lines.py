@@ -1,6 +1,7 @@
 """Line classes against all pairs, and what stays of texts."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -14,14 +15,13 @@ def norm(line):
 
 
 def grams(line):
-    data = line.encode()
-    return {data[i: i + 8] for i in range(len(data) - 7)}
+    return {line[m.start(): m.start() + 12] for m in re.finditer("[^\x20\x09-\x0d]+", line)}
 
 
 def similar(a, b):
     if a == b:
         return True
-    if min(len(a.encode()), len(b.encode())) < 48:
+    if min(len(re.findall("[^\x20\x09-\x0d]+", x)) for x in (a, b)) < 8:
         return False
     x, y = grams(a), grams(b)
     return len(x & y) / len(x | y) >= 0.8

@@ -1,12 +1,13 @@
 """Removal of repeated lines across documents, near repeats included.
 
 Lines are compared in lower case without blanks around them. Equal ones are found by a
-128-bit hash. Lines of `MIN_BYTES` or more are also compared by the Jaccard similarity of
-their shingles, slices of eight UTF-8 bytes: the least shingle hash in each of 32 ranges of
-hashes is the signature (MinHash with one permutation), eight bands of neighbouring ranges
-and four of ranges eight apart are the buckets (a pair at similarity 0.8 misses all of them
-with odds of about one in 300), and the similarity of each candidate is computed from the
-whole lines. A shorter line cannot change inside and stay at 0.8, so it matches equal ones only.
+128-bit hash. Lines of `MIN_SHINGLES` words or more are also compared by the Jaccard
+similarity of their character shingles, the twelve characters from each word's start on:
+the least shingle hash in each of 32 ranges of hashes is the signature (MinHash with one
+permutation), eight bands of neighbouring ranges and four of ranges eight apart are the
+buckets (a pair at similarity 0.8 misses all of them with odds of about one in 300, short
+lines one in 50), and the similarity of each candidate is computed from the whole lines. A
+shorter line cannot change a word and stay at 0.8, so it matches equal ones only.
 
 Candidates of a bucket are not all its pairs. First every line meets the bucket's least
 one; lines found similar form components. Where a bucket still holds several components,
@@ -34,8 +35,10 @@ from textguard.durable import durable
 from textguard.llm.graph import components
 from textguard.llm.words import let
 
-MIN_BYTES = 48
-SHINGLE = 8
+MIN_SHINGLES = 8
+SHINGLE = 12
+#: A word and the white space behind it; the group is the shingle that starts with it.
+_SHINGLES = f"(?s)(?=(.{{1,{SHINGLE}}}))[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]*+"
 #: Up to this many ids (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -45,12 +48,8 @@ def _normal(line: Column) -> Column:
 
 
 def shingles(line: Column) -> Column:
-    """Sorted hashes of all slices of eight bytes, repeats included."""
-    def cut(data: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.length(data) - (SHINGLE - 1)),
-                           lambda i: F.xxhash64(F.substring(data, i, F.lit(SHINGLE))))
-
-    return F.sort_array(let(line.cast("binary"), cut))
+    """Sorted hashes of all shingles, repeats included."""
+    return F.sort_array(F.transform(F.regexp_extract_all(line, F.lit(_SHINGLES), F.lit(1)), lambda s: F.xxhash64(s)))
 
 
 def bands(line: Column) -> Column:
@@ -75,7 +74,7 @@ def bands(line: Column) -> Column:
         every = [key(k, near(k)) for k in range(8)] + [key(8 + k, apart(k)) for k in range(4)]
         return F.filter(F.array(*every), lambda x: x.isNotNull())
 
-    return let(let(shingles(line), firsts), keys)
+    return let(shingles(line), lambda s: F.when(F.size(s) >= MIN_SHINGLES, let(firsts(s), keys)))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -107,7 +106,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, least: float) -> DataFrame:
 
 def line_classes(lines: DataFrame, least: float = 0.8) -> DataFrame:
     """id and root (least id) of all lines that are similar to another one."""
-    long = lines.where(F.octet_length("line") >= MIN_BYTES)
+    long = lines.where(F.length("line") >= 2 * MIN_SHINGLES - 1)
     keyed = long.select("id", bands(F.col("line")).alias("keys")).dropDuplicates(["id"])
     buckets = durable(keyed.select("id", F.explode("keys").alias("key")))
     least_of = buckets.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last")
