@@ -11,7 +11,7 @@ SCRIPT = f"""
 import sys
 sys.path.insert(0, {REPO!r})
 from pyspark.sql import SparkSession
-spark = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").getOrCreate()
+spark = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
 import __spark_entry__ as entry
 assert entry.entry(spark).count() > 5
 for name in {NAMES!r}:
