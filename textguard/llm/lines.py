@@ -1,13 +1,15 @@
 """Removal of repeated lines across documents, near repeats included.
 
 Lines are compared in lower case without blanks around them. Equal ones are found by a
-128-bit hash. Lines of `MIN_SHINGLES` words or more are also compared by the Jaccard
-similarity of their character shingles, the twelve characters from each word's start on:
-the least shingle hash in each of 32 ranges of hashes is the signature (MinHash with one
-permutation), eight bands of neighbouring ranges and four of ranges eight apart are the
-buckets (a pair at similarity 0.8 misses all of them with odds of about one in 300, short
-lines one in 50), and the similarity of each candidate is computed from the whole lines. A
-shorter line cannot change a word and stay at 0.8, so it matches equal ones only.
+128-bit hash. Lines of `MIN_WORDS` words or more are also compared by the Jaccard similarity of their shingles, the
+slices of eight UTF-8 bytes at every place (a shorter line is one slice). Keys of buckets
+are runs of four neighbours on the circle of a line's sorted shingle hashes. Where two
+lines have a similarity of 0.8, at most one in five of all their shingles is not common, so
+some run of four is: lines of up to `SHORT` shingles have a key for every run and miss no
+pair among themselves. Longer ones have the runs that begin at the first hash of each of
+`RANGES` ranges (a pair at similarity 0.8 shares one with odds of 0.41, and misses all of
+them with odds of about one in 500). Candidates whose numbers of shingles exclude the
+similarity are dropped, and that of the others is computed from the whole lines.
 
 Candidates of a bucket are not all its pairs. First every line meets the bucket's least
 one; lines found similar form components. Where a bucket still holds several components,
@@ -26,8 +28,6 @@ are called. An empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +35,13 @@ from textguard.durable import durable
 from textguard.llm.graph import components
 from textguard.llm.words import let
 
-MIN_SHINGLES = 8
-SHINGLE = 12
-#: A word and the white space behind it; the group is the shingle that starts with it.
-_SHINGLES = f"(?s)(?=(.{{1,{SHINGLE}}}))[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]*+"
+MIN_WORDS = 8
+SHINGLE = 8
+#: Shingles per key: of a pair at similarity 0.8, four in a row are always common somewhere.
+RUN = 4
+#: Lines of up to so many shingles have a key per shingle, longer ones one per range of hashes.
+SHORT = 32
+RANGES = 12
 #: Up to this many ids (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -47,42 +50,37 @@ def _normal(line: Column) -> Column:
     return F.lower(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")))
 
 
-def shingles(line: Column) -> Column:
-    """Sorted hashes of all shingles, repeats included."""
-    return F.sort_array(F.transform(F.regexp_extract_all(line, F.lit(_SHINGLES), F.lit(1)), lambda s: F.xxhash64(s)))
-
+def _slices(line: Column) -> Column:
+    """Hashes of all slices of eight bytes (of a shorter line: its own), in order of place, repeats included."""
+    def cut(data: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(data) - (SHINGLE - 1), F.lit(1))),
+                           lambda i: F.xxhash64(F.substring(data, i, F.lit(SHINGLE))))
 
-def bands(line: Column) -> Column:
-    """Bucket keys of a line: a hash per band that has two ranges or more with a shingle."""
-    def firsts(s: Column) -> Column:
-        none = F.array(F.lit(None).cast("long"))
-        before = F.concat(none, F.slice(s, 1, F.size(s) - 1))
-        marked = F.zip_with(s, before, lambda x, p: F.when(
-            p.isNull() | (F.shiftright(x, 59) != F.shiftright(p, 59)), x))
-        return F.filter(marked, lambda x: x.isNotNull())
+    return let(line.cast("binary"), cut)
 
-    def keys(f: Column) -> Column:
-        def key(number: int, belongs: Callable[[Column], Column]) -> Column:
-            return let(F.filter(f, belongs), lambda m: F.when(F.size(m) >= 2, F.xxhash64(F.lit(number), m)))
 
-        def near(k: int) -> Callable[[Column], Column]:
-            return lambda x: F.shiftright(x, 61) == k - 4
-
-        def apart(k: int) -> Callable[[Column], Column]:
-            return lambda x: F.shiftright(x, 59).bitwiseAND(F.lit(7)) == k
+def shingles(line: Column) -> Column:
+    """Sorted hashes of all shingles."""
+    return F.sort_array(F.array_distinct(_slices(line)))
 
-        every = [key(k, near(k)) for k in range(8)] + [key(8 + k, apart(k)) for k in range(4)]
-        return F.filter(F.array(*every), lambda x: x.isNotNull())
 
-    return let(shingles(line), lambda s: F.when(F.size(s) >= MIN_SHINGLES, let(firsts(s), keys)))
+def buckets_of(lines: DataFrame) -> DataFrame:
+    """id, n (number of shingles) and key of all lines, a row per key. Runs are picked from rows, so
+    that this and the sorting before it are generated code."""
+    def range_of(at: Column) -> Column:
+        return F.shiftright((F.shiftright(F.get("s", at), 56) + 128) * RANGES, 8)
 
+    sets = lines.select("id", shingles(F.col("line")).alias("s"))
+    # The outer form, since the plain one puts a filter below, which computes the sets again.
+    each = sets.select("id", "s", F.size("s").alias("n"), F.posexplode_outer("s").alias("at", "h"))
+    first = (F.col("n") <= SHORT) | (F.col("at") == 0) | (range_of(F.col("at")) != range_of(F.col("at") - 1))
+    run = [F.get("s", F.pmod(F.col("at") + k, "n")) for k in range(RUN)]
+    return each.where(first).select("id", "n", F.xxhash64(*run).alias("key")).distinct()
 
-def similarity(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two lines' sets of shingles."""
-    def of(x: Column, y: Column) -> Column:
-        return let(F.size(F.array_intersect(x, y)).cast("double"), lambda both: both / (F.size(x) + F.size(y) - both))
 
-    return let(F.array_distinct(shingles(a)), lambda x: let(F.array_distinct(shingles(b)), lambda y: of(x, y)))
+def _fit(a: Column, b: Column, least: float) -> Column:
+    """Whether lines of so many shingles can be similar."""
+    return F.least(a, b) >= F.greatest(a, b) * least - 1e-9
 
 
 def occurrences(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -94,34 +92,36 @@ def occurrences(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Dat
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of line ids whose similarity is `least` or more."""
-    pairs = durable(pairs.distinct())
+    """Pairs (a, b) of line ids with a Jaccard similarity of `least` or more; na and nb are their numbers of shingles."""
+    pairs = durable(pairs.where(_fit(F.col("na"), F.col("nb"), least)).distinct())
     needed = durable(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     ids = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
     texts = durable(lines.join(ids, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")))
     whole = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(
         texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    return durable(whole.where(similarity(F.col("x"), F.col("y")) >= least).select("a", "b"))
+    # common / (na + nb - common) >= least, with the common shingles computed once
+    common = F.size(F.array_intersect(_slices(F.col("x")), _slices(F.col("y"))))
+    return durable(whole.where(common >= F.ceil((F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-6)).select("a", "b"))
 
 
 def line_classes(lines: DataFrame, least: float = 0.8) -> DataFrame:
     """id and root (least id) of all lines that are similar to another one."""
-    long = lines.where(F.length("line") >= 2 * MIN_SHINGLES - 1)
-    keyed = long.select("id", bands(F.col("line")).alias("keys")).dropDuplicates(["id"])
-    buckets = durable(keyed.select("id", F.explode("keys").alias("key")))
-    least_of = buckets.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last")
+    lines = lines.where(F.regexp_count("line", F.lit("[^\\x20\\x09-\\x0D]+")) >= MIN_WORDS)
+    buckets = durable(buckets_of(lines))
+    least_of = buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"), F.max("id").alias("last")).where("first.id != last")
     shared = durable(buckets.join(least_of.select("key", "first"), "key"))
-    stars = _verified(shared.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")), long, least)
+    stars = _verified(shared.where("id != first.id").select(
+        F.col("first.id").alias("a"), F.col("first.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb")), lines, least)
     classes = components(stars)
     # Buckets that still hold several components: lines outside the largest one meet the others.
-    named = shared.join(classes, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    sizes = named.groupBy("key", "root").agg(F.count("*").alias("n"))
-    top = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
+    named = shared.join(classes, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
+    sizes = named.groupBy("key", "root").agg(F.count("*").alias("lines"))
+    top = sizes.groupBy("key").agg(F.max(F.struct("lines", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
     mixed = durable(named.join(top.select("key", F.col("top.root").alias("top")), "key"))
-    small = mixed.where("root != top").select("key", F.col("id").alias("a"), F.col("root").alias("ra"))
-    others = mixed.select("key", F.col("id").alias("b"), F.col("root").alias("rb"), (F.col("root") == F.col("top")).alias("largest"))
-    crossing = small.join(others, "key").where("ra != rb and (largest or a < b)").select("a", "b")
-    more = _verified(crossing, long, least)
+    small = mixed.where("root != top").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    others = mixed.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), (F.col("root") == F.col("top")).alias("largest"))
+    crossing = small.join(others, "key").where("ra != rb and (largest or a < b)").select("a", "na", "b", "nb")
+    more = _verified(crossing, lines, least)
     edges = classes.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more)
     return components(edges) if not more.isEmpty() else classes
 
