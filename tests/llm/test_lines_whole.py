@@ -48,3 +48,16 @@ def test_every_place(spark, brute):
 def test_typo(spark):
     line = "several people walked along river banks before sunset while others stayed inside watching television"
     assert left(spark, [line, line.replace("sunset", "sumset")]) == {0: line, 1: ""}
+
+
+def test_tails_of_long_words(spark, brute):
+    """Lines that differ only behind the twelfth character of their words."""
+    head = "see the mirrors listed here for downloads of the release: "
+    texts = [head + " ".join(f"https://www.{host}.org/{k}" for k in "ab") for host in ("alpha", "gamma-mirror", "some.other.site")]
+    texts += [" ".join(f"000000000000{n * k:06d}" for k in range(1, 11)) for n in (7, 9173)]
+    texts += [" ".join(f"internationalisation{end}" for end in ends) for ends in (
+        ("table", "handler", "service", "office", "bureau", "layer", "planner", "guideline"),
+        ("xml", "json", "yaml", "toml", "csv", "parquet", "avro", "orc"))]
+    assert not similar(texts[0], texts[1]) and not similar(texts[3], texts[4])
+    assert left(spark, texts) == brute(list(enumerate(texts)))
+    assert left(spark, texts)[1] == texts[1] and left(spark, texts)[4] == texts[4]
