@@ -61,3 +61,15 @@ def test_tails_of_long_words(spark, brute):
     assert not similar(texts[0], texts[1]) and not similar(texts[3], texts[4])
     assert left(spark, texts) == brute(list(enumerate(texts)))
     assert left(spark, texts)[1] == texts[1] and left(spark, texts)[4] == texts[4]
+
+
+def test_short_lines(spark, brute):
+    texts = ["all rights reserved by owner", "- all rights reserved by owner", "this text is licensed under terms below",
+             "1. this text is licensed under terms below", "0123456789a", "0123456789ab", "yes", "yes.", "no comments", "no comment"]
+    rng = random.Random(3)
+    for _ in range(150):
+        line = "".join(rng.choice("abcdefghij ") for _ in range(rng.randint(4, 44))).strip() + "."
+        texts += [line, rng.choice("-*1") + line, line + rng.choice("!?0")]
+    got = left(spark, texts)
+    assert got == brute(list(enumerate(texts)))
+    assert [got[k] for k in (1, 3, 5)] == ["", "", ""] and got[7] == "yes."

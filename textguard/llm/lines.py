@@ -1,7 +1,7 @@
 """Removal of repeated lines across documents, near repeats included.
 
 Lines are compared in lower case without blanks around them. Equal ones are found by a
-128-bit hash. Lines of `MIN_WORDS` words or more are also compared by the Jaccard similarity of their shingles, the
+128-bit hash. All lines are also compared by the Jaccard similarity of their shingles, the
 slices of eight UTF-8 bytes at every place (a shorter line is one slice). Keys of buckets
 are runs of four neighbours on the circle of a line's sorted shingle hashes. Where two
 lines have a similarity of 0.8, at most one in five of all their shingles is not common, so
@@ -35,7 +35,6 @@ from textguard.durable import durable
 from textguard.llm.graph import components
 from textguard.llm.words import let
 
-MIN_WORDS = 8
 SHINGLE = 8
 #: Shingles per key: of a pair at similarity 0.8, four in a row are always common somewhere.
 RUN = 4
@@ -106,7 +105,6 @@ def _verified(pairs: DataFrame, lines: DataFrame, least: float) -> DataFrame:
 
 def line_classes(lines: DataFrame, least: float = 0.8) -> DataFrame:
     """id and root (least id) of all lines that are similar to another one."""
-    lines = lines.where(F.regexp_count("line", F.lit("[^\\x20\\x09-\\x0D]+")) >= MIN_WORDS)
     buckets = durable(buckets_of(lines))
     least_of = buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"), F.max("id").alias("last")).where("first.id != last")
     shared = durable(buckets.join(least_of.select("key", "first"), "key"))
