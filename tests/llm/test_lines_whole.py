@@ -73,3 +73,20 @@ def test_short_lines(spark, brute):
     got = left(spark, texts)
     assert got == brute(list(enumerate(texts)))
     assert [got[k] for k in (1, 3, 5)] == ["", "", ""] and got[7] == "yes."
+
+
+@pytest.mark.parametrize("common, least", [(4, 1), (8, 1), (12, 1), (24, 1), (28, 1), (40, 0.99), (80, 0.99), (400, 0.99)])
+def test_recall_at_the_limit(spark, common, least):
+    """Pairs with a similarity of 0.8 or little more: `common` slices in both, the others at their ends."""
+    rng = random.Random(common)
+    own, pairs = common // 4, []
+    for k in range(1000):
+        inner = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(common + 7))
+        before = "".join(rng.choice("0123456789") for _ in range(own // 2))
+        after = "".join(rng.choice("0123456789") for _ in range(own - own // 2))
+        assert similar(before + inner, inner + after)
+        pairs += [(k, before + inner), (k, inner + after)]
+    df = spark.createDataFrame(pairs, "pair long, line string").withColumn("id", F.xxhash64("line"))
+    keys = lines.buckets_of(df).join(df.select("id", "pair"), "id")
+    found = keys.groupBy("pair", "key").agg(F.count_distinct("id").alias("both")).where("both = 2").select("pair").distinct().count()
+    assert found >= 1000 * least

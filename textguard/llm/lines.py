@@ -8,7 +8,8 @@ lines have a similarity of 0.8, at most one in five of all their shingles is not
 some run of four is: lines of up to `SHORT` shingles have a key for every run and miss no
 pair among themselves. Longer ones have the runs that begin at the first hash of each of
 `RANGES` ranges (a pair at similarity 0.8 shares one with odds of 0.41, and misses all of
-them with odds of about one in 500). Candidates whose numbers of shingles exclude the
+them with odds of about one in 500; of 3,000 pairs at 0.8 each with 4 to 40, 80, 160 and 400
+common shingles 0, 3, 1 and 7 were missed). Candidates whose numbers of shingles exclude the
 similarity are dropped, and that of the others is computed from the whole lines.
 
 Candidates of a bucket are not all its pairs. First every line meets the bucket's least
