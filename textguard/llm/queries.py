@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textguard.llm import chat, covertree, language, lines, packing, piecewise, quality, scoring, simhash, warc
+from textguard.llm import bytepair, chat, covertree, language, lines, packing, piecewise, quality, scoring, simhash, warc
 from textguard.llm.words import table
 
 
@@ -163,6 +163,18 @@ SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, e.
 FROM embeddings e JOIN c ON c.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 """
 
+
+def op13_bytepair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: byte-pair ids are no SQL function; tests compare with the library on whole texts."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = bytepair.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    found = bytepair.decode(ids, path, public_tokenizers.PATTERN)
+    none = F.lit("").cast("binary")
+    return found.select(
+        "doc_id", "n_tokens", F.sha2(F.coalesce("packed", none), 256).alias("ids_sha256"),
+        F.sha2(F.coalesce("raw", none), 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_chat": (op1_chat, OP1_SQL),
     "op2_sentencepiece": (op2_sentencepiece, None),
@@ -174,4 +186,5 @@ QUERIES = {
     "op8_simhash": (op8_simhash, None),
     "op9_revisits": (op9_revisits, OP9_SQL),
     "op10_vectors": (op10_vectors, OP10_SQL),
+    "op13_bytepair": (op13_bytepair, None),
 }
