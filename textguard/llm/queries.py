@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textguard.llm import bytepair, chat, covertree, language, lines, packing, piecewise, quality, scoring, simhash, warc
+from textguard.llm import bytepair, chat, covertree, language, lines, packing, piecewise, quality, repair, scoring, simhash, warc
 from textguard.llm.words import table
 
 
@@ -164,6 +164,28 @@ FROM embeddings e JOIN c ON c.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 """
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with planted faults; rows that are dropped stay with `dropped` set, so that
+    conversations that lose all of their rows can be returned."""
+    def filled(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("string"), F.lit(" "))
+
+    kind = F.crc32(F.concat(filled("conv_id"), F.lit(":"), filled("turn")).cast("binary")) % 20
+    rows = turns.select("conv_id", "turn", filled("role").alias("role"), filled("text").alias("text"), kind.alias("kind"))
+    copies = F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return rows.select(
+        "conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")).alias("text"),
+        (F.col("kind") == 0).alias("dropped"), F.explode(copies).alias("copy"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: least edits need a search; tests compare with brute force."""
+    turns, dropped = damaged(table(spark, sf_dir, "conversations")), F.col("dropped")
+    found = repair.repaired(turns, repair.assess(turns, absent=dropped), absent=dropped)
+    return repair.digest(found).withColumnRenamed("conv", "conv_id")
+
+
 def op13_bytepair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL: byte-pair ids are no SQL function; tests compare with the library on whole texts."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -186,5 +208,6 @@ QUERIES = {
     "op8_simhash": (op8_simhash, None),
     "op9_revisits": (op9_revisits, OP9_SQL),
     "op10_vectors": (op10_vectors, OP10_SQL),
+    "op12_repair": (op12_repair, None),
     "op13_bytepair": (op13_bytepair, None),
 }
