@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
 The rank file is read on the driver and broadcast (a vocabulary: a file of more than
-`MAX_FILE` bytes is refused); each Python worker builds one encoder from it. A long text
+64 MB is refused); each Python worker builds one encoder from it. A long text
 is cut before it reaches the library, so that no call gets more than about `AT_MOST`
 characters at once. Cuts are made only where a match of the splitting pattern ends
 whatever stands around it (`SAFE`): behind a character that is no white space and before
@@ -22,19 +22,17 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textguard.llm.shipping import ship, worker_cache
+from textguard.llm.shipping import broadcast_file, ship, worker_cache
 
 ship(__name__)
 
 AT_MOST = 100_000
-MAX_FILE = 64 * 2**20
 _PUNCTUATION = r"!-/:-@\[-`{-~"
 #: Places no match of the pattern spans. A quote before letters is left out: `'s` is one match.
 SAFE = re.compile(
@@ -75,13 +73,6 @@ class Codec:
         return self.library.decode_bytes(ids.tolist())
 
 
-def _shared(docs: DataFrame, path: str):
-    raw = Path(path).read_bytes()
-    if len(raw) > MAX_FILE:
-        raise ValueError(f"{path} has more than {MAX_FILE} bytes")
-    return docs.sparkSession.sparkContext.broadcast(raw)
-
-
 def _codec(raw: bytes, pattern: str) -> Codec:
     cache = worker_cache("byte_bpe")
     key = (hashlib.sha256(raw).digest(), pattern)
@@ -92,7 +83,7 @@ def _codec(raw: bytes, pattern: str) -> Codec:
 
 def encode(docs: DataFrame, path: str, pattern: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids of each text by the rank file at `path` and the splitting pattern."""
-    shared = _shared(docs, path)
+    shared = broadcast_file(docs.sparkSession, path)
     rows = docs.select(F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +104,7 @@ def encode(docs: DataFrame, path: str, pattern: str, doc: str = "doc_id", text:
 def decode(rows: DataFrame, path: str, pattern: str, doc: str = "doc_id", ids: str = "ids") -> DataFrame:
     """doc_id, n_tokens, packed (the ids as little-endian unsigned 32-bit integers, as files of
     training data hold them), raw (the bytes the ids stand for)."""
-    shared = _shared(rows, path)
+    shared = broadcast_file(rows.sparkSession, path)
     rows = rows.select(F.col(doc).alias("doc_id"), F.col(ids).cast("array<int>").alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

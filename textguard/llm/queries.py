@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textguard.llm import bytepair, chat, covertree, language, lines, packing, piecewise, quality, repair, scoring, simhash, warc
+from textguard.llm import alignment, bytepair, chat, covertree, language, lines, packing, piecewise, quality, repair, scoring, simhash, warc
 from textguard.llm.words import table
 
 
@@ -164,6 +164,14 @@ FROM embeddings e JOIN c ON c.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 """
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: ids are no SQL function; tests compare with a loop over the two libraries."""
+    found = alignment.align(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"),
+        keep=lambda groups: F.when(groups == "", "").otherwise(F.sha2(groups, 256)))
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 def damaged(turns: DataFrame) -> DataFrame:
     """Conversations with planted faults; rows that are dropped stay with `dropped` set, so that
     conversations that lose all of their rows can be returned."""
@@ -208,6 +216,7 @@ QUERIES = {
     "op8_simhash": (op8_simhash, None),
     "op9_revisits": (op9_revisits, OP9_SQL),
     "op10_vectors": (op10_vectors, OP10_SQL),
+    "op11_alignment": (op11_alignment, None),
     "op12_repair": (op12_repair, None),
     "op13_bytepair": (op13_bytepair, None),
 }

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import sys
 import types
+from pathlib import Path
 
 from pyspark import cloudpickle
+from pyspark.sql import SparkSession
+
+#: Files that are sent to all workers (vocabularies) may have so many bytes.
+MAX_FILE = 64 * 2**20
 
 
 def ship(module: str) -> None:
@@ -19,4 +24,11 @@ def worker_cache(name: str) -> dict:
     return holder.__dict__.setdefault(name, {})
 
 
+def broadcast_file(spark: SparkSession, path: str):
+    """A broadcast of the bytes of a small file on the driver."""
+    if Path(path).stat().st_size > MAX_FILE:
+        raise ValueError(f"{path} has more than {MAX_FILE} bytes")
+    return spark.sparkContext.broadcast(Path(path).read_bytes())
+
+
 ship(__name__)

@@ -25,7 +25,7 @@ _LONGEST = 64
 _NONE = np.int32(2**31 - 1)
 
 
-def _byte_symbols() -> list[str]:
+def byte_symbols() -> list[str]:
     """The character that stands for each byte in the vocabulary: itself if it is printable,
     else the next free one from 256 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -49,7 +49,7 @@ class WordBpe:
 
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
-        vocabulary, symbols = model["vocab"], _byte_symbols()
+        vocabulary, symbols = model["vocab"], byte_symbols()
         self.inner = np.array([vocabulary[s] for s in symbols], np.int32)
         self.last = np.array([vocabulary[s + "</w>"] for s in symbols], np.int32)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
