@@ -34,6 +34,7 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -66,22 +67,6 @@ def units_of(text: str) -> list[str]:
     return _CUT.split(" " + text)
 
 
-def groups_of(a: list[int], b: list[int], a_size: list[int], b_size: list[int]) -> tuple[str, list[tuple[int, int]]]:
-    """The groups as `a1,a2|b1;a3|b2,b3` and the links, of tokens that cover the same bytes."""
-    text, links, i, j, first_i, first_j, end_a, end_b = [], [], 0, 0, 0, 0, 0, 0
-    while i < len(a):
-        end_a += a_size[a[i]]
-        i += 1
-        while end_b < end_a:
-            end_b += b_size[b[j]]
-            j += 1
-        if end_a == end_b:
-            text.append(",".join(map(str, a[first_i:i])) + "|" + ",".join(map(str, b[first_j:j])))
-            links.append((a[i - 1], b[j - 1]))
-            first_i, first_j = i, j
-    return ";".join(text), links
-
-
 class _Numbers(dict):
     def __missing__(self, unit: str) -> int:
         number = self[unit] = len(self)
@@ -91,7 +76,7 @@ class _Numbers(dict):
 class Aligner:
     """Tokens, groups and links of texts; `units` and `chars` bound what is remembered."""
 
-    def __init__(self, a: bytes, b: bytes, units: int = 300_000, chars: int = 2**24):
+    def __init__(self, a: bytes, b: bytes, units: int = 400_000, chars: int = 2**24):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
@@ -106,7 +91,13 @@ class Aligner:
                         for k in range(self.b.get_piece_size()) for p in [self.b.id_to_piece(k)]]
         if max(max(self.a_bytes), len(self.b_bytes)) >= 2**_ID:
             raise ValueError(f"ids of {_ID} bits at most")
-        self.a_size, self.b_size = {k: len(v) for k, v in self.a_bytes.items()}, [len(v) for v in self.b_bytes]
+        self.a_lengths, self.b_lengths = np.zeros(max(self.a_bytes) + 1, np.int64), np.array([len(v) for v in self.b_bytes], np.int64)
+        for k, token in self.a_bytes.items():
+            self.a_lengths[k] = len(token)
+        # An id with what may stand behind it: another id of its side, or the end of its side of the group.
+        self.first_b = 2 * len(self.a_lengths)
+        self.marks = [f"{k}{end}" for k in range(len(self.a_lengths)) for end in ",|"] + [f"{k}{end}" for k in range(len(self.b_bytes)) for end in ",;"]
+        self.mark_lengths = np.array([len(m) for m in self.marks], np.int64)
         self.limits = units, chars
         self._forget()
 
@@ -117,21 +108,61 @@ class Aligner:
 
     def _learn(self, units: list[str]) -> None:
         self.chars += sum(map(len, units))
-        counts, lengths, flat = [], [], []
-        ids_b = self.b.encode([u[1:] for u in units], num_threads=1)
-        for unit, one, b in zip(units, self.a.encode_batch(units, add_special_tokens=False), ids_b, strict=True):
-            a, raw = one.ids, unit.encode()
-            good = b"".join(map(self.a_bytes.__getitem__, a)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
-            text, links = groups_of(a, b, self.a_size, self.b_size) if good else ("", [])
-            self.groups.append(text)
-            counts.append((len(a), len(b), text.count("|"), good))
-            lengths.append(len(links))
-            flat += [x << _ID | y for x, y in links]
-        lengths = np.array(lengths, np.int64)
-        self.counts = np.concatenate([self.counts, np.array(counts, np.int64)])
-        self.starts = np.concatenate([self.starts, np.cumsum(lengths) - lengths + len(self.links)])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.links = np.concatenate([self.links, np.array(flat, np.int64)])
+        raw = [u.encode() for u in units]
+        # Units that end in no white space give the same ids one after the other in one call.
+        whole = [k for k, u in enumerate(units) if not u[-1].isspace()]
+        rest = [k for k, u in enumerate(units) if u[-1].isspace()]
+        order = [*whole, *rest]
+        texts = ["".join([units[k] for k in whole]), *[units[k] for k in rest]]
+        ids_a = list(chain.from_iterable(one.ids for one in self.a.encode_batch_fast(texts, add_special_tokens=False)))
+        ids_b = list(chain.from_iterable(self.b.encode([units[k][1:] for k in order], num_threads=1)))
+        text = b"".join([raw[k] for k in order])
+        if b"".join(map(self.a_bytes.__getitem__, ids_a)) == text == b"".join(map(self.b_bytes.__getitem__, ids_b)):
+            found = self._together(np.array(ids_a, np.int64), np.array(ids_b, np.int64), np.array([len(raw[k]) for k in order], np.int64))
+        else:
+            found = self._one_by_one([units[k] for k in order], [raw[k] for k in order])
+        counts, groups, lengths, links = found
+        back = np.argsort(np.array(order, np.int64))  # from places in `order` to units
+        self.groups += map(groups.__getitem__, back.tolist())
+        self.counts = np.concatenate([self.counts, counts[back]])
+        self.starts = np.concatenate([self.starts, (np.cumsum(lengths) - lengths)[back] + len(self.links)])
+        self.lengths = np.concatenate([self.lengths, lengths[back]])
+        self.links = np.concatenate([self.links, links])
+
+    def _together(self, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """Counts, groups, numbers of links and links of units of these sizes, from all their tokens."""
+        end_a, end_b, end = np.cumsum(self.a_lengths[a]), np.cumsum(self.b_lengths[b]), np.cumsum(sizes)
+        at = np.searchsorted(end_b, end_a)
+        cut_a = end_b[at] == end_a
+        cut_b = np.zeros(len(b), bool)
+        cut_b[at[cut_a]] = True
+        links = a[cut_a] << _ID | b[cut_b]
+        # Groups are written one after the other: A's tokens, then B's, each with the mark behind it.
+        group_a, group_b = np.cumsum(cut_a) - cut_a, np.cumsum(cut_b) - cut_b
+        marks = np.empty(len(a) + len(b), np.int64)
+        marks[np.arange(len(a)) + np.searchsorted(group_b, group_a, "left")] = 2 * a + cut_a
+        marks[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = self.first_b + 2 * b + cut_b
+        text = "".join(map(self.marks.__getitem__, marks.tolist()))
+        upto = [np.searchsorted(ends, end) + 1 for ends in (end_a, end_b, end_a[cut_a])]
+        chars = np.cumsum(self.mark_lengths[marks])[upto[0] + upto[1] - 1]
+        groups = [text[lo: hi - 1] for lo, hi in zip([0, *chars[:-1].tolist()], chars.tolist(), strict=True)]
+        n_a, n_b, n_groups = (np.diff(x, prepend=0) for x in upto)
+        return np.stack([n_a, n_b, n_groups, np.ones_like(n_a)], 1), groups, n_groups, links
+
+    def _one_by_one(self, units: list[str], raw: list[bytes]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """The same where some unit's tokens do not give its bytes."""
+        counts, groups, lengths, links = [], [], [], [np.zeros(0, np.int64)]
+        for unit, own in zip(units, raw, strict=True):
+            a, b = self.a.encode(unit, add_special_tokens=False).ids, self.b.encode(unit[1:])
+            if b"".join(map(self.a_bytes.__getitem__, a)) == own == b"".join(map(self.b_bytes.__getitem__, b)):
+                count, text, n, link = self._together(np.array(a, np.int64), np.array(b, np.int64), np.array([len(own)]))
+            else:
+                count, text, n, link = np.zeros((1, 4), np.int64), [""], [0], np.zeros(0, np.int64)
+            counts.append(count)
+            groups += text
+            lengths += list(n)
+            links.append(link)
+        return np.concatenate(counts), groups, np.array(lengths, np.int64), np.concatenate(links)
 
     def align(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, str, np.ndarray]]:
         """Per text its numbers of A and B tokens and of groups, its groups, and its links (`a << 24 | b`)."""
