@@ -8,7 +8,7 @@ from catalog.common import SHORT, load, picked, quoted, sql_picked, utc
 from catalog.prompts import SQL_NUMBER, number
 from textguard import rules
 from textguard.operators import agent_state, permissions
-from textguard.operators.drift import conversation_drift, cooled_alerts, drift_alerts, last_n
+from textguard.operators.drift import cooled_alerts, drift_alerts, drift_values, last_n
 
 DRIFT, CHANGE = 1.1, 0.3
 
@@ -20,7 +20,7 @@ def vector_turns(spark, sf):
 
 
 def conversation_drift_query(spark, sf):
-    d = conversation_drift(vector_turns(spark, sf), "user_id", "ts", "vec_id")
+    d = drift_values(vector_turns(spark, sf), "user_id", "ts", "vec_id")
     return d.select("user_id", "vec_id", *[
         F.round(c, 6).alias(c) for c in ("similarity", "drift", "change_rate", "max_drift", "max_change_rate")])
 
@@ -62,13 +62,13 @@ def sql_alert(drift="drift", change="change_rate", change_limit=CHANGE):
 
 _TEXTS = sql_picked((*SHORT, *["a longer question here"] * 15), "vec_id * 7")
 _TRIVIAL = "length(trim(text)) <= 10 AND regexp_matches(replace(trim(text), ' ', ''), '^\\pL+$')"
-_TURNS = f"(SELECT *, {_TRIVIAL} AS trivial FROM (SELECT *, {_TEXTS} AS text FROM {_VECTORS}))"
+SQL_TURNS = f"(SELECT *, {_TRIVIAL} AS trivial FROM (SELECT *, {_TEXTS} AS text FROM {_VECTORS}))"
 DRIFT_ALERTS = f"""
 SELECT user_id, vec_id, round(drift, 6) AS drift, round(similarity, 6) AS similarity, round(change_rate, 6) AS change_rate,
        {sql_alert()} IS NOT NULL AS is_suspicious, {sql_alert()} AS reason
 FROM (SELECT user_id, vec_id, drift, similarity, change_rate
-      FROM ({sql_drift(f"(SELECT * FROM {_TURNS} WHERE NOT trivial)", 'user_id', 'vec_id')})
-      UNION ALL SELECT user_id, vec_id, 0.0, 1.0, 0.0 FROM {_TURNS} WHERE trivial)"""
+      FROM ({sql_drift(f"(SELECT * FROM {SQL_TURNS} WHERE NOT trivial)", 'user_id', 'vec_id')})
+      UNION ALL SELECT user_id, vec_id, 0.0, 1.0, 0.0 FROM {SQL_TURNS} WHERE trivial)"""
 
 
 def cooled_drift_alerts(spark, sf):
@@ -81,7 +81,7 @@ def cooled_drift_alerts(spark, sf):
 
 
 _FIRST_ALERTS = f"""SELECT user_id, vec_id, {sql_alert(change_limit=0.15)} AS reason
-  FROM ({sql_drift(f"(SELECT * FROM {_TURNS} WHERE NOT trivial)", 'user_id', 'vec_id')})"""
+  FROM ({sql_drift(f"(SELECT * FROM {SQL_TURNS} WHERE NOT trivial)", 'user_id', 'vec_id')})"""
 COOLED_DRIFT_ALERTS = f"""
 WITH RECURSIVE a AS (SELECT user_id, vec_id, row_number() OVER (PARTITION BY user_id ORDER BY vec_id) AS rn
                      FROM ({_FIRST_ALERTS}) WHERE reason IS NOT NULL),

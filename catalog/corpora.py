@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.common import load
-from textguard.durable import spread
+from textguard.durable import durable, scratch_path, spread
 from textguard.functions import hashing
 from textguard.functions import vectors as vec
 from textguard.operators import baseline as base
-from textguard.operators import concentration, integrity
+from textguard.operators import concentration, integrity, sketches
 from textguard.operators.similarity import similar_documents
+from textguard.sources.registry import read_registry, write_registry
 
 KEY = b"textguard test key"
 # HMAC blocks of KEY, as blobs for SQL.
@@ -70,6 +71,20 @@ SELECT doc_id, sha256(text || CASE WHEN lang = 'en' AND doc_id % 3 = 0 THEN ' v2
        doc_id + CASE WHEN lang = 'en' THEN 86400 ELSE 0 END AS written FROM documents"""
 
 
+def registry_batches(spark, sf):
+    """A stored registry over three batches: all documents; the English ones, some with a new text; and
+    every fifth document with an older text that must not win."""
+    path = scratch_path(spark, "registry")
+    docs = corpus(spark, sf)
+    english = load(spark, sf, "documents").where("lang = 'en'").select("doc_id")
+    later = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" v2"))).otherwise(F.col("text")))
+    later = later.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY")).join(english, "doc_id", "left_semi")
+    older = docs.where(F.col("doc_id") % 5 == 0).withColumn("text", F.lit("an old text")).withColumn("ts", F.col("ts") - F.expr("INTERVAL 1 DAY"))
+    for batch in (docs, later, older):
+        write_registry(registered(spark, sf, batch), path, buckets=32)
+    return read_registry(spark, path).select("doc_id", "content_hash", F.unix_seconds("last_verified").alias("written"))
+
+
 def stored(spark, sf):
     """What storage holds: some texts tampered with, some vectors shifted, some
     documents stored under a new number, hence gone under the old one."""
@@ -258,6 +273,23 @@ def baseline_refresh(spark, sf):
 BASELINE_REFRESH = f"SELECT count(*) AS total_documents, i, round(avg(x), 6) AS mean FROM {_LONG} GROUP BY i"
 
 
+def activation_ranks_query(spark, sf):
+    """Where a vector's largest value stands among all values of the three days before (ten days, by
+    number), from sketches per day that are large enough to be exact on the test tables."""
+    e = load(spark, sf, "embeddings").select("vec_id", "embedding", F.pmod("vec_id", F.lit(10)).alias("day"))
+    daily = durable(sketches.value_sketches(e, ["day"], "embedding", k=65535))
+    return sketches.activation_ranks(e, "day", "embedding", 3, daily).select("vec_id", "day", F.round("activation_rank", 6).alias("activation_rank"))
+
+
+ACTIVATION_RANKS = """
+WITH x AS (SELECT vec_id % 10 AS day, unnest(embedding)::DOUBLE AS x FROM embeddings),
+b AS (SELECT day + k AS day, x, count(*) AS n FROM x, (SELECT unnest([1, 2, 3]) AS k) GROUP BY ALL),
+c AS (SELECT day, x, sum(n) OVER (PARTITION BY day ORDER BY x) AS upto, sum(n) OVER (PARTITION BY day) AS total FROM b),
+t AS (SELECT vec_id, vec_id % 10 AS day, list_max(embedding)::DOUBLE AS top FROM embeddings)
+SELECT t.vec_id, t.day, round(CASE WHEN t.day > 0 THEN (1000 * coalesce(c.upto, 0) // (SELECT max(total) FROM c d WHERE d.day = t.day)) / 1000.0::DOUBLE END, 6) AS activation_rank
+FROM t ASOF LEFT JOIN c ON c.day = t.day AND t.top >= c.x"""
+
+
 def similar_documents_query(spark, sf):
     """For the mean vector of each label the five most similar vectors."""
     e = load(spark, sf, "embeddings")
@@ -278,6 +310,22 @@ SELECT label, vec_id, round(sim, 6) AS similarity, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY label ORDER BY sim DESC, vec_id) AS rank FROM s WHERE sim >= 0.2) WHERE rank <= 5"""
 
 
+def similar_documents_join(spark, sf):
+    """Every twentieth vector against all, by the join that any number of queries can take."""
+    e = load(spark, sf, "embeddings")
+    asked = e.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    found = similar_documents(asked, e, "query_id", "vec_id", min_similarity=0.2, max_queries=0)
+    return found.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+SIMILAR_DOCUMENTS_JOIN = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, round(list_cosine_similarity(q.e, d.e), 9) AS sim
+      FROM v q JOIN v d ON q.vec_id % 20 = 0)
+SELECT query_id, vec_id, round(sim, 6) AS similarity, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM s WHERE sim >= 0.2) WHERE rank <= 5"""
+
+
 def activation_check(spark, sf):
     """Vectors read as attention: some with all weight on one place, some with equal rows."""
     v = vectors(spark, sf)
@@ -331,6 +379,7 @@ SELECT (SELECT count(*) FROM h) AS samples, 64 AS length_max, round((SELECT avg(
 QUERIES = {
     "doc_registry": (doc_registry, DOC_REGISTRY),
     "registry_upsert": (registry_upsert, REGISTRY_UPSERT),
+    "registry_batches": (registry_batches, REGISTRY_UPSERT),
     "verify_documents": (verify_documents, VERIFY_DOCUMENTS),
     "integrity_scan": (integrity_scan, INTEGRITY_SCAN),
     "integrity_failures": (integrity_failures, INTEGRITY_FAILURES),
@@ -343,6 +392,8 @@ QUERIES = {
     "vector_poisoning": (vector_poisoning, VECTOR_POISONING),
     "baseline_refresh": (baseline_refresh, BASELINE_REFRESH),
     "similar_documents": (similar_documents_query, SIMILAR_DOCUMENTS),
+    "activation_ranks": (activation_ranks_query, ACTIVATION_RANKS),
+    "similar_documents_join": (similar_documents_join, SIMILAR_DOCUMENTS_JOIN),
     "activation_check": (activation_check, ACTIVATION_CHECK),
     "array_stats": (array_stats, ARRAY_STATS),
 }

@@ -13,7 +13,7 @@ from textguard.functions import text as tx
 from textguard.functions import threats
 from textguard.operators.agent_state import sequential_pattern
 from textguard.operators.ratelimit import cooldown, rate_limit
-from textguard.operators.sanitize import context_similarity, sanitize
+from textguard.operators.sanitize import context_scores, context_similarity, sanitize
 from textguard.sources.requests import assign_users, requests_from, split_valid
 
 SQL_NUMBER = "conv_id * 8 + turn"
@@ -148,8 +148,8 @@ SQL_SECONDS = "(turn * 60 + (turn // 3) * 240)"
 
 def context_similarity_query(spark, sf):
     t = timed_turns(spark, sf, ATTACKS)
-    return context_similarity(t, "conv_id", "ts", "request_id", "text").select(
-        "conv_id", "turn", F.round("context_score", 6).alias("context_score"))
+    scores = context_scores(t, "conv_id", "ts", "request_id", "text")
+    return scores.select("conv_id", (F.col("request_id") - F.col("conv_id") * 8).alias("turn"), F.round("context_score", 6).alias("context_score"))
 
 
 def sql_context(text, source):

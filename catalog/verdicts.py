@@ -5,21 +5,25 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.agents import CHANGE, DRIFT, sql_alert, sql_authorized, sql_drift
-from catalog.answers import sql_redacted, sql_violations
+from catalog.answers import gazetteer, sql_redacted, sql_violations
 from catalog.common import (
     ATTACKS, PERSONAL, load, picked, planted, quoted, sql_clean, sql_nfkc, sql_picked, sql_planted, sql_scored, utc)
 from catalog.prompts import SQL_NUMBER, number, sql_rate_limit
 from textguard import rules
+from textguard.durable import durable, scratch_path
 from textguard.functions import injection as inj
 from textguard.functions import policy
 from textguard.functions import text as tx
-from textguard.operators import reports
+from textguard.operators import classifier, reports, sketches
+from textguard.operators.entities import entity_finder
 from textguard.operators.permissions import tool_scopes
 from textguard.plans.gate import gate
 from textguard.plans.guards import Guard, GuardSuite
-from textguard.sources.audit import audit_records, security_events
+from textguard.sources.audit import audit_records, read_report, security_events, write_audit, write_report
 from textguard.sources.requests import load_labelled, requests_from
 
+# Planted texts that no careful reader would call attacks.
+BENIGN = ("", "Tell me about machine learning", "for educational purposes only", "act as a linux terminal", "jailbreak")
 PROMPTS = (*ATTACKS, *[""] * 30)
 LIMITS = (("burst", 2.0, 1 / 60), ("sustained", 8.0, 1 / 600))
 TOOLS = (None, "search_tool", "file_tool", "admin_tool", "shell_tool", None)
@@ -107,6 +111,58 @@ SELECT request_id, user_id, reason IS NOT NULL AS is_blocked, reason,
 FROM gated"""
 
 
+_PLACES = ("", "sent from ASIA", "we met in EUROPE", "")
+
+
+def full_requests(spark, sf):
+    """Requests that bring a classifier's verdict and those of the retrieval and integrity phases, and
+    whose answers name places."""
+    n = F.col("request_id")
+    return requests(spark, sf).withColumns({
+        "answer": F.concat("answer", F.lit(" "), picked(_PLACES, n)),
+        "model_label": F.when(n % 9 == 0, "INJECTION").otherwise("SAFE"), "model_score": F.pmod(n * 7, F.lit(100)) / 100.0,
+        "retrieval_analysis": F.struct((n % 13 != 0).alias("is_safe")), "integrity_check": F.struct((n % 17 != 5).alias("is_valid"))})
+
+
+def full_gate(spark, sf):
+    """The gate with all phases and inputs."""
+    find = entity_finder(gazetteer(spark, sf, customers=False))
+    g = gate(full_requests(spark, sf), tool_scopes(spark), LIMITS, DRIFT, CHANGE, entities=find, context_seconds=300)
+    return g.select("request_id", "user_id", "is_blocked", "reason", "response",
+                    F.col("retrieval_analysis.is_safe").alias("retrieval_safe"), F.col("integrity_check.is_valid").alias("integrity_valid"),
+                    F.size("filter_result.detected_entities").alias("n_entities"))
+
+
+_PLACE = sql_picked(_PLACES, "request_id")
+_FULL = GATED.replace(
+    "scored AS (", "plain AS (").replace(
+    "entered AS (", """scored AS (SELECT request_id, matched_categories, injection_score + CASE WHEN request_id % 9 <> 0 THEN 0.0
+    WHEN request_id * 7 % 100 >= 90 THEN 3.0 WHEN request_id * 7 % 100 >= 75 THEN 2.0 WHEN request_id * 7 % 100 >= 60 THEN 1.5
+    ELSE 0.0 END::DOUBLE AS injection_score FROM plain),
+entered AS (""").replace(
+    "WHEN NOT a.safe THEN", f"""WHEN r.request_id % 13 = 0 THEN {quoted(rules.GATE_REASONS['retrieval'])}
+    WHEN r.request_id % 17 = 5 THEN {quoted(rules.GATE_REASONS['integrity'])} WHEN NOT a.safe THEN""")
+FULL_GATE = _FULL + f""",
+named AS (SELECT *, {_PLACE} AS place FROM gated)
+SELECT request_id, user_id, reason IS NOT NULL AS is_blocked, reason,
+       CASE WHEN reason IS NULL THEN redacted || ' ' || replace(replace(place, 'ASIA', '[REDACTED-LOC]'), 'EUROPE', '[REDACTED-LOC]')
+            ELSE {quoted(rules.REFUSAL)} END AS response,
+       CASE WHEN reason IS NULL OR reason IN ({', '.join(quoted(rules.GATE_REASONS[p]) for p in ('retrieval', 'integrity', 'output'))})
+            THEN request_id % 13 <> 0 END AS retrieval_safe,
+       CASE WHEN reason IS NULL OR reason IN ({', '.join(quoted(rules.GATE_REASONS[p]) for p in ('integrity', 'output'))})
+            THEN request_id % 17 <> 5 END AS integrity_valid,
+       CASE WHEN reason IS NULL OR reason = 'Output validation failed' THEN n_entities + (place <> '')::INT END AS n_entities
+FROM named"""
+
+
+def gate_evaluation(spark, sf):
+    """The gate's own verdicts against what was planted, by the number of the request (overall: null)."""
+    attack = picked(PROMPTS, F.col("request_id"))
+    g = gated(spark, sf).withColumn("truth", (~attack.isin(*BENIGN)).cast("int")).withColumn(
+        "half", F.when(F.col("request_id") % 2 == 0, "even").otherwise("odd"))
+    return reports.classification_report(g, "truth", "is_blocked", ["half"], rollup=True).drop("avg_latency_s")
+
+
 def security_events_query(spark, sf):
     return security_events(gated(spark, sf)).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -129,6 +185,23 @@ SELECT request_id, strftime(make_timestamp(us), '%Y-%m-%d') AS date, sha256(raw)
        reason IS NOT NULL AS is_blocked, reason FROM gated"""
 
 
+def audit_sink(spark, sf):
+    """The audit records written in three batches, one of which is repeated, and read back."""
+    path, verdicts = scratch_path(spark, "audit"), durable(gated(spark, sf))
+    for batch in (0, 1, 2, 1):
+        write_audit(verdicts.where(F.pmod("request_id", F.lit(3)) == batch), path, source="gate", batch=batch)
+    return spark.read.parquet(path).select(
+        "request_id", F.col("date").cast("string").alias("date"), "prompt_hash", "is_blocked", "reason")
+
+
+def report_sink(spark, sf):
+    """The evaluation written as a report, once more in place of the first, and read back."""
+    path, report = scratch_path(spark, "report"), classification_report(spark, sf)
+    for _ in range(2):
+        write_report(report, path)
+    return read_report(spark, path, report.schema)
+
+
 def guard_suite(spark, sf):
     """Plug-in guards by priority, one of them switched off."""
     c = load(spark, sf, "conversations")
@@ -150,10 +223,6 @@ SELECT conv_id, turn, CASE WHEN prompt IS NULL THEN 'Input blocked by injection'
        WHEN length(prompt) > 1200 THEN 'Output blocked by length' END AS blocked_by
 FROM {_PROMPTED} JOIN ({sql_scored(_PROMPTED, 'conv_id, turn', 'prompt')}) USING (conv_id, turn)"""
 
-# Planted texts that a careful reader would call attacks.
-BENIGN = ("", "Tell me about machine learning", "for educational purposes only", "act as a linux terminal", "jailbreak")
-
-
 def labelled_prompts(spark, sf):
     d = load(spark, sf, "documents")
     attack = picked(ATTACKS, F.col("doc_id"))
@@ -174,16 +243,26 @@ def classification_report(spark, sf):
     return reports.classification_report(labelled_prompts(spark, sf), "truth", "is_injection", ["lang"], "latency", rollup=True)
 
 
-CLASSIFICATION_REPORT = f"""
-SELECT lang, n AS total_samples, tp AS true_positives, tn AS true_negatives, fp AS false_positives, fn AS false_negatives,
+def sql_report(source, group, latency):
+    """Counts and rates of `source` (truth 0 or 1, outcome o), per group and overall."""
+    return f"""
+SELECT {group}, n AS total_samples, tp AS true_positives, tn AS true_negatives, fp AS false_positives, fn AS false_negatives,
        round((tp + tn) / n::DOUBLE, 4) AS accuracy, round(p, 4) AS precision, round(r, 4) AS recall,
        round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 4) AS f1_score,
        round(CASE WHEN fp + tn > 0 THEN fp / (fp + tn)::DOUBLE ELSE 0.0 END, 4) AS false_positive_rate,
-       round(CASE WHEN fn + tp > 0 THEN fn / (fn + tp)::DOUBLE ELSE 0.0 END, 4) AS false_negative_rate, avg_latency_s
+       round(CASE WHEN fn + tp > 0 THEN fn / (fn + tp)::DOUBLE ELSE 0.0 END, 4) AS false_negative_rate
 FROM (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0.0 END AS r
-      FROM (SELECT lang, count(*) AS n, count(*) FILTER (o = 'TP') AS tp, count(*) FILTER (o = 'TN') AS tn,
-                   count(*) FILTER (o = 'FP') AS fp, count(*) FILTER (o = 'FN') AS fn, round(avg(n_chars / 10000.0::DOUBLE), 3) AS avg_latency_s
-            FROM (SELECT *, {_OUTCOME} AS o FROM {_LABELLED}) GROUP BY ROLLUP (lang)))"""
+      FROM (SELECT {group}, count(*) AS n, count(*) FILTER (o = 'TP') AS tp, count(*) FILTER (o = 'TN') AS tn,
+                   count(*) FILTER (o = 'FP') AS fp, count(*) FILTER (o = 'FN') AS fn{latency}
+            FROM {source} GROUP BY ROLLUP ({group})))"""
+
+
+CLASSIFICATION_REPORT = sql_report(
+    f"(SELECT *, {_OUTCOME} AS o FROM {_LABELLED})", "lang", ", round(avg(n_chars / 10000.0::DOUBLE), 3) AS avg_latency_s").replace(
+    "AS false_negative_rate", "AS false_negative_rate, avg_latency_s")
+_JUDGED = f"""(SELECT *, CASE WHEN request_id % 2 = 0 THEN 'even' ELSE 'odd' END AS half, reason IS NOT NULL AS hit,
+  ({sql_picked(PROMPTS, 'request_id')} NOT IN ({', '.join(quoted(b) for b in BENIGN)}))::INT AS truth FROM gated)"""
+GATE_EVALUATION = GATED + sql_report(f"(SELECT *, {_OUTCOME} AS o FROM {_JUDGED})", "half", "")
 
 
 def benchmark_rows(spark, sf):
@@ -222,6 +301,59 @@ SELECT source, sum(injection_score) AS total, count(*) AS n FROM {_LABELLED} JOI
 GROUP BY source ORDER BY total DESC, source LIMIT 10"""
 
 
+DAYS = 7
+
+
+def category_turnover(spark, sf):
+    """Users a category names on one day, and who of them is there on the next, from sketches per day."""
+    d = labelled_prompts(spark, sf).select(
+        F.explode("matched_categories").alias("category"), F.pmod("doc_id", F.lit(DAYS)).alias("day"), F.pmod("doc_id", F.lit(60)).alias("user_id"))
+    daily = durable(sketches.set_sketches(d, ["category", "day"], "user_id"))
+    whole = sketches.united(daily, ["category"]).select("category", F.theta_sketch_estimate("members").alias("n_users"))
+    return sketches.turnover(daily, "day", ["category"]).join(whole, "category")
+
+
+CATEGORY_TURNOVER = f"""
+WITH u AS (SELECT DISTINCT category, day, user_id FROM (
+  SELECT unnest(matched_categories) AS category, doc_id % {DAYS} AS day, doc_id % 60 AS user_id FROM {_LABELLED})),
+w AS (SELECT category, count(DISTINCT user_id) AS n_users FROM u GROUP BY category)
+SELECT a.category, a.day, count(*) AS n, count(b.user_id) AS stayed, count(*) - count(b.user_id) AS gone, w.n_users
+FROM u a LEFT JOIN u b ON b.category = a.category AND b.day = a.day + 1 AND b.user_id = a.user_id JOIN w ON w.category = a.category
+GROUP BY a.category, a.day, w.n_users"""
+
+
+def chunk_classifier(spark, sf):
+    """A linear model trained on short labelled prompts, run over whole documents with an attack at their
+    very end; which chunk speaks for an attack, and how sure the model is."""
+    d = load(spark, sf, "documents")
+    attack = picked(ATTACKS, F.col("doc_id"))
+    short = d.select(
+        F.concat(F.substring("text", 1, 100), F.lit(" "), attack).alias("text"), (~attack.isin(*BENIGN)).cast("int").alias("label"))
+    whole = d.select("doc_id", planted(F.col("text"), ATTACKS, F.col("doc_id")).alias("text"))
+    found = classifier.chunk_scores(whole, "doc_id", "text", classifier.linear_model(short))
+    return found.select("doc_id", F.round("confidence", 4).alias("confidence"), "chunk", "n_chunks")
+
+
+_LABEL = f"({sql_picked(ATTACKS, 'doc_id')} NOT IN ({', '.join(quoted(b) for b in BENIGN)}))::INT"
+_WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \t\n\r]+'), lambda x: x <> ''))"
+CHUNK_CLASSIFIER = f"""
+WITH l AS (SELECT doc_id, substring(text, 1, 100) || ' ' || {sql_picked(ATTACKS, 'doc_id')} AS text, {_LABEL} AS y
+           FROM documents WHERE text IS NOT NULL),
+t AS (SELECT sum(y) AS t1, sum(1 - y) AS t0 FROM l),
+s AS (SELECT word, ln((sum(y) + 1) / (max(t1) + 2)) - ln((sum(1 - y) + 1) / (max(t0) + 2)) AS weight
+      FROM (SELECT y, unnest({_WORDS}) AS word FROM l), t GROUP BY word HAVING count(*) >= 3),
+d AS (SELECT doc_id, {sql_planted('text', ATTACKS, 'doc_id')} AS whole FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, whole, unnest(range(0, greatest(length(whole) - 64, 1), 448)) AS start FROM d),
+p AS (SELECT doc_id, start // 448 AS chunk, substring(whole, start + 1, 512) AS text FROM c),
+w AS (SELECT doc_id, chunk, unnest({_WORDS}) AS word FROM p),
+o AS (SELECT doc_id, chunk, sum(weight) AS odds FROM w JOIN s USING (word) GROUP BY doc_id, chunk),
+q AS (SELECT p.doc_id, p.chunk, round(1 / (1 + exp(-(coalesce(odds, 0) + ln((t1 + 1) / (t0 + 1))))), 9) AS confidence
+      FROM p CROSS JOIN t LEFT JOIN o ON o.doc_id = p.doc_id AND o.chunk = p.chunk),
+b AS (SELECT doc_id, max(confidence) AS top, count(*) AS n_chunks FROM q GROUP BY doc_id)
+SELECT b.doc_id, round(top, 4) AS confidence, min(chunk)::INT AS chunk, n_chunks
+FROM b JOIN q ON q.doc_id = b.doc_id AND q.confidence = b.top GROUP BY ALL"""
+
+
 def labelled_documents(spark, sf):
     d = load_labelled(spark, f"{sf}/documents.parquet", f"{sf}/labels.parquet")
     return d.groupBy("label", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
@@ -234,10 +366,16 @@ QUERIES = {
     "request_gate": (request_gate, REQUEST_GATE),
     "security_events": (security_events_query, SECURITY_EVENTS),
     "gate_audit": (gate_audit, GATE_AUDIT),
+    "audit_sink": (audit_sink, GATE_AUDIT),
+    "report_sink": (report_sink, CLASSIFICATION_REPORT),
+    "full_gate": (full_gate, FULL_GATE),
+    "gate_evaluation": (gate_evaluation, GATE_EVALUATION),
     "guard_suite": (guard_suite, GUARD_SUITE),
     "classification_report": (classification_report, CLASSIFICATION_REPORT),
     "benchmark_rows": (benchmark_rows, BENCHMARK_ROWS),
     "category_breakdown": (category_breakdown, CATEGORY_BREAKDOWN),
+    "category_turnover": (category_turnover, CATEGORY_TURNOVER),
+    "chunk_classifier": (chunk_classifier, CHUNK_CLASSIFIER),
     "worst_sources": (worst_sources, WORST_SOURCES),
     "labelled_documents": (labelled_documents, LABELLED_DOCUMENTS),
 }

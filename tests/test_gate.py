@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,8 @@ from textguard.operators.sanitize import sanitize
 from textguard.plans.gate import gate
 from textguard.plans.guards import Guard, GuardSuite
 from textguard.sources import audit
-from textguard.sources.registry import read_registry, write_registry
+from textguard.sources import versions
+from textguard.sources.registry import commit, read_registry, stage, write_registry
 from textguard.sources.requests import assign_users, load_labelled, requests_from, split_valid
 
 FLAT, TURNED = [1.0, 0.0], [-1.0, 0.0]
@@ -163,9 +165,49 @@ def test_sanitize_layers(spark):
 def test_stored_registry(spark, tmp_path):
     path = str(tmp_path / "registry")
     assert read_registry(spark, path) is None
-    rows = spark.createDataFrame([(1, "h1", 10), (2, "h2", 10)], "doc_id int, content_hash string, last_verified int")
-    write_registry(rows, path)
-    write_registry(spark.createDataFrame([(2, "h3", 20), (3, "h4", 20)], rows.schema), path)
-    assert {(r.doc_id, r.content_hash) for r in read_registry(spark, path).collect()} == {(1, "h1"), (2, "h3"), (3, "h4")}
-    older = spark.createDataFrame([(2, "old", 5)], rows.schema)
-    assert upsert(read_registry(spark, path), older).where("doc_id = 2").first().content_hash == "h3"
+    rows = spark.createDataFrame([(k, f"h{k}", 10) for k in range(200)], "doc_id int, content_hash string, last_verified int")
+    write_registry(rows, path, buckets=16)
+    write_registry(spark.createDataFrame([(2, "new", 20), (300, "h300", 20)], rows.schema), path)
+    got = {r.doc_id: r.content_hash for r in read_registry(spark, path).collect()}
+    assert got == {**{k: f"h{k}" for k in range(200)}, 2: "new", 300: "h300"}
+    write_registry(spark.createDataFrame([(2, "old", 5)], rows.schema), path)
+    assert {r.doc_id: r.content_hash for r in read_registry(spark, path).collect()} == got
+    write_registry(rows.where("false"), path)
+    assert read_registry(spark, path).count() == 201
+    # Bytes follow the batch: one document, one bucket of sixteen.
+    sizes = sorted(sum(f.stat().st_size for f in d.rglob("*.parquet")) for d in (tmp_path / "registry" / "data").iterdir())
+    assert len(sizes) == 4 and sizes[1] < sizes[-1] / 8
+
+
+def test_one_writer_per_version(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "registry")
+    rows = spark.createDataFrame([(k, f"h{k}", 10) for k in range(20)], "doc_id int, content_hash string, last_verified int")
+    write_registry(rows, path, buckets=4)
+    one = stage(spark.createDataFrame([(1, "one", 20)], rows.schema), path)
+    two = stage(spark.createDataFrame([(2, "two", 20)], rows.schema), path)
+    assert commit(one) == 2
+    with pytest.raises(versions.Conflict):
+        commit(two)
+    got = {r.doc_id: r.content_hash for r in read_registry(spark, path).collect()}
+    assert got[1] == "one" and got[2] == "h2"
+    assert write_registry(spark.createDataFrame([(2, "two", 20)], rows.schema), path) == 3
+    # An intent holds the version until its writer counts as dead.
+    content = versions.newest(spark, path).content
+    now = time.time()
+    with monkeypatch.context() as past:
+        past.setattr(versions.time, "time", lambda: now - 5000)
+        versions._enter(spark, path, 4, "dead", "intent")
+    assert versions.commit(spark, path, 3, content) == 4
+    versions._enter(spark, path, 5, "alive", "intent")
+    with pytest.raises(versions.Conflict):
+        versions.commit(spark, path, 4, content)
+    with pytest.raises(versions.Conflict):
+        versions.commit(spark, path, 2, {})
+
+
+def test_repeated_batch(spark, verdicts, tmp_path):
+    path = str(tmp_path / "audit")
+    for batch in (0, 1, 0):
+        audit.write_audit(verdicts.where(F.pmod("request_id", F.lit(2)) == batch), path, source="gate one/two", batch=batch)
+    stored = spark.read.parquet(path)
+    assert stored.count() == verdicts.count() and stored.select("source", "batch").distinct().count() == 2

@@ -9,6 +9,7 @@ from textguard.operators.drift import conversation_drift
 from textguard.operators.integrity import latest
 from textguard.operators.ratelimit import rate_limit
 from textguard.operators.sanitize import context_similarity, sanitize
+from textguard.sources import versions
 from textguard.sources.audit import write_audit_stream
 from textguard.streaming import flows, stateful
 
@@ -54,10 +55,10 @@ def test_context(spark, folder):
 
 def test_drift(spark, folder):
     vector = F.array(F.col("value"), F.col("value") * 0 + F.pmod("event_id", F.lit(7)) - 3)
-    live = stream(spark, folder).withColumn("embedding", vector)
+    live = stream(spark, folder).withWatermark("ts", "1 hour").withColumn("embedding", vector)
     out = flows.drain(stateful.drift_stream(live, "user_id", "ts", "event_id", "embedding", 1.1, 0.3), "t")
     batch = conversation_drift(spark.read.parquet(folder).withColumn("embedding", vector), "user_id", "ts", "event_id")
-    names = ["event_id", "similarity", "drift", "change_rate"]
+    names = ["event_id", "similarity", "drift", "change_rate", "max_drift", "max_change_rate"]
     assert rows(out, *names) == rows(batch, *names)
     assert out.where("is_suspicious and reason is not null").count() > 0
     cooled = flows.drain(stateful.drift_stream(live, "user_id", "ts", "event_id", "embedding", 1.1, 0.3, 1e9), "t")
@@ -66,7 +67,7 @@ def test_drift(spark, folder):
 
 def test_usage_caps(spark, folder):
     capped = lambda d: d.select("user_id", "event_type", "ts", "event_id", F.lit(4).alias("cap"))
-    out = flows.drain(stateful.usage_cap_stream(capped(stream(spark, folder)), "user_id", "event_type", "ts", "event_id", "cap"), "t")
+    out = flows.drain(stateful.usage_cap_stream(capped(stream(spark, folder).withWatermark("ts", "1 hour")), "user_id", "event_type", "ts", "event_id", "cap"), "t")
     per_key = {}
     for r in out.orderBy("ts", "event_id").collect():
         per_key.setdefault((r.user_id, r.event_type), []).append(r.is_allowed)
@@ -118,7 +119,7 @@ def test_registry_stream(spark, folder, tmp_path):
     path = str(tmp_path / "registry")
     seen = lambda d: latest(updates(d), "doc_id", "last_verified")
     flows.registry_stream(updates(stream(spark, folder)), path, str(tmp_path / "cp")).awaitTermination()
-    version, table = flows.latest_version(spark, path)
+    version, table = versions.read(spark, path)
     assert version == 3
     got, want = rows(table, "doc_id", "content_hash"), rows(seen(spark.read.parquet(folder)), "doc_id", "content_hash")
     assert dict(got) == dict(want) and len(got) == 100
@@ -128,7 +129,39 @@ def test_baseline_stream(spark, folder, tmp_path):
     vectors = lambda d: d.select(F.array(F.col("value"), F.col("event_id").cast("double")).alias("embedding"))
     path = str(tmp_path / "baseline")
     flows.baseline_stream(vectors(stream(spark, folder)), path, str(tmp_path / "cp")).awaitTermination()
-    got = flows.latest_version(spark, path)[1].first()
+    got = versions.read(spark, path)[1].first()
     want = vector_moments(vectors(spark.read.parquet(folder))).first()
     assert got.n == want.n == 1000
     assert all(abs(a - b) < 1e-6 * max(1, abs(b)) for a, b in zip(got.mean + got.scatter, want.mean + want.scatter))
+
+
+def test_slices_bound_memory():
+    """A key with a million rows in a micro-batch: slices are sorted, and little more than one is held."""
+    import tracemalloc
+
+    import pandas as pd
+
+    def parts():
+        for k in range(100):
+            yield pd.DataFrame({"ts": range(10_000 * k + 9_999, 10_000 * k - 1, -1), "id": 1})
+
+    tracemalloc.start()
+    seen = 0
+    for some in stateful._slicer(stateful.SLICE_ROWS)(parts(), ["ts", "id"]):
+        assert len(some) < stateful.SLICE_ROWS + 10_000 and some["ts"].is_monotonic_increasing
+        seen += len(some)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == 1_000_000 and peak < 20 * 2**20
+
+
+def test_history_ends_with_a_pause(spark, folder, tmp_path):
+    """Turns before a long pause are not part of the conversation that goes on in the stream."""
+    rows = [("u", 1, [1.0, 0.0]), ("u", 2, [0.0, 1.0]), ("u", 9000, [1.0, 1.0]), ("v", 5, [0.0, 2.0])]
+    past = spark.createDataFrame(rows, "k string, s long, e array<double>").withColumn("ts", F.timestamp_seconds("s"))
+    later = spark.createDataFrame([("u", 9001, [-1.0, -1.0]), ("u", 9002, [-1.0, 0.0]), ("w", 9003, [1.0, 0.0])], "k string, s long, e array<double>")
+    later.withColumn("ts", F.timestamp_seconds("s")).write.parquet(str(tmp_path / "in"))
+    live = flows.read_stream(spark, str(tmp_path / "in")).withWatermark("ts", "1 hour")
+    out = flows.drain(stateful.drift_stream(live, "k", "ts", "s", "e", alert_interval=60, idle_seconds=3600, history=past), "t")
+    got = {r.s: (round(r.drift, 6), round(r.change_rate, 6), round(r.max_drift, 6), r.is_suspicious) for r in out.collect()}
+    assert got == {9001: (2.0, 0.0, 2.0, True), 9002: (1.707107, 1.707107, 2.0, False), 9003: (0.0, 0.0, 0.0, False)}

@@ -303,12 +303,13 @@ def _run_kernel(rows: DataFrame, keys: Sequence[str], order: Sequence[str], stat
 
 def sequential(df: DataFrame, keys: Sequence[str], order: Sequence[str], state: Sequence[str],
                outputs: str, kernel: Kernel, reset_seconds: float,
-               rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+               rows_per_task: int = ROWS_PER_TASK, keep_state: bool = False) -> DataFrame:
     """Run a computation in which each row depends on the state its predecessor left.
 
     `df` should hold only keys and order columns; the first order column is the
     time.  `outputs` is the schema of the kernel's columns; `state` names its
-    state values (doubles).
+    state values (doubles).  With `keep_state` they come out as `_out_<name>` on
+    some rows, the last one of each key among them, and are null on the others.
 
     A pause of `reset_seconds` must bring any state back to the initial one.
     Large keys are cut there, which gives independent pieces.  A piece that is
@@ -317,7 +318,7 @@ def sequential(df: DataFrame, keys: Sequence[str], order: Sequence[str], state:
     """
     empty = {f"_in_{s}": F.lit(None).cast("double") for s in state}
     rows = df.withColumn("_micros", micros(df, order[0]))
-    after = [f"_out_{s}" for s in state]
+    after = [] if keep_state else [f"_out_{s}" for s in state]
     large = large_keys(df.select(*keys), keys, rows_per_task)
     if large is None:
         return _run_kernel(rows.withColumns(empty), keys, order, state, outputs, kernel).drop(*after)

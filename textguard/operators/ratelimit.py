@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from textguard import rules
 from textguard.operators.ordered import ROWS_PER_TASK, sequential
@@ -45,16 +46,12 @@ def refill_seconds(limits: Limits) -> float:
     return max(cap / rate for _, cap, rate in limits) * 1.001 + 1.0
 
 
-def rate_limit(df: DataFrame, key: str, ts: str, row_id: str,
-               limits: Limits = rules.RATE_LIMITS,
-               rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """One row per request: `key, ts, row_id, allowed`, and tokens left per bucket.
+def _bucket_names(limits: Limits) -> list[str]:
+    return [part for name, _, _ in limits for part in (f"{name}_last", f"{name}_left")]
 
-    Only the three columns are shuffled; join the result back on `row_id`.
-    Requests count in the order of (ts, row_id).
-    """
+
+def _limited(df: DataFrame, key: str, ts: str, row_id: str, limits: Limits, rows_per_task: int, keep_state: bool) -> DataFrame:
     names = [f"{name}_tokens" for name, _, _ in limits]
-    state = [part for name, _, _ in limits for part in (f"{name}_last", f"{name}_left")]
     step = bucket_step(limits)
 
     def kernel(micros, before):
@@ -67,8 +64,29 @@ def rate_limit(df: DataFrame, key: str, ts: str, row_id: str,
         return {"allowed": allowed, **dict(zip(names, left))}, before
 
     schema = ", ".join(["allowed boolean", *[f"{n} double" for n in names]])
-    return sequential(df.select(key, ts, row_id), [key], [ts, row_id], state, schema, kernel,
-                      refill_seconds(limits), rows_per_task)
+    return sequential(df.select(key, ts, row_id), [key], [ts, row_id], _bucket_names(limits), schema, kernel,
+                      refill_seconds(limits), rows_per_task, keep_state)
+
+
+def rate_limit(df: DataFrame, key: str, ts: str, row_id: str,
+               limits: Limits = rules.RATE_LIMITS,
+               rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """One row per request: `key, ts, row_id, allowed`, and tokens left per bucket.
+
+    Only the three columns are shuffled; join the result back on `row_id`.
+    Requests count in the order of (ts, row_id).
+    """
+    return _limited(df, key, ts, row_id, limits, rows_per_task, False)
+
+
+def bucket_states(df: DataFrame, key: str, ts: str, row_id: str, limits: Limits = rules.RATE_LIMITS,
+                  rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """The buckets each key is left with: `key, s0, s1, ...`, as `bucket_step` takes them."""
+    rows = _limited(df, key, ts, row_id, limits, rows_per_task, True)
+    names = _bucket_names(limits)
+    state = F.struct(*[F.col(f"_out_{name}").alias(f"s{i}") for i, name in enumerate(names)])
+    return rows.where(F.col(f"_out_{names[0]}").isNotNull()).groupBy(key).agg(
+        F.max_by(state, F.struct(ts, row_id)).alias("_state")).select(key, "_state.*")
 
 
 def cooldown(alerts: DataFrame, key: str, ts: str, row_id: str, seconds: float,

@@ -12,11 +12,12 @@ from textguard.functions import vectors as vec
 from textguard.operators.ordered import ROWS_PER_TASK, Ordered, micros
 
 
-def context_similarity(df: DataFrame, key: str, ts: str, row_id: str, text: str,
-                       seconds: int = rules.CONTEXT_SECONDS, result: str = "context_score",
-                       rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Add the word overlap (Jaccard) with the key's last three texts, as far as
-    they lie within `seconds` before the row; 0 if there are none."""
+def context_scores(df: DataFrame, key: str, ts: str, row_id: str, text: str,
+                   seconds: int = rules.CONTEXT_SECONDS, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """`key, ts, row_id, context_score`: the word overlap (Jaccard) with the key's last three texts, as
+    far as they lie within `seconds` before the row; 0 if there are none.
+
+    Words go through the window as 64-bit hashes, sorted; texts stay where they are."""
     def add(rows: DataFrame, window) -> DataFrame:
         recent = []
         for i in range(1, rules.CONTEXT_TEXTS + 1):
@@ -24,11 +25,20 @@ def context_similarity(df: DataFrame, key: str, ts: str, row_id: str, text: str,
             recent.append(F.when(age < seconds * 1_000_000, F.lag("_words", i).over(window)))
         return rows.withColumn("_recent", F.flatten(F.array_compact(F.array(*recent))))
 
-    rows = (df.withColumn("_micros", micros(df, ts))
-            .withColumn("_words", F.array_distinct(tx.words(F.col(text)))))
+    hashes = F.sort_array(F.array_distinct(F.transform(tx.words(F.col(text)), lambda w: F.xxhash64(w))))
+    named = list(dict.fromkeys([key, ts, row_id]))  # time and id may be one column
+    rows = df.select(*named, micros(df, ts).alias("_micros"), hashes.alias("_words"))
     found = Ordered(rows, [key], [ts, row_id], rows_per_task).look_back(rules.CONTEXT_TEXTS, add).rows()
     score = F.when(F.size("_recent") > 0, tx.jaccard(F.col("_words"), F.col("_recent"))).otherwise(0.0)
-    return found.withColumn(result, F.coalesce(score, F.lit(0.0))).drop("_micros", "_words", "_recent")
+    return found.select(*named, F.coalesce(score, F.lit(0.0)).alias("context_score"))
+
+
+def context_similarity(df: DataFrame, key: str, ts: str, row_id: str, text: str,
+                       seconds: int = rules.CONTEXT_SECONDS, result: str = "context_score",
+                       rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Add `context_scores`, joined back by `row_id`, which must be unique."""
+    scores = context_scores(df, key, ts, row_id, text, seconds, rows_per_task)
+    return df.join(scores.select(F.col(row_id).alias("_id"), F.col("context_score").alias(result)), F.col(row_id) == F.col("_id"), "left").drop("_id")
 
 
 def sanitize(df: DataFrame, prompt: str = "prompt", context_score: Column | None = None,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from textguard import rules
+from textguard.operators.cells import similar_by_cells
 
 MAX_QUERIES = 2048
 _ROWS_AT_ONCE = 1024
@@ -68,34 +69,32 @@ def similar_documents(queries: DataFrame, documents: DataFrame, query_id: str =
     """The `k` documents most similar (cosine) to each query, at least
     `min_similarity`: `query_id, doc_id, similarity, rank`.
 
-    Exact: every document is compared, but as matrix products within the scan of
-    the documents, which are not shuffled; each task passes on `k` rows per
-    query.  Queries travel with the task in blocks of at most `max_queries`
-    vectors; more queries mean more scans, not more memory.  Similarities are
-    compared to nine digits, equal ones ranked by id.
+    Exact: up to `max_queries` queries, which are counted first, travel with the task,
+    and every document is compared within its scan by matrix products; documents are
+    not shuffled, and each task passes on `k` rows per query. More queries are joined
+    with the documents over cells of directions (`cells.similar_by_cells`). Similarities
+    are compared to nine digits, equal ones ranked by id.
     """
+    if queries.count() > max_queries:
+        return similar_by_cells(queries, documents, query_id, doc_id, embedding, k, min_similarity)
     columns = [
         queries.schema[query_id].jsonValue() | {"name": query_id},
         documents.schema[doc_id].jsonValue() | {"name": doc_id},
     ]
     schema = type(queries.schema).fromJson({"type": "struct", "fields": columns}).add("similarity", "double")
-    total = queries.count()
-    blocks = -(-total // max_queries)
-    numbered = queries.select(query_id, embedding, F.pmod(F.xxhash64(query_id), F.lit(max(blocks, 1))).alias("_block"))
     best = None
-    for block in range(blocks):
-        rows = [r for r in numbered.where(F.col("_block") == block).collect() if r[embedding]]
-        by_dim: dict[int, list] = {}
-        for row in rows:
+    by_dim: dict[int, list] = {}
+    for row in queries.select(query_id, embedding).collect():
+        if row[embedding]:
             by_dim.setdefault(len(row[embedding]), []).append(row)
-        for same in by_dim.values():
-            matrix = np.array([r[embedding] for r in same], dtype=np.float64)
-            norms = np.linalg.norm(matrix, axis=1)
-            matrix = matrix / np.where(norms > 0, norms, 1.0)[:, None]
-            found = documents.select(doc_id, embedding).mapInArrow(
-                _best([r[query_id] for r in same], matrix, k, min_similarity, to_arrow_schema(schema),
-                      _DIGITS, _ROWS_AT_ONCE), schema)
-            best = found if best is None else best.unionByName(found)
+    for same in by_dim.values():
+        matrix = np.array([r[embedding] for r in same], dtype=np.float64)
+        norms = np.linalg.norm(matrix, axis=1)
+        matrix = matrix / np.where(norms > 0, norms, 1.0)[:, None]
+        found = documents.select(doc_id, embedding).mapInArrow(
+            _best([r[query_id] for r in same], matrix, k, min_similarity, to_arrow_schema(schema),
+                  _DIGITS, _ROWS_AT_ONCE), schema)
+        best = found if best is None else best.unionByName(found)
     if best is None:
         return queries.sparkSession.createDataFrame([], schema.add("rank", "integer"))
     order = Window.partitionBy(query_id).orderBy(F.desc("similarity"), F.col(doc_id))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+from urllib.parse import quote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from textguard import rules
 
@@ -34,18 +38,33 @@ def audit_records(verdicts: DataFrame, keep_prompts: bool = False) -> DataFrame:
         "is_blocked", "reason", "response", *results)
 
 
-def write_audit(verdicts: DataFrame, path: str, keep_prompts: bool = False) -> None:
-    """Append the records of a batch, one folder per day."""
-    audit_records(verdicts, keep_prompts).write.mode("append").partitionBy("date").parquet(path)
+def write_once(df: DataFrame, path: str, source: str, batch: int, by: tuple[str, ...] = ()) -> None:
+    """Write a source's batch to a folder of its own, in place of what an earlier attempt left there:
+    a repeated batch leaves no second copy. Reading `path` gives all batches, with both as columns."""
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(*by) if by else writer).parquet(f"{path}/source={quote(source, safe='')}/batch={int(batch)}")
+
+
+def write_audit(verdicts: DataFrame, path: str, keep_prompts: bool = False, source: str = "batch",
+                batch: int | None = None) -> None:
+    """Write the records of a batch, one folder per day.
+
+    With a number, the batch is written once however often it is repeated; without one,
+    it is new each time."""
+    records = audit_records(verdicts, keep_prompts)
+    write_once(records, path, source, time.time_ns() if batch is None else batch, ("date",))
 
 
 def write_audit_stream(verdicts: DataFrame, path: str, checkpoint: str, keep_prompts: bool = False,
-                       **trigger) -> StreamingQuery:
-    """Append the records of a stream, exactly once."""
+                       source: str = "stream", **trigger) -> StreamingQuery:
+    """Write the records of a stream, each micro-batch once: if it is repeated after a failure, it
+    takes the place of its first attempt."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_once(batch, path, source, batch_id, ("date",))
+
     return (
-        audit_records(verdicts, keep_prompts).writeStream.outputMode("append")
-        .partitionBy("date").option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True})).format("parquet").start(path))
+        audit_records(verdicts, keep_prompts).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).start())
 
 
 def security_events(verdicts: DataFrame) -> DataFrame:
@@ -79,4 +98,9 @@ def security_events(verdicts: DataFrame) -> DataFrame:
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    report.write.mode("overwrite").json(path)
+    """A report as JSON lines, in place of an older one."""
+    report.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_report(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return spark.read.schema(schema).json(path)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from textguard.durable import scratch_path
 from textguard.operators.baseline import MOMENTS, merge_moments, vector_moments
-from textguard.operators.integrity import upsert
 from textguard.operators.retrieval import retrieval_counts
+from textguard.sources import registry, versions
 
 
 def read_stream(spark: SparkSession, folder: str, files: str = "*", files_per_trigger: int = 100) -> DataFrame:
@@ -44,29 +46,14 @@ def retrieval_counts_stream(log: DataFrame, user: str, ts: str, seconds: int, la
     return retrieval_counts(log.withWatermark(ts, lateness), user, ts, seconds, slide)
 
 
-def _replace(df: DataFrame, path: str, version: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/version={version}")
-
-
-def latest_version(spark: SparkSession, path: str) -> tuple[int, DataFrame] | None:
-    """The newest completely written version of a table kept by the flows below."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
-    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop) or []
-    versions = [int(f.getPath().getParent().getName().split("=")[1]) for f in files]
-    if not versions:
-        return None
-    return max(versions), spark.read.parquet(f"{path}/version={max(versions)}")
+def registry_stream(updates: DataFrame, path: str, checkpoint: str, buckets: int = registry.BUCKETS, **trigger) -> StreamingQuery:
+    """Keep a document registry current: each micro-batch makes a new version.
 
-
-def registry_stream(updates: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Keep a document registry current: each micro-batch writes a new version.
-
-    Versions are numbered by micro-batch, so a repeated batch writes the same."""
+    A version remembers the stream (by its checkpoint) and the micro-batch it holds, so a
+    repeated micro-batch is left out."""
     def apply(batch: DataFrame, batch_id: int) -> None:
-        known = latest_version(batch.sparkSession, path)
-        if known is not None and known[0] >= batch_id + 1:
-            return
-        _replace(batch if known is None else upsert(known[1], batch), path, batch_id + 1)
+        if not versions.committed(batch.sparkSession, path, checkpoint, batch_id):
+            registry.commit(registry.stage(batch, path, buckets=buckets), checkpoint, batch_id)
 
     return (updates.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
@@ -76,14 +63,16 @@ def baseline_stream(vectors: DataFrame, path: str, checkpoint: str, embedding: s
                     **trigger) -> StreamingQuery:
     """Keep the moments of a growing set of safe vectors, without reading old ones again."""
     def apply(batch: DataFrame, batch_id: int) -> None:
-        known = latest_version(batch.sparkSession, path)
-        if known is not None and known[0] >= batch_id + 1:
+        spark = batch.sparkSession
+        if versions.committed(spark, path, checkpoint, batch_id):
             return
         moments = vector_moments(batch, embedding)
+        number, known = versions.read(spark, path)
         if known is not None:
-            moments = merge_moments(moments.unionByName(batch.sparkSession.createDataFrame(
-                known[1].collect(), MOMENTS)))
-        _replace(moments, path, batch_id + 1)
+            moments = merge_moments(moments.unionByName(spark.createDataFrame(known.collect(), MOMENTS)))
+        folder = uuid.uuid4().hex
+        moments.write.parquet(f"{path}/data/{folder}")
+        versions.commit(spark, path, number, {"moments": folder}, checkpoint, batch_id)
 
     return (vectors.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

@@ -1,8 +1,11 @@
 """Guards that keep state per key, on streams.
 
-Rows are handled in the order of (time, id) within a micro-batch and in order of
-arrival across micro-batches.  A watermark must be set on the time column: it
-drives the timers that drop the state of keys gone quiet.
+Rows are handled in the order of (time, id) within a slice of at most `SLICE_ROWS` rows of
+a key and micro-batch (and one Arrow batch more), in order of arrival across slices and
+micro-batches; no more of a key is held at once.  A watermark must be set on the time
+column: it drives the timers that drop the state of keys gone quiet, which all guards do
+by default.  A stream can start from what batch operators made of earlier rows (`history`):
+their last state per key is loaded in the first micro-batch, and nothing is replayed.
 
 The processors are classes made inside functions, so that they travel to the
 executors by value.
@@ -19,8 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from textguard import rules
-from textguard.operators.drift import alert_reason
-from textguard.operators.ratelimit import Limits, bucket_step, refill_seconds
+from textguard.functions.text import is_trivial_turn
+from textguard.operators.drift import alert_reason, drift_states, last_n, last_session
+from textguard.operators.ratelimit import Limits, bucket_states, bucket_step, refill_seconds
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -30,25 +34,41 @@ def use_rocksdb(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def _gather():
-    """A function for a key's rows of one micro-batch, in order.  Triggers bound
-    a micro-batch (`maxFilesPerTrigger`, `maxOffsetsPerTrigger`), and with it
-    this table."""
-    def gather(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-        parts = [p for p in rows if len(p)]
-        return pd.concat(parts).sort_values(order, kind="stable") if parts else pd.DataFrame()
+#: Rows of a key that are sorted and held at once.
+SLICE_ROWS = 100_000
+#: A conversation or session without a row for so long is over, and its state goes.
+IDLE_SECONDS = 30 * 86_400
 
-    return gather
+
+def _slicer(limit: int):
+    """A function for a key's rows of one micro-batch in slices, each in order."""
+    def slices(rows: Iterator[pd.DataFrame], order: list[str]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for part in rows:
+            if len(part):
+                held.append(part)
+                n += len(part)
+            if n >= limit:
+                yield pd.concat(held).sort_values(order, kind="stable")
+                held, n = [], 0
+        if held:
+            yield pd.concat(held).sort_values(order, kind="stable")
+
+    return slices
+
+
+def _grouped(states: DataFrame | None, *keys: str):
+    return None if states is None else states.groupBy(*keys)
 
 
 def rate_limit_stream(requests: DataFrame, key: str, ts: str, row_id: str,
-                      limits: Limits = rules.RATE_LIMITS) -> DataFrame:
+                      limits: Limits = rules.RATE_LIMITS, history: DataFrame | None = None) -> DataFrame:
     """Token buckets on a stream: `key, ts, row_id, allowed`.
 
     The state of a key is dropped once a pause has filled its buckets again,
-    which is the same as never having seen it."""
+    which is the same as never having seen it.  `history` holds earlier requests."""
     step, idle = bucket_step(limits), int(refill_seconds(limits) * 1000)
-    width, gather = 2 * len(limits), _gather()
+    width, slices = 2 * len(limits), _slicer(SLICE_ROWS)
 
     class Limiter(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
@@ -56,22 +76,27 @@ def rate_limit_stream(requests: DataFrame, key: str, ts: str, row_id: str,
             self._buckets = handle.getValueState("buckets", ", ".join(f"s{i} double" for i in range(width)))
             self._timer = handle.getValueState("timer", "at long")
 
-        def handleInputRows(self, key_values, rows, timerValues) -> Iterator[pd.DataFrame]:
-            batch = gather(rows, [ts, row_id])
-            if batch.empty:
-                return
-            state = tuple(self._buckets.get()) if self._buckets.exists() else None
-            allowed = []
-            for moment in batch[ts]:
-                ok, state = step(pd.Timestamp(moment).value // 1000, state)
-                allowed.append(ok)
+        def _keep(self, state: tuple) -> None:
             self._buckets.update(state)
             if self._timer.exists():
                 self._handle.deleteTimer(self._timer.get()[0])
             expiry = int(max(state[::2]) // 1000) + idle
             self._handle.registerTimer(expiry)
             self._timer.update((expiry,))
-            yield batch[[key, ts, row_id]].assign(allowed=allowed)
+
+        def handleInitialState(self, key, initialState, timerValues) -> None:
+            self._keep(tuple(float(initialState[f"s{i}"].iloc[0]) for i in range(width)))
+
+        def handleInputRows(self, key_values, rows, timerValues) -> Iterator[pd.DataFrame]:
+            state = tuple(self._buckets.get()) if self._buckets.exists() else None
+            for some in slices(rows, [ts, row_id]):
+                allowed = []
+                for moment in some[ts]:
+                    ok, state = step(pd.Timestamp(moment).value // 1000, state)
+                    allowed.append(ok)
+                yield some[[key, ts, row_id]].assign(allowed=allowed)
+            if state is not None:
+                self._keep(state)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             self._buckets.clear()
@@ -82,22 +107,29 @@ def rate_limit_stream(requests: DataFrame, key: str, ts: str, row_id: str,
             pass
 
     fields = requests.select(key, ts, row_id).schema.add("allowed", "boolean")
+    states = None if history is None else bucket_states(history, key, ts, row_id, limits)
     return requests.select(key, ts, row_id).groupBy(key).transformWithStateInPandas(
-        Limiter(), fields, "append", "EventTime")
+        Limiter(), fields, "append", "EventTime", _grouped(states, key))
 
 
 def drift_stream(turns: DataFrame, key: str, ts: str, row_id: str, embedding: str = "embedding",
                  drift_threshold: float = rules.DRIFT_THRESHOLD,
                  change_threshold: float = rules.CHANGE_RATE_THRESHOLD,
                  alert_interval: float = rules.ALERT_INTERVAL,
-                 idle_seconds: int | None = None) -> DataFrame:
-    """Conversation drift on a stream of non-trivial turns: `key, ts, row_id,
-    similarity, drift, change_rate, is_suspicious, reason`.
+                 idle_seconds: int | None = IDLE_SECONDS, text: str | None = None,
+                 history: DataFrame | None = None) -> DataFrame:
+    """Conversation drift on a stream of turns: `key, ts, row_id, similarity, drift,
+    change_rate, max_drift, max_change_rate` (running maxima), `is_suspicious, reason`.
 
     State per key: first and previous embedding, previous similarity, number of
-    turns, time of the last alert.  `idle_seconds` ends a conversation after a
-    pause; by default it never ends."""
-    gather = _gather()
+    turns, times of the last alert and turn, the maxima.  A pause of more than
+    `idle_seconds` ends a conversation; with None it never ends.  Turns whose `text`
+    is trivial get fixed values and are no part of the conversation.  `history` holds
+    earlier turns, with the same columns.  Turns without a vector are left out."""
+    slices = _slicer(SLICE_ROWS)
+    trivial = F.coalesce(is_trivial_turn(F.col(text)), F.lit(False)) if text else F.lit(False)
+    values = ("similarity", "drift", "change_rate", "max_drift", "max_change_rate", "is_suspicious")
+    state_names = ("first", "previous", "similarity", "n", "alert", "seen", "max_drift", "max_change_rate")
 
     def cosine(a, b) -> float:
         lengths = np.linalg.norm(a) * np.linalg.norm(b)
@@ -107,48 +139,60 @@ def drift_stream(turns: DataFrame, key: str, ts: str, row_id: str, embedding: st
         def init(self, handle: StatefulProcessorHandle) -> None:
             self._handle = handle
             self._turns = handle.getValueState(
-                "turns", "first array<double>, previous array<double>, similarity double, n long, alert double, seen double")
+                "turns", "first array<double>, previous array<double>, similarity double, n long, alert double, seen double, "
+                "max_drift double, max_change_rate double")
             self._timer = handle.getValueState("timer", "at long")
 
-        def handleInputRows(self, key_values, rows, timerValues) -> Iterator[pd.DataFrame]:
-            batch = gather(rows, [ts, row_id])
-            if batch.empty:
-                return
-            first = previous = last_alert = seen = None
-            similarity, n = 0.0, 0
-            if self._turns.exists():
-                first, previous, similarity, n, last_alert, seen = self._turns.get()
-                first, previous = np.array(first), np.array(previous)
-            found = []
-            for moment, vector in zip(batch[ts], batch[embedding]):
-                vector = np.asarray(vector, dtype=np.float64)
-                seconds = pd.Timestamp(moment).value / 1e9
-                if idle_seconds is not None and seen is not None and seconds - seen > idle_seconds:
-                    n = 0
-                seen = seconds
-                n += 1
-                drift = change = 0.0
-                if n == 1:
-                    first, similarity = vector, 0.0
-                else:
-                    before, similarity = similarity, cosine(vector, previous)
-                    drift = 1.0 - cosine(vector, first)
-                    change = abs(similarity - before) if n >= 3 else 0.0
-                previous = vector
-                quiet = last_alert is None or seconds - last_alert >= alert_interval
-                alert = quiet and (drift > drift_threshold or change > change_threshold)
-                last_alert = seconds if alert else last_alert
-                found.append((similarity, drift, change, alert))
-            self._turns.update((first.tolist(), previous.tolist(), similarity, n, last_alert, seen))
+        def _keep(self, state: tuple) -> None:
+            self._turns.update(state)
             if idle_seconds is not None:
                 if self._timer.exists():
                     self._handle.deleteTimer(self._timer.get()[0])
-                expiry = pd.Timestamp(batch[ts].iloc[-1]).value // 1_000_000 + idle_seconds * 1000
+                expiry = int((state[5] + idle_seconds) * 1000) + 1
                 self._handle.registerTimer(expiry)
                 self._timer.update((expiry,))
-            yield batch[[key, ts, row_id]].assign(**{
-                name: [f[i] for f in found]
-                for i, name in enumerate(("similarity", "drift", "change_rate", "is_suspicious"))})
+
+        def handleInitialState(self, key, initialState, timerValues) -> None:
+            row = initialState.iloc[0]
+            alert = None if pd.isna(row["alert"]) else float(row["alert"])
+            self._keep(([float(x) for x in row["first"]], [float(x) for x in row["previous"]], float(row["similarity"]), int(row["n"]), alert,
+                        *[float(row[name]) for name in state_names[5:]]))
+
+        def handleInputRows(self, key_values, rows, timerValues) -> Iterator[pd.DataFrame]:
+            first = previous = last_alert = seen = None
+            similarity, n, most, most_change = 0.0, 0, 0.0, 0.0
+            if self._turns.exists():
+                first, previous, similarity, n, last_alert, seen, most, most_change = self._turns.get()
+                first, previous = np.array(first), np.array(previous)
+            for some in slices(rows, [ts, row_id]):
+                found = []
+                for moment, vector, skip in zip(some[ts], some["drift_vector"], some["drift_trivial"]):
+                    if skip:
+                        found.append((1.0, 0.0, 0.0, None, None, False))
+                        continue
+                    vector = np.asarray(vector, dtype=np.float64)
+                    seconds = pd.Timestamp(moment).value / 1e9
+                    if idle_seconds is not None and seen is not None and seconds - seen > idle_seconds:
+                        n, most, most_change = 0, 0.0, 0.0
+                    seen = seconds
+                    n += 1
+                    drift = change = 0.0
+                    if n == 1:
+                        first, similarity = vector, 0.0
+                    else:
+                        before, similarity = similarity, cosine(vector, previous)
+                        drift = 1.0 - cosine(vector, first)
+                        change = abs(similarity - before) if n >= 3 else 0.0
+                    previous = vector
+                    # The first turn's values are the first maxima, whatever their sign.
+                    most, most_change = (drift, change) if n == 1 else (max(most, drift), max(most_change, change))
+                    quiet = last_alert is None or seconds - last_alert >= alert_interval
+                    alert = quiet and (drift > drift_threshold or change > change_threshold)
+                    last_alert = seconds if alert else last_alert
+                    found.append((similarity, drift, change, most, most_change, alert))
+                yield some[[key, ts, row_id]].assign(**{name: [f[i] for f in found] for i, name in enumerate(values)})
+            if first is not None:
+                self._keep((first.tolist(), previous.tolist(), similarity, n, last_alert, seen, most, most_change))
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             self._turns.clear()
@@ -158,22 +202,34 @@ def drift_stream(turns: DataFrame, key: str, ts: str, row_id: str, embedding: st
         def close(self) -> None:
             pass
 
-    fields = (turns.select(key, ts, row_id).schema.add("similarity", "double").add("drift", "double")
-              .add("change_rate", "double").add("is_suspicious", "boolean"))
-    tracked = turns.select(key, ts, row_id, embedding).groupBy(key).transformWithStateInPandas(
-        Tracker(), fields, "append", "EventTime" if idle_seconds is not None else "None")
+    # No names that start with an underscore: the stream's rows lose those.
+    def narrow(df: DataFrame) -> DataFrame:
+        vector = F.col(embedding).cast("array<double>")
+        rows = df.select(key, ts, row_id, vector.alias("drift_vector"), trivial.alias("drift_trivial"))
+        return rows.where(F.col("drift_trivial") | (F.size("drift_vector") > 0))
+
+    fields = turns.select(key, ts, row_id).schema
+    for name in values[:-1]:
+        fields = fields.add(name, "double")
+    fields = fields.add("is_suspicious", "boolean")
+    states = None if history is None else drift_states(
+        narrow(history).where("not drift_trivial"), key, ts, row_id, "drift_vector", drift_threshold, change_threshold, alert_interval, idle_seconds)
+    tracked = narrow(turns).groupBy(key).transformWithStateInPandas(
+        Tracker(), fields, "append", "EventTime" if idle_seconds is not None else "None", _grouped(states, key))
     return tracked.withColumn("reason", F.when(
         F.col("is_suspicious"), alert_reason(drift_threshold, change_threshold)))
 
 
 def usage_cap_stream(passing: DataFrame, user: str, tool: str, ts: str, row_id: str, cap: str,
-                     session_seconds: int | None = None) -> DataFrame:
+                     session_seconds: int | None = IDLE_SECONDS, history: DataFrame | None = None,
+                     decided: str = "is_allowed") -> DataFrame:
     """Usage caps on a stream of calls that pass all other checks: `user, tool,
     ts, row_id, is_allowed`.
 
-    `cap` is a column (-1 = no limit).  Counts last for ever, or until the user
-    has left the tool alone for `session_seconds`."""
-    gather = _gather()
+    `cap` is a column (-1 = no limit).  Counts last until the user has left the
+    tool alone for more than `session_seconds`; with None for ever.  `history` holds
+    earlier calls with what was `decided` for them."""
+    slices = _slicer(SLICE_ROWS)
 
     class Counter(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
@@ -181,27 +237,32 @@ def usage_cap_stream(passing: DataFrame, user: str, tool: str, ts: str, row_id:
             self._used = handle.getValueState("used", "n long, last long")
             self._timer = handle.getValueState("timer", "at long")
 
-        def handleInputRows(self, key_values, rows, timerValues) -> Iterator[pd.DataFrame]:
-            batch = gather(rows, [ts, row_id])
-            if batch.empty:
-                return
-            used, last = self._used.get() if self._used.exists() else (0, None)
-            allowed = []
-            for moment, limit in zip(batch[ts], batch[cap]):
-                micros = pd.Timestamp(moment).value // 1000
-                if session_seconds is not None and last is not None and micros - last > session_seconds * 1_000_000:
-                    used = 0
-                ok = bool(limit < 0 or used < limit)
-                used, last = used + ok, micros
-                allowed.append(ok)
+        def _keep(self, used: int, last: int) -> None:
             self._used.update((int(used), int(last)))
             if session_seconds is not None:
                 if self._timer.exists():
                     self._handle.deleteTimer(self._timer.get()[0])
-                expiry = pd.Timestamp(batch[ts].iloc[-1]).value // 1_000_000 + session_seconds * 1000
+                expiry = int(last) // 1000 + session_seconds * 1000 + 1
                 self._handle.registerTimer(expiry)
                 self._timer.update((expiry,))
-            yield batch[[user, tool, ts, row_id]].assign(is_allowed=allowed)
+
+        def handleInitialState(self, key, initialState, timerValues) -> None:
+            self._keep(initialState["n"].iloc[0], initialState["last"].iloc[0])
+
+        def handleInputRows(self, key_values, rows, timerValues) -> Iterator[pd.DataFrame]:
+            used, last = self._used.get() if self._used.exists() else (0, None)
+            for some in slices(rows, [ts, row_id]):
+                allowed = []
+                for moment, limit in zip(some[ts], some[cap]):
+                    micros = pd.Timestamp(moment).value // 1000
+                    if session_seconds is not None and last is not None and micros - last > session_seconds * 1_000_000:
+                        used = 0
+                    ok = bool(limit < 0 or used < limit)
+                    used, last = used + ok, micros
+                    allowed.append(ok)
+                yield some[[user, tool, ts, row_id]].assign(is_allowed=allowed)
+            if last is not None:
+                self._keep(used, last)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             self._used.clear()
@@ -212,16 +273,23 @@ def usage_cap_stream(passing: DataFrame, user: str, tool: str, ts: str, row_id:
             pass
 
     fields = passing.select(user, tool, ts, row_id).schema.add("is_allowed", "boolean")
+    states = None
+    if history is not None:
+        rows = history.select(user, tool, ts, row_id, F.col(decided).alias("_decided"))
+        if session_seconds is not None:
+            rows = last_session(rows, [user, tool], ts, row_id, session_seconds)
+        states = rows.groupBy(user, tool).agg(
+            F.count_if("_decided").alias("n"), F.max(F.unix_micros(F.col(ts).cast("timestamp"))).alias("last"))
     return passing.select(user, tool, ts, row_id, cap).groupBy(user, tool).transformWithStateInPandas(
-        Counter(), fields, "append", "EventTime" if session_seconds is not None else "None")
+        Counter(), fields, "append", "EventTime" if session_seconds is not None else "None", _grouped(states, user, tool))
 
 
 def context_stream(requests: DataFrame, key: str, ts: str, row_id: str, text: str,
-                   seconds: int = rules.CONTEXT_SECONDS) -> DataFrame:
+                   seconds: int = rules.CONTEXT_SECONDS, history: DataFrame | None = None) -> DataFrame:
     """Word overlap with the key's recent texts on a stream: `key, ts, row_id,
     context_score`.  The state holds at most three texts and goes with the last
-    of them."""
-    gather, keep = _gather(), rules.CONTEXT_TEXTS
+    of them.  `history` holds earlier requests."""
+    slices, keep = _slicer(SLICE_ROWS), rules.CONTEXT_TEXTS
 
     class Memory(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
@@ -229,26 +297,31 @@ def context_stream(requests: DataFrame, key: str, ts: str, row_id: str, text: st
             self._recent = handle.getValueState("recent", "at array<long>, texts array<string>")
             self._timer = handle.getValueState("timer", "at long")
 
-        def handleInputRows(self, key_values, rows, timerValues) -> Iterator[pd.DataFrame]:
-            batch = gather(rows, [ts, row_id])
-            if batch.empty:
-                return
-            recent = list(zip(*self._recent.get())) if self._recent.exists() else []
-            scores = []
-            for moment, words in zip(batch[ts], batch[text]):
-                micros = pd.Timestamp(moment).value // 1000
-                own = set((words or "").lower().split())
-                known = {w for at, t in recent if micros - at < seconds * 1_000_000 for w in t.lower().split()}
-                union = own | known
-                scores.append(len(own & known) / len(union) if known and union else 0.0)
-                recent = [*recent, (micros, words or "")][-keep:]
+        def _keep(self, recent: list) -> None:
             self._recent.update(([at for at, _ in recent], [t for _, t in recent]))
             if self._timer.exists():
                 self._handle.deleteTimer(self._timer.get()[0])
             expiry = recent[-1][0] // 1000 + seconds * 1000
             self._handle.registerTimer(expiry)
             self._timer.update((expiry,))
-            yield batch[[key, ts, row_id]].assign(context_score=scores)
+
+        def handleInitialState(self, key, initialState, timerValues) -> None:
+            self._keep([(int(r["at"]), r["text"]) for r in initialState["recent"].iloc[0]])
+
+        def handleInputRows(self, key_values, rows, timerValues) -> Iterator[pd.DataFrame]:
+            recent = list(zip(*self._recent.get())) if self._recent.exists() else []
+            for some in slices(rows, [ts, row_id]):
+                scores = []
+                for moment, words in zip(some[ts], some[text]):
+                    micros = pd.Timestamp(moment).value // 1000
+                    own = set((words or "").lower().split())
+                    known = {w for at, t in recent if micros - at < seconds * 1_000_000 for w in t.lower().split()}
+                    union = own | known
+                    scores.append(len(own & known) / len(union) if known and union else 0.0)
+                    recent = [*recent, (micros, words or "")][-keep:]
+                yield some[[key, ts, row_id]].assign(context_score=scores)
+            if recent:
+                self._keep(recent)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             self._recent.clear()
@@ -259,5 +332,11 @@ def context_stream(requests: DataFrame, key: str, ts: str, row_id: str, text: st
             pass
 
     fields = requests.select(key, ts, row_id).schema.add("context_score", "double")
+    states = None
+    if history is not None:
+        at = F.unix_micros(F.col(ts).cast("timestamp"))
+        states = last_n(history.select(key, ts, row_id, text), key, ts, row_id, keep).groupBy(key).agg(F.transform(
+            F.sort_array(F.collect_list(F.struct(at.alias("at"), F.col(row_id).alias("id"), F.coalesce(text, F.lit("")).alias("text")))),
+            lambda r: F.struct(r["at"].alias("at"), r["text"].alias("text"))).alias("recent"))
     return requests.select(key, ts, row_id, text).groupBy(key).transformWithStateInPandas(
-        Memory(), fields, "append", "EventTime")
+        Memory(), fields, "append", "EventTime", _grouped(states, key))
