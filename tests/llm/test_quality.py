@@ -54,3 +54,26 @@ def test_labelled_documents(spark):
         F.count("*").alias("n"), F.count_if(F.col("kept")).alias("kept"), F.count_if(F.expr("kept or base_failed")).alias("clean")).collect()
     by = {r.quality: r for r in rows}
     assert by[0].kept <= 0.01 * by[0].n and by[1].clean == by[1].n
+
+
+def test_dear_measures_wait(spark):
+    """What only a rule needs is computed above the measures that every row has, inside the rules' branches."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    plan = quality.measured(docs)._jdf.queryExecution().optimizedPlan().toString()
+    projects = plan.split("Project [")[1:]  # from the top; literals hold line feeds
+    assert "CASE WHEN" in projects[0] and quality.CAPITALS in projects[0]
+    assert len(projects) > 1 and all(quality.CAPITALS not in below for below in projects[1:])
+
+
+def test_costs_are_no_noise(spark):
+    """Five measurements of dear rules lie within a factor of two, on a small table as well; and the
+    order puts a rule that costs as much but rejects far more first each time."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    sample = quality.sample_of(docs, 10_000)
+    todo = [rule for rule in quality.text_rules() if rule.name in ("few_words", "repeats", "symbols")]
+    found = [quality.costs(sample, todo) for _ in range(5)]
+    for rule in todo:
+        times = [f[rule.name] for f in found]
+        assert max(times) < 2 * min(times) + 0.02, (rule.name, times)
+    twins = [quality.Rule("rare", F.regexp_count("text", F.lit("[aeiou]")) < -1), quality.Rule("frequent", F.regexp_count("text", F.lit("[aeiou]")) >= 0)]
+    assert [[r.name for r in quality.ranked(sample, twins)] for _ in range(3)] == [["frequent", "rare"]] * 3

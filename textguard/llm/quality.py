@@ -1,9 +1,10 @@
 """Quality rules as a cascade that stops at the first rule a document breaks.
 
-Each rule is a column that is true for documents to reject. `order_rules` runs every
-rule over a bounded sample, measures its time and the share it rejects, and puts the
-rules with the most rejections per second first; `cascade` evaluates them in that
-order, each one only for documents that the earlier ones let pass. The order changes
+Each rule is a column that is true for documents to reject. `order_rules` draws a seeded
+sample of about `SAMPLE_ROWS` rows of the whole table, measures the time each rule takes
+there and the share it rejects, and puts the rules with the most rejections per second
+first; `cascade` evaluates them in that order, each one only for documents that the
+earlier ones let pass. The order changes
 speed only: a document is kept if no rule rejects it, whatever the order.
 
 All rules are built-in functions on the row itself: no shuffle, no key that could be
@@ -14,6 +15,7 @@ same verdict; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -27,6 +29,10 @@ from textguard.llm.words import count_of, let, text_of, words_of
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"
 WINDOW = 5
+#: Rows on which a rule's rejections are counted, and bytes of them on which it is timed.
+SAMPLE_ROWS, TIMED_BYTES = 10_000, 4 * 2**20
+#: Seconds that stand out from the noise of a job.
+ENOUGH = 0.1
 
 
 @dataclass(frozen=True)
@@ -124,18 +130,56 @@ def text_rules(text: str = "text") -> list[Rule]:
     return rules({name: measure(column) for name, measure in MEASURES.items()})
 
 
-def order_rules(docs: DataFrame, todo: Sequence[Rule], sample_rows: int = 200, runs: int = 2) -> list[Rule]:
-    """Rules by rejections per second on the first `sample_rows` rows, best first."""
-    sample = durable(docs.limit(sample_rows))
-    seconds: dict[str, float] = {}
-    for _ in range(runs):  # the last run counts: code is compiled by then
-        for rule in todo:
+def sample_of(docs: DataFrame, rows: int, seed: int = 7) -> DataFrame:
+    """About `rows` rows, each with equal odds, stored; all rows of a smaller table."""
+    total = docs.count()
+    return durable(docs if total <= rows else docs.sample(fraction=rows / total, seed=seed))
+
+
+def costs(sample: DataFrame, todo: Sequence[Rule], text: str = "text", timed: int = TIMED_BYTES, runs: int = 2) -> dict[str, float]:
+    """Seconds of one core each rule takes over about `timed` bytes of the stored sample (or all, if it
+    has fewer), in one task: the least of several runs counts, less what the same job takes that
+    only reads the texts. Where that is too little to measure, every row goes through several times."""
+    size = sample.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0] or 1
+    some = sample.sample(fraction=timed / size, seed=7) if size > timed else sample
+    some = durable(some.coalesce(1))
+    most = max(1, min(timed // size, 512))
+    empty: dict[int, float] = {}
+
+    def seconds(reject: Column, copies: int) -> float:
+        rows = some.coalesce(1).select("*", F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("_copy"))
+        found = []
+        for _ in range(runs + 1):  # the first run compiles
             start = time.perf_counter()
-            sample.agg(F.count_if(rule.reject)).collect()
-            seconds[rule.name] = time.perf_counter() - start
+            rows.agg(F.count_if(reject)).collect()
+            found.append(time.perf_counter() - start)
+        return min(found[1:])
+
+    def cost(rule: Rule) -> float:
+        copies = 1
+        while True:
+            if copies not in empty:
+                empty[copies] = seconds(F.octet_length(text) < 0, copies)
+            own = seconds(rule.reject, copies) - empty[copies]
+            if own >= ENOUGH or copies == most:
+                return max(own, 5e-3) / copies
+            copies = min(most, copies * 16)
+
+    return {rule.name: cost(rule) for rule in todo}
+
+
+def ranked(sample: DataFrame, todo: Sequence[Rule], text: str = "text") -> list[Rule]:
+    """Rules by rejections per second on a stored sample, best first. Gains are rounded to powers
+    of four, and rules alike in them stay in the order given."""
+    seconds = costs(sample, todo, text)
     total, *counts = sample.agg(F.count("*"), *[F.count_if(rule.reject) for rule in todo]).first()
-    share = {rule.name: (n + 1) / (total + 2) for rule, n in zip(todo, counts, strict=True)}
-    return sorted(todo, key=lambda rule: -share[rule.name] / max(seconds[rule.name], 1e-6))
+    gain = {rule.name: (n + 1) / (total + 2) / seconds[rule.name] for rule, n in zip(todo, counts, strict=True)}
+    return sorted(todo, key=lambda rule: -round(math.log2(gain[rule.name]) / 2))
+
+
+def order_rules(docs: DataFrame, todo: Sequence[Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """Rules by rejections per second on a sample of about `sample_rows` rows, best first."""
+    return ranked(sample_of(docs, sample_rows), todo, text)
 
 
 def broken(ordered: Sequence[Rule]) -> Column:
@@ -146,25 +190,33 @@ def broken(ordered: Sequence[Rule]) -> Column:
     return out
 
 
-def cascade(docs: DataFrame, text: str = "text", sample_rows: int = 200) -> DataFrame:
+def cascade(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents that no rule rejects, with all their columns."""
-    return docs.where(broken(order_rules(docs, text_rules(text), sample_rows)).isNull())
+    ordered = order_rules(docs.select(text), text_rules(text), text, sample_rows)
+    return docs.where(broken(ordered).isNull())
 
 
-def measured(docs: DataFrame, doc: str = "doc_id", text: str = "text", sample_rows: int = 200) -> DataFrame:
-    """Per document the measures, base_failed (too few words, or too many of them in repeated
-    windows) and kept: base_failed documents go without more ado, the rest run the cascade."""
-    order = [rule.name for rule in order_rules(docs.select(doc, text), text_rules(text), sample_rows)]
+def measured(docs: DataFrame, doc: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """Per document n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed (too few
+    words, or too many of them in repeated windows) and kept: base_failed documents go without
+    more ado, the rest run the cascade. What rules need besides the columns named is computed on
+    the text when its rule is reached, so only for documents that no earlier rule rejects."""
+    named = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     column = text_of(F.col("text"))
     both = let(words_of(column), lambda words: F.struct(
         F.size(words).cast("long").alias("n_words"), _repeat_words(words).alias("n_repeat_words")))
-    rows = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).select(
-        "doc_id", both.alias("both"),
-        *[measure(column).alias(name) for name, measure in MEASURES.items() if name not in ("n_words", "n_repeat_words")],
-    ).select("*", "both.*")
-    by_name = {rule.name: rule for rule in rules({name: F.col(name) for name in MEASURES})}
+
+    def with_measures(source: DataFrame) -> DataFrame:
+        return source.select("*", both.alias("both"), *[
+            MEASURES[name](column).alias(name) for name in named if name not in ("n_words", "n_repeat_words")]).select("*", "both.*")
+
+    source = docs.select(F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    by_name = {rule.name: rule for rule in rules({
+        name: F.col(name) if name in named else measure(column) for name, measure in MEASURES.items()})}
     failed = by_name["few_words"].reject | by_name["repeats"].reject
-    rest = [by_name[name] for name in order if name not in ("few_words", "repeats")]
-    return rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        F.when(failed, F.lit(False)).otherwise(broken(rest).isNull()).alias("kept"))
+    rest = [rule for name, rule in by_name.items() if name not in ("few_words", "repeats")]
+    # A rule costs what it adds to the columns that are there in any case.
+    ordered = ranked(durable(with_measures(sample_of(source.select("text"), sample_rows))), rest)
+    return with_measures(source).select(
+        "doc_id", *named, failed.alias("base_failed"),
+        F.when(failed, F.lit(False)).otherwise(broken(ordered).isNull()).alias("kept"))
