@@ -142,7 +142,7 @@ def train(docs: DataFrame, shared, weights: np.ndarray, text: str = "text") -> n
     tokens. Weights travel in chunks; chunks of one place are averaged in two steps, so that no
     task gets those of more than a part of all tasks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = Corpus(**shared.value)
         trainer = Trainer(first_model(known).load(weights))
         for part in _texts(batches):
             flat, sizes, _ = _numbers(part.column(0).to_pylist(), known)
@@ -176,7 +176,7 @@ _SCORED = "row long, doc_id {}, held_out boolean, n_tokens long, n_known long, b
 def _score(docs: DataFrame, shared, weights: np.ndarray, kind: str, group_tokens: int = 3_000_000) -> DataFrame:
     """One row per document with what the frequent words give, and one per document and other word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = Corpus(**shared.value)
         model = first_model(known).load(weights)
         row = TaskContext.get().partitionId() << 40
         base_of = np.log10((known.counts + 1) / (known.tokens + known.distinct + 1))
@@ -252,7 +252,7 @@ def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", fr
     learned = docs.where(~held_out(doc)).select(F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("text"))
     counts = durable(word_counts(learned))
     known, others = corpus(counts, learned.count(), frequent)
-    shared = spark.sparkContext.broadcast(known)
+    shared = spark.sparkContext.broadcast(vars(known))  # plain values: executors need not import the class
     weights = first_model(known).weights()
     warm = learned.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(WARM)) == 0)
     for texts in (warm, learned):
