@@ -9,32 +9,17 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import test_lines
+from test_lines import brute, similar
 
 from textguard.llm import lines
 
 
-def slices(line):
-    data = line.encode()
-    return {data[i: i + 8] for i in range(max(1, len(data) - 7))}
-
-
-def similar(a, b):
-    x, y = slices(a), slices(b)
-    return len(x & y) / len(x | y) >= 0.8
-
-
 def left(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     return {r.doc_id: r.text for r in lines.dedup_lines(df).select("row.doc_id", "text").collect()}
 
 
-@pytest.fixture
-def brute(monkeypatch):
-    monkeypatch.setattr(test_lines, "similar", similar)
-    return test_lines.brute
-
-
-def test_every_place(spark, brute):
+def test_every_place(spark):
     rows = test_lines.corpus()
     rng = random.Random(8)
     for doc, text in rows[:20]:  # one letter of a line is another one
@@ -50,7 +35,7 @@ def test_typo(spark):
     assert left(spark, [line, line.replace("sunset", "sumset")]) == {0: line, 1: ""}
 
 
-def test_tails_of_long_words(spark, brute):
+def test_tails_of_long_words(spark):
     """Lines that differ only behind the twelfth character of their words."""
     head = "see the mirrors listed here for downloads of the release: "
     texts = [head + " ".join(f"https://www.{host}.org/{k}" for k in "ab") for host in ("alpha", "gamma-mirror", "some.other.site")]
@@ -63,7 +48,7 @@ def test_tails_of_long_words(spark, brute):
     assert left(spark, texts)[1] == texts[1] and left(spark, texts)[4] == texts[4]
 
 
-def test_short_lines(spark, brute):
+def test_short_lines(spark):
     texts = ["all rights reserved by owner", "- all rights reserved by owner", "this text is licensed under terms below",
              "1. this text is licensed under terms below", "0123456789a", "0123456789ab", "yes", "yes.", "no comments", "no comment"]
     rng = random.Random(3)
