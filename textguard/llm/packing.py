@@ -114,9 +114,8 @@ def pieces(docs: DataFrame, path: str, window: int = 2048, end: int = 1, doc: st
 def packed(cut: DataFrame, window: int = 2048, group_rows: int = 50_000) -> DataFrame:
     """Pieces with sequence_id, offset in the sequence, and padded: the length it is padded
     to, which is the window unless the sequence's own length is a power of two."""
-    cut = durable(cut)
+    cut = durable(cut.withColumn("row", F.monotonically_increasing_id()))  # numbers are stored: reads may be split in any way
     groups = max(1, -(-cut.count() // group_rows))
-    cut = cut.withColumn("row", F.monotonically_increasing_id())  # the written files' order: the same when read again
     dealt = cut.select("row", "length", F.pmod(F.xxhash64("row"), F.lit(groups)).alias("group"))
 
     def run(table: pa.Table) -> pa.Table:
