@@ -235,6 +235,25 @@ def text_embedding_query(spark, sf):
 TEXT_EMBEDDING = "SELECT conv_id, turn, 64 AS dim, 1.0::DOUBLE AS length FROM conversations"
 
 
+KNOWN = ("the", "and", "of", "in", "de", "la", "die", "und", "who", "is")
+
+
+def known_word_embedding(spark, sf):
+    """Counts of known words as unit vectors, the vectors written out."""
+    e = text_embedding(load(spark, sf, "conversations"), vocabulary=KNOWN)
+    parts = F.transform("embedding", lambda x: F.round(x, 4).cast("string"))
+    return e.select("conv_id", "turn", F.array_join(parts, " ").alias("vector"))
+
+
+_KNOWN = f"[{', '.join(quoted(w) for w in KNOWN)}]"
+KNOWN_WORD_EMBEDDING = r"""
+WITH t AS (SELECT conv_id, turn, regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]') AS words FROM conversations),
+c AS (SELECT conv_id, turn, list_transform({known}, lambda k: len(list_filter(words, lambda w: w = k))::DOUBLE) AS counts FROM t),
+n AS (SELECT *, sqrt(list_sum(list_transform(counts, lambda x: x * x))) AS length FROM c)
+SELECT conv_id, turn, array_to_string(list_transform(counts, lambda x: round(CASE WHEN length > 0 THEN x / length ELSE 0.0 END, 4)::VARCHAR), ' ') AS vector
+FROM n""".replace("{known}", _KNOWN)
+
+
 def keyword_density(spark, sf):
     d = load(spark, sf, "documents")
     stuffing = ("", "password " * 6, "buy " * 500)
@@ -338,6 +357,7 @@ QUERIES = {
     "toxicity_score": (toxicity, TOXICITY),
     "toxicity_model": (toxicity_model, None),
     "text_embedding": (text_embedding_query, TEXT_EMBEDDING),
+    "known_word_embedding": (known_word_embedding, KNOWN_WORD_EMBEDDING),
     "keyword_density": (keyword_density, KEYWORD_DENSITY),
     "token_counts": (token_counts, TOKEN_COUNTS),
     "retrieval_counts": (retrieval_counts, RETRIEVAL_COUNTS),

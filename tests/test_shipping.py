@@ -6,7 +6,7 @@ from pathlib import Path
 
 REPO = str(Path(__file__).resolve().parent.parent)
 NAMES = ("sanitize_text", "injection_by_category", "rate_limit", "alert_cooldown", "entity_spans", "dictionary_entities",
-         "vector_anomalies", "similar_documents", "stream_drift", "stream_context")
+         "vector_anomalies", "similar_documents", "similar_documents_join", "conversation_drift", "chunk_classifier", "stream_context", "history_drift")
 SCRIPT = f"""
 import sys
 sys.path.insert(0, {REPO!r})

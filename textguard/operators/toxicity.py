@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, Normalizer, Tokenizer
+from pyspark.ml.feature import CountVectorizerModel, HashingTF, Normalizer, Tokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,9 +63,12 @@ def toxicity_score(df: DataFrame, model, text: str = "text", result: str = "toxi
     return scored.withColumn(result, score).select(*df.columns, result)
 
 
-def text_embedding(df: DataFrame, text: str = "text", dimension: int = 64, result: str = "embedding") -> DataFrame:
-    """Add a unit vector of hashed word counts, for tables without embeddings."""
+def text_embedding(df: DataFrame, text: str = "text", dimension: int = 64, result: str = "embedding",
+                   vocabulary: Sequence[str] | None = None) -> DataFrame:
+    """Add a unit vector of word counts, for tables without embeddings: of words hashed to `dimension`
+    places, or of the words of a `vocabulary`, one place each (zeros for a text that has none of them)."""
     words = Tokenizer(inputCol=text, outputCol="_words").transform(df.fillna({text: ""}))
-    counted = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dimension).transform(words)
-    unit = Normalizer(inputCol="_counts", outputCol="_unit").transform(counted)
+    counter = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dimension) if vocabulary is None else \
+        CountVectorizerModel.from_vocabulary(list(vocabulary), inputCol="_words", outputCol="_counts")
+    unit = Normalizer(inputCol="_counts", outputCol="_unit").transform(counter.transform(words))
     return unit.withColumn(result, vector_to_array("_unit")).select(*df.columns, result)
