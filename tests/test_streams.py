@@ -165,3 +165,15 @@ def test_history_ends_with_a_pause(spark, folder, tmp_path):
     out = flows.drain(stateful.drift_stream(live, "k", "ts", "s", "e", alert_interval=60, idle_seconds=3600, history=past), "t")
     got = {r.s: (round(r.drift, 6), round(r.change_rate, 6), round(r.max_drift, 6), r.is_suspicious) for r in out.collect()}
     assert got == {9001: (2.0, 0.0, 2.0, True), 9002: (1.707107, 1.707107, 2.0, False), 9003: (0.0, 0.0, 0.0, False)}
+
+
+@pytest.mark.parametrize("in_folder", [False, True])
+def test_table_in_one_file_or_in_a_folder_of_files(spark, tmp_path, in_folder):
+    table = spark.createDataFrame([(1, 0, "jailbreak"), (1, 1, None), (None, 2, "hello there")], "conv_id long, turn int, text string")
+    if in_folder:
+        table.repartition(2).write.parquet(str(tmp_path / "conversations.parquet"))
+    else:
+        table.toPandas().astype({"conv_id": "Int64"}).to_parquet(tmp_path / "conversations.parquet")
+    spark.range(3).write.parquet(str(tmp_path / "others.parquet"))
+    found = flows.drain(flows.read_stream(spark, str(tmp_path), "conversations.parquet"), "t")
+    assert rows(found.select("turn", F.coalesce("text", F.lit("-")).alias("text")), "turn", "text") == [(0, "jailbreak"), (1, "-"), (2, "hello there")]

@@ -14,13 +14,14 @@ from textguard.sources import registry, versions
 
 
 def read_stream(spark: SparkSession, folder: str, files: str = "*", files_per_trigger: int = 100) -> DataFrame:
-    """A stream over the Parquet files of a folder, in the schema they have.
+    """A stream over the Parquet files of a folder, in the schema they have; `files` is a pattern
+    of their names, and a table that is a folder of files itself (as Spark writes it) counts, too.
 
     The limit of files bounds a micro-batch, and so what a key can bring at once."""
-    schema = spark.read.option("pathGlobFilter", files).parquet(folder).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", files).option(
-        "maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    # Braces make it a pattern: a stream takes a plain path for a folder, also where it is a file.
+    path = folder if files == "*" else f"{folder}/{{{files}}}"
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
 def append_to(df: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
