@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from textguard.operators import cells
 from textguard.operators.cells import similar_by_cells
 from textguard.operators.similarity import similar_documents
 
@@ -70,3 +71,31 @@ def test_clusters_are_pruned_and_queries_stay_on_executors(spark, tmp_path):
     top = np.sort(unit[some] @ unit[10_000:].T, axis=1)[:, ::-1][:, :2]
     by = {(r.q, r["rank"]): r.similarity for r in rows}
     assert all(abs(by[int(s), r + 1] - top[i, r]) < 1e-6 for i, s in enumerate(some) for r in range(2))
+
+
+def test_documents_go_to_blocks_of_queries_not_to_every_cell(spark):
+    """Directions without clusters, where bounds leave everything: a document is sent once for each block of queries."""
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(2_400, 24)).astype(np.float32).tolist()
+    docs = spark.createDataFrame(list(enumerate(points)), "d long, e array<float>")
+    queries = spark.createDataFrame(list(enumerate(points[:600])), "q long, e array<float>")
+    sent = []
+
+    def counted(k, names, types):
+        match = matcher(k, names, types)
+        total = sent[0]
+
+        def count(queries, docs):
+            total.add(len(docs))
+            return match(queries, docs)
+        return count
+
+    assigner, router, matcher = cells._shipped()
+    sent.append(spark.sparkContext.accumulator(0))
+    shipped, cells._shipped = cells._shipped, lambda: (assigner, router, counted)
+    try:
+        found = cells.similar_by_cells(queries, docs, "q", "d", "e", 3, -1.0, cells=24, rows=800).collect()
+    finally:
+        cells._shipped = shipped
+    assert len(found) == 1_800 and sum(r.q == r.d and r["rank"] == 1 for r in found) == 600
+    assert sent[0].value <= 4 * 2_400

@@ -74,35 +74,52 @@ def _shipped():
                         ["id", "cell", "angle", "unit"])
         return assign
 
-    def router(centres: dict[int, np.ndarray], cells: dict[int, list[tuple[int, float]]], home_only: bool):
-        """Rows (id, unit, floor) with the cells they must meet: the one with the nearest centre, or all others the bound leaves."""
+    def near(centres: dict[int, np.ndarray], size: int, units: np.ndarray, cells: list[int]) -> np.ndarray:
+        """Angles between vectors and the centres of some cells with a direction."""
+        if size not in centres:
+            return np.full((len(units), len(cells)), np.pi)
+        return np.arccos(np.clip(units @ centres[size][[c % numbers for c in cells]].T, -1, 1))
+
+    def router(centres: dict[int, np.ndarray], cells: dict[int, list[tuple[int, float, int]]], homes: dict[int, tuple[int, int]] | None, home_only: bool):
+        """Rows (id, unit, floor) with their group and the blocks they must meet: that of the nearest centre, or all
+        others the bound leaves. Without groups (`homes`), the nearest cell alone, to count them."""
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 floors = batch.column(2).to_numpy(zero_copy_only=False)
                 for size, rows, units, zero in by_length(batch.column(1)):
-                    known = [(c, r) for c, r in cells.get(size, ()) if c % numbers != numbers - 1]
-                    blank = [c for c, _ in cells.get(size, ()) if c % numbers == numbers - 1]
-                    names = np.array([c for c, _ in known] + blank, np.int64)
-                    if not len(names):
+                    known = [x for x in cells.get(size, ()) if x[0] % numbers != numbers - 1]
+                    blank = [x for x in cells.get(size, ()) if x[0] % numbers == numbers - 1]
+                    if not known and not blank:
                         continue
-                    most = np.zeros((len(rows), len(names)))  # the zero vector is at similarity 0 from all
-                    angle = np.full((len(rows), len(names)), 4.0)
+                    most = np.zeros((len(rows), len(known) + len(blank)))  # the zero vector is at similarity 0 from all
+                    angle = np.full(most.shape, 4.0)
                     if known:
-                        if size in centres:
-                            angle[:, :len(known)] = np.arccos(np.clip(units @ centres[size][[c % numbers for c, _ in known]].T, -1, 1))
-                        else:
-                            angle[:, :len(known)] = np.pi
-                        most[:, :len(known)] = np.cos(np.maximum(angle[:, :len(known)] - np.array([r for _, r in known]), 0))
+                        angle[:, :len(known)] = near(centres, size, units, [c for c, _, _ in known])
+                        most[:, :len(known)] = np.cos(np.maximum(angle[:, :len(known)] - np.array([r for _, r, _ in known]), 0))
                         most[zero] = 0.0
                     home = angle.argmin(1)
+                    named = np.array([c for c, _, _ in known + blank], np.int64)[home]
+                    if homes is None:
+                        yield pa.record_batch([pa.array(named)], ["home"])
+                        continue
+                    block = np.array([b for _, _, b in known + blank], np.int64)
                     meets = most >= floors[rows][:, None] - slack
-                    own = np.zeros_like(meets)
-                    own[np.arange(len(rows)), home] = True
-                    at, cell = np.nonzero(meets & (own if home_only else ~own))
-                    # the home names the group, whichever cells are met
+                    names, at = np.unique(block, return_inverse=True)
+                    wanted = np.zeros((len(rows), len(names)), bool)
+                    for cell, place in enumerate(at):
+                        wanted[:, place] |= meets[:, cell]
+                    own = np.zeros_like(wanted)
+                    own[np.arange(len(rows)), at[home]] = True
+                    wanted &= own if home_only else ~own
+                    r, c = np.nonzero(wanted)
+                    offsets = np.concatenate([[0], np.cumsum(wanted.sum(1))])
+                    group, parts = (np.array([homes.get(h, (0, 1))[i] for h in named.tolist()], np.int64) for i in (0, 1))
+                    some = np.flatnonzero(wanted.any(1))
+                    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(names[c]))
                     yield pa.record_batch([
-                        batch.column(0).take(pa.array(rows[at])), listed(units[at]), batch.column(2).take(pa.array(rows[at])),
-                        pa.array(names[home[at]]), pa.array(names[cell])], ["id", "unit", "floor", "home", "cell"])
+                        batch.column(0).take(pa.array(rows[some])), listed(units[some]), batch.column(2).take(pa.array(rows[some])),
+                        pa.array(group[some]), pa.array(parts[some]), lists.take(pa.array(some))],
+                        ["id", "unit", "floor", "group", "groups", "blocks"])
         return route
 
     def matcher(k: int, names: list[str], types: list[pa.DataType]):
@@ -141,6 +158,28 @@ def _shipped():
     return assigner, router, matcher
 
 
+def _packed(counts: dict[int, int], centres: dict[int, np.ndarray], rows: int) -> dict[int, tuple[int, int]]:
+    """Each cell with its block and the number of parts it comes in: neighbouring small cells share a block
+    of up to `rows` rows, a larger one is a block of its own, in parts."""
+    out, number = {}, 0
+    for size in sorted({c // _NUMBERS for c in counts}):
+        left, held, last = sorted(c for c in counts if c // _NUMBERS == size), 0, None
+        number += 1
+        while left:
+            cell = left[0]
+            if last is not None and size in centres:
+                own = {c: float(centres[size][c % _NUMBERS] @ centres[size][last % _NUMBERS])
+                       for c in left if c % _NUMBERS < len(centres[size])}
+                cell = max(own, key=own.get) if own else cell
+            left.remove(cell)
+            if held and held + counts[cell] > rows:
+                number, held = number + 1, 0
+            out[cell] = (number, max(1, -(-counts[cell] // rows)))
+            held += counts[cell]
+            last = cell if size in centres and cell % _NUMBERS < len(centres[size]) else last
+    return out
+
+
 def fit_centres(documents: DataFrame, embedding: str, cells: int, sample: int, seed: int = 11) -> dict[int, np.ndarray]:
     """Unit centres per length of vectors, from about `sample` vectors (at most twice as many)."""
     total = documents.count()
@@ -181,41 +220,43 @@ def similar_by_cells(queries: DataFrame, documents: DataFrame, query_id: str, do
         assigner(centres), f"id {id_types[1]}, cell long, angle double, unit array<double>")
     placed = durable(placed)
     # A row per cell: at most `cells` and one for each length that occurs.
-    stats = durable(placed.groupBy("cell").agg(F.max("angle").alias("radius"), F.ceil(F.count("*") / rows).cast("int").alias("parts")))
-    known: dict[int, list[tuple[int, float]]] = {}
-    for row in stats.collect():
-        known.setdefault(row.cell // _NUMBERS, []).append((row.cell, row.radius))
-    own = placed.join(stats.select("cell", "parts"), "cell").select(
-        "id", "unit", "cell", F.pmod(F.xxhash64("id", "unit"), F.col("parts")).cast("int").alias("part"))
+    stats = placed.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()
+    blocks = _packed({row.cell: row.n for row in stats}, centres, rows)
+    known: dict[int, list[tuple[int, float, int]]] = {}
+    for row in stats:
+        known.setdefault(row.cell // _NUMBERS, []).append((row.cell, row.radius, blocks[row.cell][0]))
+    # A large cell is alone in its block, so that a block has one number of parts.
+    laid = durable(spark.createDataFrame([(c, b, p) for c, (b, p) in blocks.items()], "cell long, block long, parts int"))
+    own = placed.join(F.broadcast(laid), "cell").select("id", "unit", "block", F.pmod(F.xxhash64("id", "unit"), F.col("parts")).cast("int").alias("part"))
+    parts = durable(laid.select("block", "parts").distinct())
     asked = queries.select(F.col(query_id).alias("id"), F.col(embedding).cast("array<double>").alias("unit"))
-    routed_type = f"id {id_types[0]}, unit array<double>, floor double, home long, cell long"
-
-    def groups(routed: DataFrame) -> DataFrame:
-        """Each query with the parts of the cells it meets, in a group with others of its home."""
-        sizes = routed.groupBy("home", "cell").agg(F.ceil(F.count("*") / rows).cast("int").alias("groups"))
-        return routed.join(sizes, ["home", "cell"]).join(stats.select("cell", "parts"), "cell").select(
-            "id", "unit", "floor", "home", "cell", F.pmod(F.xxhash64("id", "unit"), F.col("groups")).cast("int").alias("group"),
-            F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    start = asked.withColumn("floor", F.lit(float(min_similarity)))
+    homes = _packed({row.home: row["count"] for row in start.mapInArrow(
+        router(centres, known, None, True), "home long").groupBy("home").count().collect()}, centres, rows)
+    routed_type = f"id {id_types[0]}, unit array<double>, floor double, group long, groups long, blocks array<long>"
 
     names = ["query", "doc", "similarity"]
     found_type = f"query {id_types[0]}, doc {id_types[1]}, similarity double"
     arrow = spark.createDataFrame([], found_type).toArrow().schema.types
 
-    def matched(routed: DataFrame) -> DataFrame:
-        meeting = groups(durable(routed))
-        key = ["cell", "part", "home", "group"]
+    def matched(rows_with_floor: DataFrame, home_only: bool) -> DataFrame:
+        """The best of the blocks each query meets; its row is written once, with their list, and sent to each part."""
+        routed = durable(rows_with_floor.mapInArrow(router(centres, known, homes, home_only), routed_type))
+        meeting = routed.withColumn("slot", F.pmod(F.xxhash64("id", "unit"), F.col("groups")).cast("int")).withColumn(
+            "block", F.explode("blocks")).join(F.broadcast(parts), "block").withColumn(
+            "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("id", "unit", "floor", "block", "part", "group", "slot")
+        key = ["block", "part", "group", "slot"]
         wanted = meeting.select(*[F.col(c).alias(c) for c in key]).distinct()
-        theirs = own.join(wanted, ["cell", "part"]).select("id", "unit", *[F.col(c).alias(c) for c in key])
+        theirs = own.join(wanted, ["block", "part"]).select("id", "unit", *[F.col(c).alias(c) for c in key])
         return meeting.groupBy(*key).cogroup(theirs.groupBy(*key)).applyInArrow(matcher(k, names, arrow[:2]), found_type)
 
     best = Window.partitionBy("query").orderBy(F.desc("similarity"), F.col("doc"))
-    start = asked.withColumn("floor", F.lit(float(min_similarity)))
-    first = durable(matched(start.mapInArrow(router(centres, known, True), routed_type)))
-    # What a query has after its own cell bounds what the others must offer.
+    first = durable(matched(start, True))
+    # What a query has after its own block bounds what the others must offer.
     reached = first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).where(F.col("rank") == k).select(
         F.col("query"), F.col("similarity").alias("reached"))
     raised = asked.join(reached, F.col("id").eqNullSafe(F.col("query")), "left").select(
         "id", "unit", F.greatest(F.lit(float(min_similarity)), F.coalesce("reached", F.lit(float(min_similarity)))).alias("floor"))
-    rest = matched(raised.mapInArrow(router(centres, known, False), routed_type))
+    rest = matched(raised, False)
     return first.unionByName(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         F.col("query").alias(query_id), F.col("doc").alias(doc_id), "similarity", "rank")
