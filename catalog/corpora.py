@@ -29,7 +29,14 @@ def sql_vector_hash(vector):
 
 def corpus(spark, sf):
     """Documents with the vector of the same number, where there is one; some of the vectors are outliers."""
-    d = load(spark, sf, "documents").select("doc_id", "text", F.timestamp_seconds(F.col("doc_id")).alias("ts"))
+    return with_vectors(spark, sf, texts(spark, sf))
+
+
+def texts(spark, sf):
+    return load(spark, sf, "documents").select("doc_id", "text", F.timestamp_seconds(F.col("doc_id")).alias("ts"))
+
+
+def with_vectors(spark, sf, d):
     e = load(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.when(
         F.col("vec_id") % 13 == 0, F.transform("embedding", lambda x: (x * 16).cast("float"))).otherwise(F.col("embedding")).alias("embedding"))
     return d.join(e, "doc_id", "left")
@@ -41,8 +48,11 @@ _CORPUS = """(SELECT d.doc_id, d.text, CASE WHEN e.vec_id % 13 = 0 THEN list_tra
 
 def registered(spark, sf, docs=None):
     keys = hashing.signing_keys(spark, {"k1": KEY})
+    content = "text"
+    if docs is None:  # texts are hashed before the join, which shuffles hashes only
+        docs, content = with_vectors(spark, sf, integrity.text_hashes(texts(spark, sf))), None
     return integrity.register_documents(
-        corpus(spark, sf) if docs is None else docs, keys, "ts", "k1", embedding="embedding", baseline=scattered_baseline(spark, sf))
+        docs, keys, "ts", "k1", content, embedding="embedding", baseline=scattered_baseline(spark, sf))
 
 
 def doc_registry(spark, sf):
@@ -86,14 +96,14 @@ def registry_batches(spark, sf):
 
 
 def stored(spark, sf):
-    """What storage holds: some texts tampered with, some vectors shifted, some
+    """What storage holds (texts as hashes): some texts tampered with, some vectors shifted, some
     documents stored under a new number, hence gone under the old one."""
-    d = corpus(spark, sf).drop("ts")
     text = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" TAMPERED"))).otherwise(F.col("text"))
+    d = with_vectors(spark, sf, integrity.text_hashes(texts(spark, sf).drop("ts").withColumn("text", text)))
     shifted = F.transform("embedding", lambda x: (x + 1).cast("float"))
     vector = F.when(F.col("doc_id") % 11 == 0, shifted).otherwise(F.col("embedding"))
     moved = F.when(F.col("doc_id") % 19 == 5, F.col("doc_id") + 10_000_000).otherwise(F.col("doc_id"))
-    return d.withColumn("text", text).withColumn("embedding", vector).withColumn("doc_id", moved)
+    return d.withColumn("embedding", vector).withColumn("doc_id", moved)
 
 
 _STORED = f"""(SELECT CASE WHEN doc_id % 19 = 5 THEN doc_id + 10000000 ELSE doc_id END AS doc_id,
@@ -105,7 +115,7 @@ _STORED = f"""(SELECT CASE WHEN doc_id % 19 = 5 THEN doc_id + 10000000 ELSE doc_
 
 def verify_documents(spark, sf):
     v = integrity.verify_documents(
-        stored(spark, sf), registered(spark, sf), embedding="embedding", baseline=scattered_baseline(spark, sf))
+        stored(spark, sf), registered(spark, sf), None, embedding="embedding", baseline=scattered_baseline(spark, sf))
     return v.select("doc_id", "is_valid", "reason")
 
 
@@ -114,7 +124,7 @@ VERIFY_DOCUMENTS = f"SELECT doc_id, reason IS NULL AS is_valid, reason FROM {_ST
 
 def scan(spark, sf):
     return integrity.integrity_scan(
-        stored(spark, sf), registered(spark, sf), embedding="embedding", baseline=scattered_baseline(spark, sf))
+        stored(spark, sf), registered(spark, sf), None, embedding="embedding", baseline=scattered_baseline(spark, sf))
 
 
 def integrity_scan(spark, sf):

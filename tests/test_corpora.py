@@ -213,3 +213,17 @@ def test_moments_merge_over_exchanges(spark, vectors):
     assert [n for n in nodes if "70" in n or "(3" in n or "Single" in n] and len([n for n in nodes if n.startswith("Exchange")]) == 3
     kinds = ["M" if n.startswith("M") else "E" for n in nodes]
     assert "".join(kinds) == "MEMEMEM", "an exchange between all merges"
+
+
+def test_texts_hashed_before_a_join_give_the_same_registry_and_scan(spark):
+    from textguard.functions import hashing
+    from textguard.operators import integrity
+
+    docs = spark.createDataFrame([(1, "a"), (2, None), (3, "b"), (3, "c"), (None, "d")], "doc_id long, text string").withColumn("ts", F.timestamp_seconds(F.lit(5)))
+    keys = hashing.signing_keys(spark, {"k1": b"key"})
+    hashed = integrity.text_hashes(docs)
+    assert hashed.columns == ["doc_id", "ts", "content_hash"]
+    whole, narrow = integrity.register_documents(docs, keys, "ts", "k1"), integrity.register_documents(hashed, keys, "ts", "k1", None)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, narrow.collect()))
+    a, b = integrity.integrity_scan(docs, whole), integrity.integrity_scan(hashed, narrow, None)
+    assert a[0].collect() == b[0].collect() and sorted(map(str, a[1].collect())) == sorted(map(str, b[1].collect()))

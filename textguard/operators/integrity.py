@@ -15,11 +15,19 @@ VECTOR_MISMATCH = "vector hash mismatch"
 ANOMALOUS = "anomalous vector"
 
 
-def document_hashes(docs: DataFrame, content: str = "text", embedding: str | None = None) -> DataFrame:
+def text_hashes(docs: DataFrame, content: str = "text") -> DataFrame:
+    """The rows with `content_hash` instead of their texts, for a join (with vectors, say) that is not to
+    shuffle texts; the functions below take such rows with `content=None`."""
+    return docs.select(*[c for c in docs.columns if c != content], text_hash(F.col(content)).alias("content_hash"))
+
+
+def document_hashes(docs: DataFrame, content: str | None = "text", embedding: str | None = None) -> DataFrame:
     """`doc_id` and the hashes; texts stay behind, so later shuffles are narrow."""
+    if content is not None:
+        docs = text_hashes(docs, content)
     vector = vector_hash(F.col(embedding)) if embedding else F.lit(None).cast("string")
-    kept = [c for c in docs.columns if c not in (content, embedding)]
-    return docs.select(*kept, text_hash(F.col(content)).alias("content_hash"), vector.alias("vector_hash"))
+    kept = [c for c in docs.columns if c not in ("content_hash", embedding)]
+    return docs.select(*kept, "content_hash", vector.alias("vector_hash"))
 
 
 def latest(rows: DataFrame, key: str, ts: str) -> DataFrame:
@@ -30,12 +38,12 @@ def latest(rows: DataFrame, key: str, ts: str) -> DataFrame:
     return rows.groupBy(key).agg(last.alias("_last")).select(key, "_last.*")
 
 
-def register_documents(docs: DataFrame, keys: DataFrame, ts: str, key_id: str, content: str = "text",
+def register_documents(docs: DataFrame, keys: DataFrame, ts: str, key_id: str, content: str | None = "text",
                        embedding: str | None = None, baseline: DataFrame | None = None,
                        threshold: float | None = None, doc_id: str = "doc_id") -> DataFrame:
     """Registry rows: hashes, signatures, anomaly score; one per document, the
     last written wins.  `keys` is a table of `hashing.signing_keys`."""
-    columns = [doc_id, content, ts, *([embedding] if embedding else [])]
+    columns = [doc_id, content or "content_hash", ts, *([embedding] if embedding else [])]
     rows = docs.select(*columns)
     if embedding and baseline is not None:
         rows = vector_anomalies(rows, baseline, embedding, threshold)
@@ -56,7 +64,7 @@ def upsert(registry: DataFrame, updates: DataFrame, doc_id: str = "doc_id") -> D
     return latest(registry.unionByName(updates), doc_id, "last_verified")
 
 
-def verify_documents(docs: DataFrame, registry: DataFrame, content: str = "text", embedding: str | None = None,
+def verify_documents(docs: DataFrame, registry: DataFrame, content: str | None = "text", embedding: str | None = None,
                      baseline: DataFrame | None = None, threshold: float | None = None,
                      doc_id: str = "doc_id") -> DataFrame:
     """Add `is_valid` and the first `reason` against it: unregistered, content
@@ -101,7 +109,7 @@ def scan_due(last_scan: float, now: float, force: bool = False, interval: int =
     return force or now - last_scan >= interval
 
 
-def integrity_scan(docs: DataFrame, registry: DataFrame, content: str = "text", embedding: str | None = None,
+def integrity_scan(docs: DataFrame, registry: DataFrame, content: str | None = "text", embedding: str | None = None,
                    baseline: DataFrame | None = None, threshold: float | None = None,
                    doc_id: str = "doc_id", last_scan: float = 0.0, now: float | None = None,
                    force: bool = False) -> tuple[DataFrame, DataFrame] | None:
