@@ -89,6 +89,54 @@ def test_usage_caps_end_with_the_session(spark, folder):
     assert resets > 10
 
 
+def few_states(out, checkpoint, df):
+    """The rows that a stream wrote, and how many values of state it holds."""
+    query = flows.append_to(df, out, checkpoint)
+    query.awaitTermination()
+    return df.sparkSession.read.parquet(out), query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+
+def test_many_keys_share_calls_and_states(spark, folder, tmp_path):
+    """500 keys with two rows each are eight groups, and give what they give one by one, null keys and times included."""
+    keyed = lambda d: d.withColumn("k", F.when(F.col("event_id") % 500 > 0, F.col("event_id") % 500)).withColumn(
+        "ts", F.when(F.col("event_id") != 7, F.col("ts")))
+    live, whole = keyed(stream(spark, folder)).withWatermark("ts", "100 days"), keyed(spark.read.parquet(folder))
+    once = (("burst", 1.0, 1 / 8640000),)
+    out, n = few_states(str(tmp_path / "a"), str(tmp_path / "b"), stateful.rate_limit_stream(live, "k", "ts", "event_id", once, groups=8))
+    want = rows(rate_limit(whole.where("event_id % 500 != 7"), "k", "ts", "event_id", once), "event_id", "allowed")
+    assert rows(out.where("event_id % 500 != 7"), "event_id", "allowed") == want and out.count() == 1000
+    assert n <= 3 * 8, "a group's states, its timer, and that by time"
+    capped = live.select("k", "event_type", "ts", "event_id", F.lit(1).alias("cap"))
+    out, n = few_states(str(tmp_path / "c"), str(tmp_path / "d"), stateful.usage_cap_stream(
+        capped, "k", "event_type", "ts", "event_id", "cap", groups=8))
+    timed = whole.where("event_id % 500 != 7")
+    assert out.where("is_allowed and event_id % 500 != 7").count() == timed.select("k", "event_type").distinct().count()
+    assert out.count() == 1000
+    assert n <= 3 * 8
+
+
+def test_keys_of_a_group_keep_their_own_states(spark, tmp_path):
+    """Two keys in one group, from a history on and over runs: each has its own count and session."""
+    def run(past, moments):
+        for k, (key, s) in enumerate(moments):
+            spark.createDataFrame([(key, k, s)], "k string, id long, s long").withColumn("ts", F.timestamp_seconds("s")).coalesce(
+                1).write.mode("append").parquet(str(tmp_path / "in"))
+        live = flows.read_stream(spark, str(tmp_path / "in")).withWatermark("ts", "1 second")
+        calls = live.select("k", F.lit("t").alias("tool"), "ts", "id", F.lit(2).alias("cap"))
+        return few_states(str(tmp_path / "out"), str(tmp_path / "cp"), stateful.usage_cap_stream(
+            calls, "k", "tool", "ts", "id", "cap", session_seconds=100, history=past, groups=1))[0]
+
+    past = spark.createDataFrame([("a", "t", 900, 1, True), ("b", "t", 1000, 2, True), ("b", "t", 1001, 3, True)],
+                                 "k string, tool string, s long, id long, is_allowed boolean").withColumn("ts", F.timestamp_seconds("s"))
+    stateful.use_rocksdb(spark)
+    run(past, [("a", 1050), ("b", 1051)])
+    run(past, [("a", 1150), ("b", 1151), ("a", 1149)])
+    out = run(past, [("a", 1251), ("b", 1251)])
+    assert sorted((r.k, r.ts.timestamp(), r.is_allowed) for r in out.collect()) == [
+        ("a", 1050.0, True), ("a", 1149.0, True), ("a", 1150.0, False), ("a", 1251.0, True),
+        ("b", 1051.0, False), ("b", 1151.0, False), ("b", 1251.0, False)]
+
+
 def test_windows_and_late_rows(spark, folder):
     out = flows.drain(flows.retrieval_counts_stream(stream(spark, folder), "user_id", "ts", 3600, "1 hour"), "t")
     batch = ret.retrieval_counts(spark.read.parquet(folder), "user_id", "ts", 3600)

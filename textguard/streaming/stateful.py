@@ -1,8 +1,8 @@
 """Guards that keep state per key, on streams.
 
 Rows are handled in the order of (time, id) within a slice of at most `SLICE_ROWS` rows of
-a key and micro-batch (and one Arrow batch more), in order of arrival across slices and
-micro-batches; no more of a key is held at once.  A watermark must be set on the time
+a key (rate limits and usage caps: of a group of keys) and micro-batch (and one Arrow batch
+more), in order of arrival across slices and micro-batches; no more is held at once.  A watermark must be set on the time
 column: it drives the timers that drop the state of keys gone quiet, which all guards do
 by default.  A stream can start from what batch operators made of earlier rows (`history`):
 their last state per key is loaded in the first micro-batch, and nothing is replayed.
@@ -13,7 +13,7 @@ executors by value.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,6 +36,10 @@ def use_rocksdb(spark) -> None:
 
 #: Rows of a key that are sorted and held at once.
 SLICE_ROWS = 100_000
+#: Keys of short states share so many groups, each with its states in one value.
+GROUPS = 1024
+#: The microseconds that a missing time counts as.
+NO_TIME = -9_223_372_036_854_776
 #: A conversation or session without a row for so long is over, and its state goes.
 IDLE_SECONDS = 30 * 86_400
 
@@ -57,59 +61,106 @@ def _slicer(limit: int):
     return slices
 
 
-def _grouped(states: DataFrame | None, *keys: str):
-    return None if states is None else states.groupBy(*keys)
+def _in_groups(rows: DataFrame, keys: list[str], ts: str, row_id: str, extra: str | None, result: str,
+               step: Callable, expiry: Callable | None, history: DataFrame | None, groups: int) -> DataFrame:
+    """`keys, ts, row_id, result` of rows whose keys are dealt by hash into `groups` groups.
 
+    A call of a processor takes milliseconds however few rows it gets, so keys with few rows share
+    one, with one read and one write of the states of its keys.  `step` takes a row's time in
+    microseconds, its `extra` and its key's state (None at first), and gives the result and the
+    state, a tuple of numbers.  `expiry` gives the millisecond a state goes at; a group has a timer for its
+    first one.  `history` has the keys and `dealt_state`, an array of doubles."""
+    slices, order, out = _slicer(SLICE_ROWS), [ts, row_id], [*keys, ts, row_id]
 
-def rate_limit_stream(requests: DataFrame, key: str, ts: str, row_id: str,
-                      limits: Limits = rules.RATE_LIMITS, history: DataFrame | None = None) -> DataFrame:
-    """Token buckets on a stream: `key, ts, row_id, allowed`.
-
-    The state of a key is dropped once a pause has filled its buckets again,
-    which is the same as never having seen it.  `history` holds earlier requests."""
-    step, idle = bucket_step(limits), int(refill_seconds(limits) * 1000)
-    width, slices = 2 * len(limits), _slicer(SLICE_ROWS)
-
-    class Limiter(StatefulProcessor):
+    class Group(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self._handle = handle
-            self._buckets = handle.getValueState("buckets", ", ".join(f"s{i} double" for i in range(width)))
+            self._states = handle.getValueState("states", "names array<string>, states array<array<double>>")
             self._timer = handle.getValueState("timer", "at long")
 
-        def _keep(self, state: tuple) -> None:
-            self._buckets.update(state)
-            if self._timer.exists():
-                self._handle.deleteTimer(self._timer.get()[0])
-            expiry = int(max(state[::2]) // 1000) + idle
-            self._handle.registerTimer(expiry)
-            self._timer.update((expiry,))
+        def _known(self) -> dict[str, tuple]:
+            if not self._states.exists():
+                return {}
+            names, states = self._states.get()
+            return {name: tuple(state) for name, state in zip(names, states)}
+
+        def _keep(self, known: dict[str, tuple]) -> None:
+            if known:
+                self._states.update((list(known), [[float(x) for x in state] for state in known.values()]))
+            else:
+                self._states.clear()
+            if expiry is None:
+                return
+            before = self._timer.get()[0] if self._timer.exists() else None
+            first = min(map(expiry, known.values()), default=None)
+            if first == before:
+                return
+            if before is not None:
+                self._handle.deleteTimer(before)
+            if first is None:
+                self._timer.clear()
+            else:
+                self._handle.registerTimer(first)
+                self._timer.update((first,))
 
         def handleInitialState(self, key, initialState, timerValues) -> None:
-            self._keep(tuple(float(initialState[f"s{i}"].iloc[0]) for i in range(width)))
+            known = self._known()
+            known.update((name, tuple(state)) for name, state in zip(initialState["dealt_key"], initialState["dealt_state"]))
+            self._keep(known)
 
         def handleInputRows(self, key_values, rows, timerValues) -> Iterator[pd.DataFrame]:
-            state = tuple(self._buckets.get()) if self._buckets.exists() else None
-            for some in slices(rows, [ts, row_id]):
-                allowed = []
-                for moment in some[ts]:
-                    ok, state = step(pd.Timestamp(moment).value // 1000, state)
-                    allowed.append(ok)
-                yield some[[key, ts, row_id]].assign(allowed=allowed)
-            if state is not None:
-                self._keep(state)
+            known = self._known()
+            for some in slices(rows, order):
+                found = []
+                micros = (pd.to_datetime(some[ts]).to_numpy("datetime64[ns]").view("int64") // 1000).tolist()
+                for name, moment, value in zip(some["dealt_key"], micros, some[extra] if extra else micros):
+                    one, known[name] = step(moment, value, known.get(name))
+                    found.append(one)
+                yield some[out].assign(**{result: found})
+            self._keep(known)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            self._buckets.clear()
-            self._timer.clear()
+            until, passed = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+            self._timer.clear()  # this timer goes by itself
+            self._keep({name: state for name, state in self._known().items() if until < expiry(state) >= passed})
             return iter(())
 
         def close(self) -> None:
             pass
 
-    fields = requests.select(key, ts, row_id).schema.add("allowed", "boolean")
-    states = None if history is None else bucket_states(history, key, ts, row_id, limits)
-    return requests.select(key, ts, row_id).groupBy(key).transformWithStateInPandas(
-        Limiter(), fields, "append", "EventTime", _grouped(states, key))
+    def dealt(df: DataFrame) -> DataFrame:
+        # Names of keys that tell null from text; no column names that start with an underscore, which are lost.
+        name = F.to_json(F.struct(*keys))
+        return df.withColumn("dealt_key", name).withColumn("dealt_group", F.pmod(F.xxhash64("dealt_key"), F.lit(groups)).cast("int"))
+
+    fields = rows.select(*out).schema.add(result, "boolean")
+    states = None if history is None else dealt(history).select("dealt_group", "dealt_key", "dealt_state")
+    return dealt(rows).groupBy("dealt_group").transformWithStateInPandas(
+        Group(), fields, "append", "None" if expiry is None else "EventTime", _grouped(states, "dealt_group"))
+
+
+def _grouped(states: DataFrame | None, *keys: str):
+    return None if states is None else states.groupBy(*keys)
+
+
+def rate_limit_stream(requests: DataFrame, key: str, ts: str, row_id: str,
+                      limits: Limits = rules.RATE_LIMITS, history: DataFrame | None = None,
+                      groups: int = GROUPS) -> DataFrame:
+    """Token buckets on a stream: `key, ts, row_id, allowed`.
+
+    The state of a key is dropped once a pause has filled its buckets again,
+    which is the same as never having seen it.  `history` holds earlier requests."""
+    take, idle = bucket_step(limits), int(refill_seconds(limits) * 1000)
+    states = None
+    if history is not None:
+        left = bucket_states(history, key, ts, row_id, limits)
+        states = left.select(key, F.array(*[f"s{i}" for i in range(2 * len(limits))]).alias("dealt_state"))
+
+    def step(micros, _, state):
+        return take(micros, state)
+
+    return _in_groups(requests.select(key, ts, row_id), [key], ts, row_id, None, "allowed", step,
+                      lambda state: int(max(state[::2]) // 1000) + idle, states, groups)
 
 
 def drift_stream(turns: DataFrame, key: str, ts: str, row_id: str, embedding: str = "embedding",
@@ -222,66 +273,33 @@ def drift_stream(turns: DataFrame, key: str, ts: str, row_id: str, embedding: st
 
 def usage_cap_stream(passing: DataFrame, user: str, tool: str, ts: str, row_id: str, cap: str,
                      session_seconds: int | None = IDLE_SECONDS, history: DataFrame | None = None,
-                     decided: str = "is_allowed") -> DataFrame:
+                     decided: str = "is_allowed", groups: int = GROUPS) -> DataFrame:
     """Usage caps on a stream of calls that pass all other checks: `user, tool,
     ts, row_id, is_allowed`.
 
     `cap` is a column (-1 = no limit).  Counts last until the user has left the
     tool alone for more than `session_seconds`; with None for ever.  `history` holds
     earlier calls with what was `decided` for them."""
-    slices = _slicer(SLICE_ROWS)
-
-    class Counter(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self._handle = handle
-            self._used = handle.getValueState("used", "n long, last long")
-            self._timer = handle.getValueState("timer", "at long")
+    def step(micros, limit, state):
+        used, last = state or (0, None)
+        if session_seconds is not None and last is not None and micros - last > session_seconds * 1_000_000:
+            used = 0
+        ok = bool(limit < 0 or used < limit)
+        return ok, (used + ok, micros)
 
-        def _keep(self, used: int, last: int) -> None:
-            self._used.update((int(used), int(last)))
-            if session_seconds is not None:
-                if self._timer.exists():
-                    self._handle.deleteTimer(self._timer.get()[0])
-                expiry = int(last) // 1000 + session_seconds * 1000 + 1
-                self._handle.registerTimer(expiry)
-                self._timer.update((expiry,))
-
-        def handleInitialState(self, key, initialState, timerValues) -> None:
-            self._keep(initialState["n"].iloc[0], initialState["last"].iloc[0])
-
-        def handleInputRows(self, key_values, rows, timerValues) -> Iterator[pd.DataFrame]:
-            used, last = self._used.get() if self._used.exists() else (0, None)
-            for some in slices(rows, [ts, row_id]):
-                allowed = []
-                for moment, limit in zip(some[ts], some[cap]):
-                    micros = pd.Timestamp(moment).value // 1000
-                    if session_seconds is not None and last is not None and micros - last > session_seconds * 1_000_000:
-                        used = 0
-                    ok = bool(limit < 0 or used < limit)
-                    used, last = used + ok, micros
-                    allowed.append(ok)
-                yield some[[user, tool, ts, row_id]].assign(is_allowed=allowed)
-            if last is not None:
-                self._keep(used, last)
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            self._used.clear()
-            self._timer.clear()
-            return iter(())
-
-        def close(self) -> None:
-            pass
+    def expiry(state):
+        return int(state[1]) // 1000 + session_seconds * 1000 + 1
 
-    fields = passing.select(user, tool, ts, row_id).schema.add("is_allowed", "boolean")
     states = None
     if history is not None:
         rows = history.select(user, tool, ts, row_id, F.col(decided).alias("_decided"))
         if session_seconds is not None:
             rows = last_session(rows, [user, tool], ts, row_id, session_seconds)
-        states = rows.groupBy(user, tool).agg(
-            F.count_if("_decided").alias("n"), F.max(F.unix_micros(F.col(ts).cast("timestamp"))).alias("last"))
-    return passing.select(user, tool, ts, row_id, cap).groupBy(user, tool).transformWithStateInPandas(
-        Counter(), fields, "append", "EventTime" if session_seconds is not None else "None", _grouped(states, user, tool))
+        last = F.coalesce(F.max(F.unix_micros(F.col(ts).cast("timestamp"))), F.lit(NO_TIME))
+        states = rows.groupBy(user, tool).agg(F.array(
+            F.count_if("_decided").cast("double"), last.cast("double")).alias("dealt_state"))
+    return _in_groups(passing.select(user, tool, ts, row_id, cap), [user, tool], ts, row_id, cap, "is_allowed", step,
+                      None if session_seconds is None else expiry, states, groups)
 
 
 def context_stream(requests: DataFrame, key: str, ts: str, row_id: str, text: str,
