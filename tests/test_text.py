@@ -97,3 +97,25 @@ def test_context_warnings(spark):
     rows = spark.createDataFrame([(None, None), ("u", "invalid"), ("u", "1693276800"), ("u", "2024-01-01")], "u string, t string")
     got = [r[0] for r in rows.select(threats.context_warnings(F.col("u"), F.col("t"))).collect()]
     assert got == [["missing_user", "missing_timestamp"], ["invalid_timestamp"], [], []]
+
+
+def test_texts_of_a_batch_in_pieces():
+    """What is worked on at once is bounded by bytes; nulls, empty and long texts and slices come out in place."""
+    import pyarrow as pa
+
+    from textguard.functions import injection, text
+
+    sizes = []
+
+    def upper(texts):
+        sizes.append(sum(len(t or "") for t in texts.to_pylist()))
+        return pa.array([t and t.upper() for t in texts.to_pylist()], pa.string())
+
+    values = [None, "", "a" * 5000, *["b" * (k % 90) for k in range(500)], None]
+    texts = pa.array(["skipped", *values], pa.string()).slice(1)
+    assert text.in_pieces(upper, 1000)(texts).to_pylist() == [t and t.upper() for t in values]
+    assert max(sizes) < 5000 + 1000 and sorted(sizes)[-2] <= 1000 + 90 and len(sizes) > 20
+    assert text.in_pieces(upper)(pa.array([], pa.string())).to_pylist() == []
+    long = pa.array(["x" * 300_000, "jailbreak", None, "\ufb01n " * 100_000] * 3, pa.string())
+    for function in (text._normalizer(), injection._matcher()):
+        assert function(long).to_pylist() == [function(long.slice(k, 1))[0].as_py() for k in range(12)]

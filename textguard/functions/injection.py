@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textguard import rules
-from textguard.functions.text import once
+from textguard.functions.text import in_pieces, once
 
 # A case-blind match also equates these with i, i, s and k.
 _CASE_TWINS = {"\u0130": "i", "\u0131": "i", "\u017f": "s", "\u212a": "k"}
@@ -76,7 +76,7 @@ def _matcher():
                         found[left[i]].append(number)
         return pa.array(found, pa.list_(pa.int32()))
 
-    return match
+    return in_pieces(match)
 
 
 matched_rules = F.arrow_udf(_matcher(), T.ArrayType(T.IntegerType()))

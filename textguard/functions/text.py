@@ -7,8 +7,11 @@ keeps `.` matching everything but a newline.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +20,8 @@ from textguard import rules
 
 # Java's `\s` is ASCII, so the class is spelt out.
 _SPACE = rules.WHITESPACE
+#: Texts that an Arrow function works on at once.
+PIECE_BYTES = 1 << 20
 
 
 def pattern(body: str, ignore_case: bool = False, multiline: bool = False) -> str:
@@ -39,12 +44,26 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
+def in_pieces(function: Callable[[pa.Array], pa.Array], size: int = PIECE_BYTES) -> Callable[[pa.Array], pa.Array]:
+    """An Arrow function that works on its texts in pieces of about `size` bytes (and a text
+    more), so that what it holds besides its input and result does not grow with a batch's texts."""
+    def pieces(texts: pa.Array) -> pa.Array:
+        if texts.nbytes <= size:
+            return function(texts)
+        lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        places = np.flatnonzero(np.diff(np.cumsum(lengths, dtype=np.int64) // size)) + 1
+        cuts = [0, *places.tolist(), len(texts)]
+        return pa.concat_arrays([function(texts.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])])
+
+    return pieces
+
+
 def _normalizer():
     def normalize(texts: pa.Array) -> pa.Array:
         # Not pc.utf8_normalize: it leaves letters decomposed.
         return pa.array([t and unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
-    return normalize
+    return in_pieces(normalize)
 
 
 # Arrow functions are closures, so that they travel to executors by value.
