@@ -103,3 +103,34 @@ def test_odd_rows(spark):
     new = [(r.doc_id, r.new) for r in got]
     assert sorted(new, key=str) == sorted([(1, None), (2, ""), (3, "\n\n"), (None, "x\ny"), (4, " z"), (4, " z"), (5, "x" * 100_000 + "\n")], key=str)
     assert lines.dedup_lines(df.where("false")).collect() == []
+
+
+def test_common_passage(spark, monkeypatch):
+    """Lines that hold one passage and differ in the rest are not compared with one another; near copies among them are found."""
+    rng = random.Random(6)
+
+    def fresh(n):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage = fresh(240)
+    texts = [f"{fresh(40)}x{passage}x{fresh(40)}" for _ in range(200)]
+    texts += [t[:200] + "#" + t[201:] for t in texts[:40]]
+    compared, verified = [], lines._verified
+
+    def counted(pairs, *others):
+        compared.append(pairs.distinct().count())
+        return verified(pairs, *others)
+    monkeypatch.setattr(lines, "_verified", counted)
+    rows = list(enumerate(texts))
+    left = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "text").collect()}
+    assert left == brute(rows) and [left[k] for k in range(200, 240)] == [""] * 40
+    assert compared[1] < 10 * len(texts), compared
+
+
+def test_frequent_line(spark, monkeypatch):
+    """A line above `HOT` counts as one when keys are made, whoever holds it."""
+    monkeypatch.setattr(lines, "HOT", 3)
+    line = "several people walked along river banks before sunset while others stayed inside"
+    rows = [(k, f"own {k}\n{line}\n{line}") for k in range(6)] + [(6, line.replace("sunset", "sumset")), (None, line + "\nz")]
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "text").collect()
+    assert sorted((r.doc_id is None, r.doc_id, r.text) for r in got if r.doc_id is not None) == [(False, k, f"own {k}") for k in range(6)] + [(False, 6, "")]
+    assert [r.text for r in got if r.doc_id is None] == [line + "\nz"]

@@ -14,9 +14,11 @@ similarity are dropped, and that of the others is computed from the whole lines.
 
 Candidates of a bucket are not all its pairs. First every line meets the bucket's least
 one; lines found similar form components. Where a bucket still holds several components,
-the lines outside its largest one meet all lines of other components. So every pair of a
-bucket that is not yet connected is compared, and a bucket of near copies, however large,
-costs as many rows as it has lines.
+all its lines of different ones meet if there are at most `FEW`; those of larger buckets meet
+by their rare shingles: any two similar lines have some of the first fifth of their shingles,
+rare ones first, in common (`crossing_pairs`). So every pair of a bucket that is not yet
+connected is either compared or known to differ, and lines that have a frequent passage in
+common, but not the rest, are not compared.
 
 One line per component stays: the first by document id, then by place. Lines without a
 word stay as they are. Texts are shuffled once, to take out lines; before that only hashes
@@ -29,7 +31,7 @@ are called. An empty table gives an empty table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textguard.durable import durable
@@ -44,6 +46,14 @@ SHORT = 32
 RANGES = 12
 #: Up to this many ids (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Counts of shingles are kept by this many hash slots (a byte each goes to all tasks).
+SLOTS = 65_536
+#: Pairs of different components have so many common shingles among the rarest (shorter lines: all that must be common).
+COMMON = 8
+#: In buckets of up to so many lines all lines of different components meet.
+FEW = 32
+#: Lines found so often are taken from their first place alone when keys are made.
+HOT = 1000
 
 
 def _normal(line: Column) -> Column:
@@ -75,7 +85,7 @@ def buckets_of(lines: DataFrame) -> DataFrame:
     each = sets.select("id", "s", F.size("s").alias("n"), F.posexplode_outer("s").alias("at", "h"))
     first = (F.col("n") <= SHORT) | (F.col("at") == 0) | (range_of(F.col("at")) != range_of(F.col("at") - 1))
     run = [F.get("s", F.pmod(F.col("at") + k, "n")) for k in range(RUN)]
-    return each.where(first).select("id", "n", F.xxhash64(*run).alias("key")).distinct()
+    return each.where(first).select("id", "n", F.xxhash64(*run).alias("key"))
 
 
 def _fit(a: Column, b: Column, least: float) -> Column:
@@ -91,12 +101,9 @@ def occurrences(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Dat
     return rows.select("*", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2"))
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, least: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of line ids with a Jaccard similarity of `least` or more; na and nb are their numbers of shingles."""
-    pairs = durable(pairs.where(_fit(F.col("na"), F.col("nb"), least)).distinct())
-    needed = durable(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    ids = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
-    texts = durable(lines.join(ids, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")))
+    pairs = pairs.where(_fit(F.col("na"), F.col("nb"), least)).distinct()
     whole = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(
         texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
     # common / (na + nb - common) >= least, with the common shingles computed once
@@ -104,23 +111,64 @@ def _verified(pairs: DataFrame, lines: DataFrame, least: float) -> DataFrame:
     return durable(whole.where(common >= F.ceil((F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-6)).select("a", "b"))
 
 
+def _levels(sets: DataFrame) -> bytes:
+    """A byte for each of `SLOTS` slots of shingle hashes: how often its shingles are found, by factors of about 1.4."""
+    counts = sets.select(F.explode("s").alias("h")).groupBy(F.pmod("h", F.lit(SLOTS)).cast("int").alias("slot")).count()
+    found = bytearray(SLOTS)
+    for slot, level in counts.select("slot", F.floor(2 * F.log2("count")).cast("int")).collect():
+        found[slot] = level
+    return bytes(found)
+
+
+def crossing_pairs(lines: DataFrame, least: float = 0.8) -> DataFrame:
+    """a, na, b, nb of all pairs of `lines` (id, root, line) of different roots that can be similar.
+
+    Shingles have one order over all lines, rare ones first. Of n shingles `must` = ceil(least * n)
+    are common with any similar line, so the first k common ones are among the first
+    n - must + k of each, and from the i-th on each has as many as must still be common. No
+    similar pair is missed, and a passage in many lines makes no pairs of those that differ in the rest."""
+    sets = durable(lines.select("id", "root", F.array_distinct(_slices(F.col("line"))).alias("s")))
+    levels = F.lit(_levels(sets))
+    ordered = F.sort_array(F.transform("s", lambda h: F.struct(
+        F.substring(levels, F.pmod(h, F.lit(SLOTS)).cast("int") + 1, F.lit(1)).alias("level"), h.alias("h"))))
+    n = F.size("s")
+    must = F.ceil(n * least - 1e-6).cast("int")
+    k = F.least(must, F.lit(COMMON))
+    head = sets.select("id", "root", n.alias("n"), k.alias("k"), F.posexplode(F.slice(ordered, F.lit(1), n - must + k)).alias("at", "x"))
+    head = durable(head.select("id", "root", "n", "k", (F.col("n") - F.col("at")).alias("rest"), F.col("x.h").alias("h")))
+    roots = head.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
+    found = head.join(roots.select("h"), "h", "left_semi")
+    x, y = found.alias("x"), found.alias("y")
+    need = F.ceil((F.col("x.n") + F.col("y.n")) * (least / (1 + least)) - 1e-6)
+    rest = F.least("x.rest", "y.rest")
+    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.root") < F.col("y.root")) & _fit(F.col("x.n"), F.col("y.n"), least)
+                   & (rest > need - COMMON))
+    pairs = pairs.groupBy(F.col("x.id").alias("a"), F.col("x.n").alias("na"), F.col("y.id").alias("b"), F.col("y.n").alias("nb")).agg(
+        F.count("*").alias("found"), F.min(F.least("x.k", "y.k")).alias("k"), F.max(rest - need).alias("spare"))
+    return pairs.where("found >= k and spare >= 0").select("a", "na", "b", "nb")
+
+
 def line_classes(lines: DataFrame, least: float = 0.8) -> DataFrame:
     """id and root (least id) of all lines that are similar to another one."""
-    buckets = durable(buckets_of(lines))
-    least_of = buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"), F.max("id").alias("last")).where("first.id != last")
-    shared = durable(buckets.join(least_of.select("key", "first"), "key"))
-    stars = _verified(shared.where("id != first.id").select(
-        F.col("first.id").alias("a"), F.col("first.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb")), lines, least)
+    bucket = Window.partitionBy("key")
+    shared = buckets_of(lines).withColumn("first", F.min("id").over(bucket)).withColumn("last", F.max("id").over(bucket))
+    shared = durable(shared.where("first != last").select("key", "id", "n", "first").distinct())
+    needed = durable(shared.select("id", "n").distinct())
+    ids = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
+    texts = durable(lines.join(ids, "id").groupBy("id", "n").agg(F.min("line").alias("line")))
+    stars = _verified(shared.where("id != first").join(needed.select(F.col("id").alias("first"), F.col("n").alias("na")), "first").select(
+        F.col("first").alias("a"), "na", F.col("id").alias("b"), F.col("n").alias("nb")), texts, least)
     classes = components(stars)
-    # Buckets that still hold several components: lines outside the largest one meet the others.
+    # Buckets that still hold several components: in small ones all lines meet, in larger ones those with common rare shingles.
     named = shared.join(classes, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
-    sizes = named.groupBy("key", "root").agg(F.count("*").alias("lines"))
-    top = sizes.groupBy("key").agg(F.max(F.struct("lines", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
-    mixed = durable(named.join(top.select("key", F.col("top.root").alias("top")), "key"))
-    small = mixed.where("root != top").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    others = mixed.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), (F.col("root") == F.col("top")).alias("largest"))
-    crossing = small.join(others, "key").where("ra != rb and (largest or a < b)").select("a", "na", "b", "nb")
-    more = _verified(crossing, lines, least)
+    sizes = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo != hi")
+    mixed = durable(named.join(sizes.select("key", "size"), "key"))
+    few = mixed.where(F.col("size") <= FEW)
+    few = few.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")).join(
+        few.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb")), "key").where("ra < rb")
+    many = mixed.where(F.col("size") > FEW).select("id", "root").distinct()
+    crossing = few.select("a", "na", "b", "nb").unionByName(crossing_pairs(texts.join(many, "id"), least))
+    more = _verified(crossing, texts, least)
     edges = classes.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more)
     return components(edges) if not more.isEmpty() else classes
 
@@ -129,10 +177,13 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", least:
     """All columns of `docs` in a struct `row`, and text (with one line per component over all
     documents), n_lines, n_removed."""
     lines = occurrences(docs, doc, text)
-    classes = line_classes(lines, least)
     place = F.struct("doc", "th", "pos")
     # Lines by exact hash first, so that a line with a third of all occurrences shrinks before any join.
-    exact = lines.groupBy("id", "id2").agg(F.min(place).alias("first"))
+    exact = durable(lines.groupBy("id", "id2").agg(F.min(place).alias("first"), F.count("*").alias("times")))
+    hot = exact.where(F.col("times") >= HOT).select("id", "first")
+    once = lines.join(F.broadcast(hot), "id", "left").where(F.col("first").isNull() | F.col("first").eqNullSafe(place)).drop("first")
+    classes = line_classes(once, least)
+    exact = exact.drop("times")
     kept = durable(exact.join(classes, "id", "left").withColumn(
         "same", F.when(F.col("root").isNull(), F.struct("id", "id2")).otherwise(
             F.struct(F.col("root").alias("id"), F.lit(0).cast("long").alias("id2")))).groupBy("same").agg(F.min("first").alias("first")))
