@@ -134,3 +134,41 @@ def test_frequent_line(spark, monkeypatch):
     got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "text").collect()
     assert sorted((r.doc_id is None, r.doc_id, r.text) for r in got if r.doc_id is not None) == [(False, k, f"own {k}") for k in range(6)] + [(False, 6, "")]
     assert [r.text for r in got if r.doc_id is None] == [line + "\nz"]
+
+
+def test_near_copies_with_many_changes(spark, monkeypatch):
+    """Near copies of one line, half of them too far from it: they are not all compared with the others, and those with common changes are found."""
+    rng = random.Random(11)
+
+    def fresh(n):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    base = [fresh(5) for _ in range(60)]
+
+    def changed(words, n):
+        places = set(rng.sample(range(60), n))
+        return [fresh(5) if k in places else w for k, w in enumerate(words)]
+    texts = [changed(base, rng.choice((1, 2, 3, 5, 6, 7, 8))) for _ in range(240)]
+    texts += [changed(words, 1) for words in texts[:60]]
+    texts += [words[:rng.randint(40, 59)] for words in texts[60:100]]
+    rows = [(k, " ".join(words)) for k, words in enumerate(texts)]
+    rng.shuffle(rows)
+    compared, verified = [], lines._verified
+
+    def counted(pairs, *others):
+        compared.append(pairs.distinct().count())
+        return verified(pairs, *others)
+    monkeypatch.setattr(lines, "_verified", counted)
+    monkeypatch.setattr(lines, "FEW", 8)
+    left = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "text").collect()}
+    assert left == brute(rows)
+    assert compared[1] < 5 * len(rows), compared
+
+
+def test_sketches(spark):
+    rng = random.Random(2)
+    sets = [([rng.randrange(-2**63, 2**63) for _ in range(90)], k) for k in (0, 1, 30, 90)]
+    rows = [(s, s[k:] + [rng.randrange(-2**63, 2**63) for _ in range(k)], 2 * k) for s, k in sets]
+    df = spark.createDataFrame(rows, "x array<long>, y array<long>, d int")
+    apart = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(lines._bits(F.col("x")), lines._bits(F.col("y")), strict=True)), F.lit(0))
+    got = [(r.d, r.apart) for r in df.select("d", apart.alias("apart")).collect()]
+    assert all(apart <= d and (d - apart) % 2 == 0 and (apart > d / 2 or not d) for d, apart in got), got

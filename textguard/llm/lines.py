@@ -14,11 +14,11 @@ similarity are dropped, and that of the others is computed from the whole lines.
 
 Candidates of a bucket are not all its pairs. First every line meets the bucket's least
 one; lines found similar form components. Where a bucket still holds several components,
-all its lines of different ones meet if there are at most `FEW`; those of larger buckets meet
-by their rare shingles: any two similar lines have some of the first fifth of their shingles,
-rare ones first, in common (`crossing_pairs`). So every pair of a bucket that is not yet
-connected is either compared or known to differ, and lines that have a frequent passage in
-common, but not the rest, are not compared.
+all its lines of different ones meet if there are at most `FEW`. In larger ones every line is held
+against a centre, the line with the most frequent shingles, and those of different components
+meet only by rare differences from it: similar lines that are not both similar to the centre
+differ from it in common (`crossing_pairs`). So every pair of a bucket that is not yet connected is
+either compared or known to differ; neither a frequent passage nor a large group of near copies brings all its lines together.
 
 One line per component stays: the first by document id, then by place. Lines without a
 word stay as they are. Texts are shuffled once, to take out lines; before that only hashes
@@ -48,8 +48,8 @@ RANGES = 12
 BROADCAST_IDS = 500_000
 #: Counts of shingles are kept by this many hash slots (a byte each goes to all tasks).
 SLOTS = 65_536
-#: Pairs of different components have so many common shingles among the rarest (shorter lines: all that must be common).
-COMMON = 8
+#: Columns of 64 bits each, by which lines that differ in too many shingles are told apart before their texts meet.
+SKETCH = tuple(f"bits{k}" for k in range(8))
 #: In buckets of up to so many lines all lines of different components meet.
 FEW = 32
 #: Lines found so often are taken from their first place alone when keys are made.
@@ -101,51 +101,100 @@ def occurrences(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Dat
     return rows.select("*", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2"))
 
 
+def _need(total: Column, least: float) -> Column:
+    """Common shingles of two similar lines that have `total` shingles: common / (total - common) >= least."""
+    return F.ceil(total * (least / (1 + least)) - 1e-6)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of line ids with a Jaccard similarity of `least` or more; na and nb are their numbers of shingles."""
+    """Pairs (a, b) of line ids with a Jaccard similarity of `least` or more; na and nb are their numbers of
+    shingles. Other columns, which follow from a and b, stay."""
     pairs = pairs.where(_fit(F.col("na"), F.col("nb"), least)).distinct()
     whole = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(
         texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    # common / (na + nb - common) >= least, with the common shingles computed once
     common = F.size(F.array_intersect(_slices(F.col("x")), _slices(F.col("y"))))
-    return durable(whole.where(common >= F.ceil((F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-6)).select("a", "b"))
+    return durable(whole.where(common >= _need(F.col("na") + F.col("nb"), least)).drop("na", "nb", "x", "y"))
 
 
-def _levels(sets: DataFrame) -> bytes:
-    """A byte for each of `SLOTS` slots of shingle hashes: how often its shingles are found, by factors of about 1.4."""
+def _levels(sets: DataFrame) -> Column:
+    """A byte for each of `SLOTS` slots of shingle hashes: how often its shingles are found in s, by factors of about 1.4."""
     counts = sets.select(F.explode("s").alias("h")).groupBy(F.pmod("h", F.lit(SLOTS)).cast("int").alias("slot")).count()
     found = bytearray(SLOTS)
     for slot, level in counts.select("slot", F.floor(2 * F.log2("count")).cast("int")).collect():
         found[slot] = level
-    return bytes(found)
-
-
-def crossing_pairs(lines: DataFrame, least: float = 0.8) -> DataFrame:
-    """a, na, b, nb of all pairs of `lines` (id, root, line) of different roots that can be similar.
-
-    Shingles have one order over all lines, rare ones first. Of n shingles `must` = ceil(least * n)
-    are common with any similar line, so the first k common ones are among the first
-    n - must + k of each, and from the i-th on each has as many as must still be common. No
-    similar pair is missed, and a passage in many lines makes no pairs of those that differ in the rest."""
-    sets = durable(lines.select("id", "root", F.array_distinct(_slices(F.col("line"))).alias("s")))
-    levels = F.lit(_levels(sets))
-    ordered = F.sort_array(F.transform("s", lambda h: F.struct(
-        F.substring(levels, F.pmod(h, F.lit(SLOTS)).cast("int") + 1, F.lit(1)).alias("level"), h.alias("h"))))
-    n = F.size("s")
-    must = F.ceil(n * least - 1e-6).cast("int")
-    k = F.least(must, F.lit(COMMON))
-    head = sets.select("id", "root", n.alias("n"), k.alias("k"), F.posexplode(F.slice(ordered, F.lit(1), n - must + k)).alias("at", "x"))
-    head = durable(head.select("id", "root", "n", "k", (F.col("n") - F.col("at")).alias("rest"), F.col("x.h").alias("h")))
-    roots = head.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
-    found = head.join(roots.select("h"), "h", "left_semi")
-    x, y = found.alias("x"), found.alias("y")
-    need = F.ceil((F.col("x.n") + F.col("y.n")) * (least / (1 + least)) - 1e-6)
-    rest = F.least("x.rest", "y.rest")
-    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.root") < F.col("y.root")) & _fit(F.col("x.n"), F.col("y.n"), least)
-                   & (rest > need - COMMON))
-    pairs = pairs.groupBy(F.col("x.id").alias("a"), F.col("x.n").alias("na"), F.col("y.id").alias("b"), F.col("y.n").alias("nb")).agg(
-        F.count("*").alias("found"), F.min(F.least("x.k", "y.k")).alias("k"), F.max(rest - need).alias("spare"))
-    return pairs.where("found >= k and spare >= 0").select("a", "na", "b", "nb")
+    return F.lit(bytes(found))
+
+
+def _level(levels: Column, h: Column) -> Column:
+    return F.substring(levels, F.pmod(h, F.lit(SLOTS)).cast("int") + 1, F.lit(1))
+
+
+def spokes(buckets: DataFrame, texts: DataFrame) -> DataFrame:
+    """A row for each line and centre of its `buckets` (key, id, n, root): centre, nc, rc (its number of shingles and
+    root), id, n, root, s (the shingles that only one of the two has). A bucket's centre is the line whose shingles are the
+    most frequent ones, which of near copies is one with few changes of its own."""
+    sets = durable(texts.join(buckets.select("id").distinct(), "id").select("id", F.array_distinct(_slices(F.col("line"))).alias("s")))
+    levels = _levels(sets)
+    total = F.aggregate("s", F.lit(0), lambda sum_, h: sum_ + F.conv(F.hex(_level(levels, h)), 16, 10).cast("int"))
+    named = buckets.join(sets.select("id", (total / F.size("s")).alias("score")), "id")
+    centres = named.groupBy("key").agg(F.max(F.struct("score", "id", "n", "root")).alias("c"))
+    found = named.join(centres, "key").select(
+        F.col("c.id").alias("centre"), F.col("c.n").alias("nc"), F.col("c.root").alias("rc"), "id", "n", "root").distinct()
+    both = found.join(sets.withColumnRenamed("s", "x"), "id").join(sets.select(F.col("id").alias("centre"), F.col("s").alias("y")), "centre")
+    return durable(both.select(*found.columns, F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("s")))
+
+
+def _near(least: float) -> Column:
+    """Whether the line of a spoke is similar to the centre."""
+    total = F.col("n") + F.col("nc")
+    return F.size("s") <= total - 2 * _need(total, least)
+
+
+def _bits(s: Column) -> list[Column]:
+    """`SKETCH`: numbers in which each element of s turns a bit. Those of two sets differ in no more bits than the sets in elements."""
+    def word(k: int) -> Column:
+        own = F.filter(s, lambda h: F.pmod(F.shiftright(h, 6), F.lit(len(SKETCH))) == k)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(
+            F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))))
+
+    return [word(k).alias(name) for k, name in enumerate(SKETCH)]
+
+
+def crossing_pairs(found: DataFrame, least: float = 0.8) -> DataFrame:
+    """a, na, ra, b, nb, rb of all pairs of spokes with one centre and different roots that can be similar, if lines similar
+    to a centre have its root.
+
+    Where x and y differ from the centre by dx and dy shingles and may differ from each other by t, they have
+    (dx + dy - t) / 2 of these differences in common. That is one at least: else both would be similar to
+    the centre, and have one root. In one order, rare ones first, the first common difference comes early enough in
+    both for the others to follow. So near copies of a centre do not meet by what it has in common
+    with them, but by changes that few lines have; those of the centre's root do not meet one another."""
+    levels = _levels(found)
+    ordered = F.sort_array(F.transform("s", lambda h: F.struct(_level(levels, h).alias("level"), h.alias("h"))))
+    d, share = F.size("s"), (1 - least) / (1 + least)
+    # The other line is not similar to the centre if this one is, and differs from it by |n - nc| at least.
+    most = F.ceil((d + F.when(_near(least), F.col("n") - F.col("nc")).otherwise(F.col("n") + F.col("nc")) * share) / 2) + 2
+    first = F.transform(F.slice(ordered, F.lit(1), most.cast("int")), lambda x: x["h"])
+    # Stored, since above an explode all this would be computed for each of its rows.
+    sets = durable(found.select("centre", "id", "n", "root", (F.col("root") == F.col("rc")).alias("main"), d.alias("d"), *_bits(F.col("s")), first.alias("first")))
+    head = sets.select("centre", "id", "n", "root", "main", "d", *SKETCH, F.posexplode("first").alias("at", "h")).withColumn("rest", F.col("d") - F.col("at"))
+    roots = head.groupBy("centre", "h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
+    meeting = head.join(roots.select("centre", "h"), ["centre", "h"], "left_semi")
+    x, y = meeting.where(~F.col("main")).alias("x"), meeting.alias("y")
+    total = F.col("x.n") + F.col("y.n")
+    spare = total - 2 * _need(total, least)
+    apart = sum((F.bit_count(F.col(f"x.{k}").bitwiseXOR(F.col(f"y.{k}"))) for k in SKETCH), F.lit(0))
+    pairs = x.join(y, (F.col("x.centre") == F.col("y.centre")) & (F.col("x.h") == F.col("y.h"))
+                   & (F.col("y.main") | (F.col("x.root") < F.col("y.root"))) & _fit(F.col("x.n"), F.col("y.n"), least)
+                   & (2 * F.least("x.rest", "y.rest") >= F.col("x.d") + F.col("y.d") - spare) & (apart <= spare))
+    return pairs.select(*[F.col(f"{side}.{name}").alias(f"{short}{to}") for side, to in (("x", "a"), ("y", "b")) for name, short in (
+        ("id", ""), ("n", "n"), ("root", "r"))]).distinct()
+
+
+def _moved(rows: DataFrame, moves: DataFrame, name: str = "root") -> DataFrame:
+    """`rows` with the new roots of `moves` (id, root)."""
+    to = moves.select(F.col("id").alias(name), F.col("root").alias("new"))
+    return rows.join(to, name, "left").withColumn(name, F.coalesce("new", name)).drop("new").select(rows.columns)
 
 
 def line_classes(lines: DataFrame, least: float = 0.8) -> DataFrame:
@@ -158,19 +207,23 @@ def line_classes(lines: DataFrame, least: float = 0.8) -> DataFrame:
     texts = durable(lines.join(ids, "id").groupBy("id", "n").agg(F.min("line").alias("line")))
     stars = _verified(shared.where("id != first").join(needed.select(F.col("id").alias("first"), F.col("n").alias("na")), "first").select(
         F.col("first").alias("a"), "na", F.col("id").alias("b"), F.col("n").alias("nb")), texts, least)
-    classes = components(stars)
-    # Buckets that still hold several components: in small ones all lines meet, in larger ones those with common rare shingles.
+    classes = durable(components(stars))
+    # Buckets that still hold several components: in small ones all lines meet, in larger ones a centre, then those with common rare differences from it.
     named = shared.join(classes, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
     sizes = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo != hi")
     mixed = durable(named.join(sizes.select("key", "size"), "key"))
-    few = mixed.where(F.col("size") <= FEW)
+    found = spokes(mixed.where(F.col("size") > FEW).drop("size"), texts)
+    hubs = durable(found.where((F.col("root") != F.col("rc")) & _near(least)).select(F.col("rc").alias("ra"), F.col("root").alias("rb")).distinct())
+    moves = durable(components(hubs, "ra", "rb"))
+    few = _moved(mixed.where(F.col("size") <= FEW), moves)
     few = few.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")).join(
-        few.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb")), "key").where("ra < rb")
-    many = mixed.where(F.col("size") > FEW).select("id", "root").distinct()
-    crossing = few.select("a", "na", "b", "nb").unionByName(crossing_pairs(texts.join(many, "id"), least))
-    more = _verified(crossing, texts, least)
-    edges = classes.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more)
-    return components(edges) if not more.isEmpty() else classes
+        few.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb")), "key").where("ra < rb").drop("key")
+    more = _verified(few.unionByName(crossing_pairs(_moved(_moved(found, moves), moves, "rc"), least)), texts, least)
+    edges = hubs.unionByName(more.select("ra", "rb"))
+    if edges.isEmpty():
+        return classes
+    moves = durable(components(edges, "ra", "rb"))
+    return _moved(classes, moves).unionByName(moves.join(classes, "id", "left_anti"))
 
 
 def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
